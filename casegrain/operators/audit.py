@@ -81,13 +81,18 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = fixed.HISTOGRAM_BINS) -> DataFrame:
-    """Rows in each of ``bins`` equal bins from minimum to maximum of an integer column."""
+    """Rows in each of ``bins`` equal bins from minimum to maximum of an integer column.
+
+    Empty bins are kept. Everything after the first count is small.
+    """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     low, high = (counts.agg(f(column)).scalar() for f in (F.min, F.max))
     position = F.expr(f"(_value - _low) * {bins} div nullif(_high - _low, 0)")
     placed = counts.select(F.col(column).alias("_value"), low.alias("_low"), high.alias("_high"), "_n")
     bin_of = F.when(F.col("_high") > F.col("_low"), F.least(position, F.lit(bins - 1))).otherwise(bins // 2)
-    return placed.groupBy((bin_of + 1).cast("bigint").alias("bin")).agg(F.sum("_n").alias("n"))
+    filled = placed.groupBy((bin_of + 1).cast("bigint").alias("bin")).agg(F.sum("_n").alias("n"))
+    every = df.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin")
+    return every.join(filled, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def mask_totals(df: DataFrame, text_column: str = "cleaned_text") -> DataFrame:

@@ -1,6 +1,10 @@
 """Importing this module registers every query."""
 
-from casegrain.plans import text_queries  # noqa: F401
+from casegrain.plans import (  # noqa: F401
+    corpus_queries,
+    retrieval_queries,
+    text_queries,
+)
 from casegrain.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -201,9 +201,10 @@ def _bounded(pattern: str) -> str:
     return pattern[:-2] + f"(?:$|{edge})" if pattern.endswith(r"\b") else pattern
 
 
-def _rules_sql(x: str, rules=fixed.KEYWORD_RULES, default=fixed.DEFAULT_CLASS) -> str:
+def rules_sql(x: str, rules=fixed.KEYWORD_RULES, default=fixed.DEFAULT_CLASS) -> str:
+    spell = _bounded if rules is not fixed.KEYWORD_RULES else str
     cases = " ".join(
-        f"WHEN regexp_matches(lower({x}), '{'|'.join(map(_bounded, patterns))}') THEN '{category}'"
+        f"WHEN regexp_matches(lower({x}), '{'|'.join(map(spell, patterns))}') THEN '{category}'"
         for category, patterns in rules
     )
     return f"CASE {cases} ELSE '{default}' END"
@@ -219,8 +220,8 @@ SAMPLE_RULES = [
 
 
 @registered(f"""
-SELECT doc_id, {_rules_sql('text')} AS category,
-       {_rules_sql('text', SAMPLE_RULES, 'other')} AS sample_category FROM documents""")
+SELECT doc_id, {rules_sql('text')} AS category,
+       {rules_sql('text', SAMPLE_RULES, 'other')} AS sample_category FROM documents""")
 def keyword_category(spark, sf):
     return documents(spark, sf, "doc_id", "text").select(
         "doc_id",
@@ -230,7 +231,7 @@ def keyword_category(spark, sf):
 
 
 @registered(f"""
-SELECT doc_id, {_rules_sql("source || ' ' || c", [("early", ["src1"])] + SAMPLE_RULES, 'other')} AS category
+SELECT doc_id, {rules_sql("source || ' ' || c", [("early", ["src1"])] + SAMPLE_RULES, 'other')} AS category
 FROM (SELECT doc_id, source, {q.cleaned('text')} AS c FROM documents)""")
 def label_guided_category(spark, sf):
     rules = [("early", ["src1"])] + SAMPLE_RULES
@@ -316,7 +317,7 @@ def math_functions(spark, sf):
 @registered(f"""
 SELECT CAST(doc_id AS VARCHAR) AS complaint_id, 'custom_agency' AS source,
        DATE '2024-06-01' AS date_received, 'Institutional Complaint' AS product,
-       text AS raw_text, c AS cleaned_text, {_rules_sql("source || ' ' || c")} AS primary_category,
+       text AS raw_text, c AS cleaned_text, {rules_sql("source || ' ' || c")} AS primary_category,
        source AS original_issue
 FROM (SELECT *, {q.cleaned('text')} AS c FROM documents)""")
 def ingest_agency_records(spark, sf):
