@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
+from casegrain.operators.terms import exploded
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -63,7 +64,7 @@ def length_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def vocabulary_size(df: DataFrame, text_column: str) -> DataFrame:
-    words = df.select(F.explode(F.array_distinct(text.tokens(F.col(text_column)))).alias("word"))
+    words = exploded(df, [], text.tokens(F.col(text_column)), "word")
     return words.agg(F.countDistinct("word").alias("vocabulary"))
 
 

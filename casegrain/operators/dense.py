@@ -17,11 +17,27 @@ QUERY_BLOCK = 2_000
 DOCUMENT_BLOCK = 50_000
 
 
-def unit(vector: Column) -> Column:
-    """The vector divided by its length, in double; a zero vector stays zero."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(doubles, lambda x: F.when(length > 0, x / length).otherwise(x))
+def with_unit_vectors(df: DataFrame, vector: str, out: str = "vector") -> DataFrame:
+    """Add ``out``, the vector divided by its length, in double.
+
+    A zero vector stays zero. The length is a projection of its own, since
+    inside the lambda it would be summed again for every element.
+    """
+    return (
+        df.withColumn("_doubles", F.col(vector).cast("array<double>"))
+        .withColumn(
+            "_length",
+            F.sqrt(F.aggregate("_doubles", F.lit(0.0), lambda acc, x: acc + x * x)),
+        )
+        .withColumn(
+            out,
+            F.transform(
+                "_doubles",
+                lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(x),
+            ),
+        )
+        .drop("_doubles", "_length")
+    )
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -86,8 +102,8 @@ def dense_scores(
     the documents too, and each pair of blocks is one bounded group.
     """
     schema = _score_schema(queries, docs)
-    asked = queries.select("qid", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    held = docs.select("doc_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
+    held = docs.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
     n_queries = asked.count()
     if n_queries == 0:
         return queries.sparkSession.createDataFrame([], schema)

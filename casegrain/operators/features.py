@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.ranking import first_per_group
-from casegrain.operators.terms import with_term_counts
+from casegrain.operators.terms import exploded, with_term_counts
 from casegrain.workspace import fresh_path, written
 
 
@@ -69,7 +69,7 @@ def fit_tfidf(
     """
     n_docs = terms.agg(F.count(F.lit(1))).scalar()
     counted = (
-        terms.select(F.explode("terms").alias("_t"))
+        exploded(terms, [], "terms", "_t")
         .groupBy(F.col("_t.term").alias("term"))
         .agg(F.sum("_t.tf").alias("freq"), F.count(F.lit(1)).alias("df"))
     )
@@ -108,18 +108,19 @@ def unit_vectors(terms: DataFrame, model: TfidfModel) -> DataFrame:
     entry = F.when(
         F.col("idx").isNotNull(), F.struct("idx", "term", (tf * F.col("idf")).alias("weight"))
     )
-    rows = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_raw"))
-    normed = rows.withColumn(
-        "_norm",
-        F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x.weight * x.weight)),
+    # A row's terms are bounded by the vocabulary. The squared length is summed
+    # beside the list, not inside the lambda, which would redo it per term.
+    rows = counted.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(entry)).alias("_raw"),
+        F.sum(entry["weight"] * entry["weight"]).alias("_square"),
     )
-    return normed.select(
+    return rows.select(
         *keys,
         F.transform(
             "_raw",
             lambda x: F.struct(
                 x.idx.alias("idx"), x.term.alias("term"),
-                (x.weight / F.col("_norm")).alias("weight"),
+                (x.weight / F.sqrt("_square")).alias("weight"),
             ),
         ).alias("vector"),
     )
@@ -128,7 +129,7 @@ def unit_vectors(terms: DataFrame, model: TfidfModel) -> DataFrame:
 def long_weights(vectors: DataFrame) -> DataFrame:
     """One row per non-zero weight: keys, ``term``, ``idx``, ``weight``."""
     keys = [c for c in vectors.columns if c != "vector"]
-    return vectors.select(*keys, F.explode("vector").alias("_v")).select(*keys, "_v.*")
+    return exploded(vectors, keys, "vector", "_v").select(*keys, "_v.*")
 
 
 def ml_vectors(vectors: DataFrame, size: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.ranking import first_per_group
+from casegrain.operators.terms import exploded
 
 
 def with_value(df: DataFrame, column: str, value) -> DataFrame:
@@ -87,7 +88,7 @@ def routed(
         ]),
         lambda hit: hit.isNotNull(),
     )
-    copies = df.withColumn("_hit", F.explode(hits))
+    copies = exploded(df, [F.col(f"`{c}`") for c in df.columns], hits, "_hit")
     given = {"route", "prefix", "source", "primary_category"}
     kept = copies.select("_hit.*", *[F.col(f"`{c}`") for c in df.columns if c not in given])
     return kept if cap is None else first_per_group(kept, ["route"], order, cap)

@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
-from casegrain.operators.features import TfidfModel, fit_tfidf, term_table, unit_vectors
+from casegrain.operators.features import (
+    TfidfModel,
+    fit_tfidf,
+    long_weights,
+    term_table,
+    unit_vectors,
+)
 from casegrain.operators.ranking import first_per_group
 from casegrain.operators.ranking import top_k as ranked_top_k
 from casegrain.operators.scaling import is_small, join_hot
-from casegrain.operators.terms import with_term_counts
+from casegrain.operators.terms import exploded, with_term_counts
 from casegrain.workspace import written
 
 SCORE_DIGITS = 6
@@ -37,7 +43,7 @@ class Bm25Index:
 
     def postings(self) -> DataFrame:
         """``(term, doc_id, tf)``."""
-        return self.docs.select("doc_id", F.explode("terms").alias("_p")).select(
+        return exploded(self.docs, ["doc_id"], "terms", "_p").select(
             "_p.term", "doc_id", F.col("_p.tf").cast("bigint").alias("tf")
         )
 
@@ -72,47 +78,52 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def bm25_index(docs: DataFrame, text_column: str = "text", keep: bool = True) -> Bm25Index:
     """Index ``(doc_id, text)``.
 
-    The document side is written once (``keep``), since document frequencies
-    and every search hang off it. Document frequencies are the only shuffle.
+    Both sides are written once (``keep``), since every search hangs off them.
+    Document frequencies are the only shuffle.
     """
     forward = document_terms(docs, text_column)
     if keep:
         forward = written(forward, "bm25-docs")
     n_docs = forward.agg(F.count(F.lit(1))).scalar()
     frequencies = (
-        forward.select(F.explode("terms.term").alias("term"))
+        exploded(forward, [], "terms.term", "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
     idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Bm25Index(forward, frequencies.withColumn("idf", idf))
+    terms = frequencies.withColumn("idf", idf)
+    return Bm25Index(forward, written(terms, "bm25-terms") if keep else terms)
 
 
 def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
     """``(qid, term, qtf)``: a term repeated in a query counts each time."""
     counted = with_term_counts(queries.select("qid", text_column), text.tokens(F.col(text_column)))
-    return counted.select("qid", F.explode("terms").alias("_t")).select(
+    return exploded(counted, ["qid"], "terms", "_t").select(
         "qid", "_t.term", F.col("_t.tf").alias("qtf")
     )
 
 
-def dot_by_document(
-    doc_terms: DataFrame, query_side: DataFrame, partial: Column
-) -> DataFrame:
+def dot_by_document(doc_terms: DataFrame, asked: DataFrame, partial: Column) -> DataFrame:
     """``(qid, doc_id, score)``: the sum of ``partial`` over shared terms.
 
-    ``doc_terms(doc_id, term, ...)`` is first cut to terms any query has, then
-    brought together by document, and only then met with the queries. The sum
-    needs no further shuffle: what moves is one row per (document, term), never
-    one per (query, document).
+    ``doc_terms(doc_id, term, ...)`` is first cut to terms any query has, each
+    term then going by a number, then brought together by document, and only
+    then met with the queries. The sum needs no further shuffle: what moves is
+    one narrow row per (document, term), never one per (query, document).
+
+    ``asked(qid, term, ...)`` is a written table.
     """
-    wanted = query_side.select("term").distinct()
-    small = is_small(query_side)
-    relevant = join_hot(doc_terms, wanted, "term", "doc_id", "left_semi", small)
+    small = is_small(asked)
+    numbers = written(
+        asked.select("term").distinct().withColumn("term_no", F.monotonically_increasing_id()),
+        "query-terms",
+    )
+    numbered = asked.join(F.broadcast(numbers) if small else numbers, "term").drop("term")
+    relevant = join_hot(doc_terms, numbers, "term", "doc_id", small=small).drop("term")
     if small:
-        matched = relevant.repartition("doc_id").join(F.broadcast(query_side), "term")
+        matched = relevant.repartition("doc_id").join(F.broadcast(numbered), "term_no")
     else:
-        matched = join_hot(relevant, query_side, "term", "doc_id", small=False)
+        matched = join_hot(relevant, numbered, "term_no", "doc_id", small=False)
     return matched.groupBy("doc_id", "qid").agg(F.round(F.sum(partial), SCORE_DIGITS).alias("score"))
 
 
@@ -122,16 +133,15 @@ def bm25_scores(
     avg_len = corpus_stats(index.docs).select("avg_len").scalar()
     # k1 * (1 - b + b * len / avg) is settled per document, ahead of the terms.
     norm = k1 * (1 - b + b * F.col("len") / avg_len)
-    doc_terms = (
-        index.docs.withColumn("_norm", norm)
-        .select("doc_id", "_norm", F.explode("terms").alias("_p"))
-        .select(
-            "doc_id",
-            F.col("_p.term").alias("term"),
-            (F.col("_p.tf") * (k1 + 1) / (F.col("_p.tf") + F.col("_norm"))).alias("saturated"),
-        )
+    postings = exploded(index.docs.withColumn("_norm", norm), ["doc_id", "_norm"], "terms", "_p")
+    doc_terms = postings.select(
+        "doc_id",
+        F.col("_p.term").alias("term"),
+        (F.col("_p.tf") * (k1 + 1) / (F.col("_p.tf") + F.col("_norm"))).alias("saturated"),
+    )
+    asked = written(
+        query_terms(queries).join(index.terms.select("term", "idf"), "term"), "bm25-queries"
     )
-    asked = query_terms(queries).join(index.terms.select("term", "idf"), "term")
     return dot_by_document(
         doc_terms, asked, F.col("qtf") * F.col("idf") * F.col("saturated")
     )
@@ -162,12 +172,12 @@ def tfidf_rank(
     queries: DataFrame, terms: DataFrame, model: TfidfModel, k: int = 10,
     exclude_self: bool = False,
 ) -> DataFrame:
-    weigh = lambda t: unit_vectors(t, model).select("*", F.explode("vector").alias("_v"))
-    doc_terms = weigh(terms).select(
-        "doc_id", F.col("_v.term").alias("term"), F.col("_v.weight").alias("doc_weight")
+    doc_terms = long_weights(unit_vectors(terms, model)).select(
+        "doc_id", "term", F.col("weight").alias("doc_weight")
     )
-    asked = weigh(term_table(queries, "text", ["qid"], model.stop_words)).select(
-        "qid", F.col("_v.term").alias("term"), F.col("_v.weight").alias("query_weight")
+    asked_terms = written(term_table(queries, "text", ["qid"], model.stop_words), "query-terms")
+    asked = long_weights(unit_vectors(asked_terms, model)).select(
+        "qid", "term", F.col("weight").alias("query_weight")
     )
     asked = written(asked, "tfidf-queries")
     scores = dot_by_document(doc_terms, asked, F.col("doc_weight") * F.col("query_weight"))

@@ -39,3 +39,15 @@ def with_term_counts(df: DataFrame, terms: Column, out: str = "terms") -> DataFr
         )
         .drop("_sorted", "_starts")
     )
+
+
+def exploded(df: DataFrame, keep: list, array: Column | str, out: str) -> DataFrame:
+    """``keep`` columns and one row per array element.
+
+    Spark guards a plain ``explode`` with a filter on the array's size and
+    pushes that filter down to where the array is computed, so that costly
+    arrays are computed twice. The outer form has no such filter; its one null
+    row for an empty array is dropped afterwards.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(out))
+    return rows.where(F.col(out).isNotNull())

@@ -2,7 +2,9 @@
 
 from casegrain.plans import (  # noqa: F401
     corpus_queries,
+    learning_queries,
     retrieval_queries,
+    source_queries,
     text_queries,
 )
 from casegrain.plans.catalog import ORACLES, QUERIES

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casegrain.operators import metrics, ranking
 from casegrain.operators.benchmark import graded, same_category
-from casegrain.operators.dense import dense_search, inner_product, unit
+from casegrain.operators.dense import dense_search, inner_product, with_unit_vectors
 from casegrain.operators.retrieval import (
     bm25_index,
     bm25_scores,
@@ -102,8 +102,8 @@ def search_tfidf(spark, sf):
 @registered(f"SELECT vec_id, e.i AS i, round(u[e.i], 6) AS x FROM (SELECT vec_id, {q.unit('embedding')} AS u, "
             "unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e")
 def unit_embeddings(spark, sf):
-    units = read_table(spark, sf, "embeddings").select(
-        "vec_id", F.posexplode(unit(F.col("embedding"))).alias("i", "x")
+    units = with_unit_vectors(read_table(spark, sf, "embeddings"), "embedding").select(
+        "vec_id", F.posexplode_outer("vector").alias("i", "x")
     )
     return units.select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
@@ -117,8 +117,8 @@ vector_queries AS (SELECT doc_id AS qid, vector, label FROM (
 
 
 def _vectors(spark, sf):
-    return read_table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), unit(F.col("embedding")).alias("vector"), "label"
+    return with_unit_vectors(read_table(spark, sf, "embeddings"), "embedding").select(
+        F.col("vec_id").alias("doc_id"), "vector", "label"
     )
 
 
@@ -154,7 +154,7 @@ FROM vectors JOIN centres USING (label)""")
 def similarity_to_centre(spark, sf):
     """Inner product of each vector with the mean of its label, column by column."""
     vectors = _vectors(spark, sf)
-    means = vectors.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(
+    means = vectors.select("label", F.posexplode_outer("vector").alias("i", "x")).groupBy("label", "i").agg(
         F.avg("x").alias("m")
     )
     centres = means.groupBy("label").agg(

@@ -76,8 +76,10 @@ def read_qrels(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     objects = spark.read.text(path, wholetext=not lines)
     return (
         objects.select(F.from_json("value", QRELS_TYPE).alias("judged"))
-        .select(F.explode("judged").alias("qid", "docs"))
-        .select("qid", F.explode("docs").alias("doc_id", "rel"))
+        # The outer form keeps Spark from parsing twice to test for emptiness.
+        .select(F.explode_outer("judged").alias("qid", "docs"))
+        .select("qid", F.explode_outer("docs").alias("doc_id", "rel"))
+        .where("doc_id is not null")
     )
 
 
