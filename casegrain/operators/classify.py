@@ -34,6 +34,9 @@ from casegrain.operators.features import (
 from casegrain.workspace import written
 
 
+TOLERANCE = 1e-4
+
+
 class TextPipeline:
     """Cleaning, TF-IDF and label codes, fitted on training rows only."""
 
@@ -126,15 +129,19 @@ def classifiers(n_train: int, seed: int = fixed.SEED) -> dict[str, Estimator]:
         "MultinomialNB": NaiveBayes(modelType="multinomial", smoothing=fixed.NB_SMOOTHING, **columns),
         "LogisticRegression": LogisticRegression(
             family="multinomial", regParam=1.0 / (2.0 * n_train), maxIter=1000,
-            standardization=False, **weighted,
+            tol=TOLERANCE, standardization=False, **weighted,
         ),
         "LinearSVC": OneVsRest(
             classifier=LinearSVC(
-                regParam=1.0 / (1.0 * n_train), maxIter=2000, standardization=False
+                regParam=1.0 / (1.0 * n_train), maxIter=2000, tol=TOLERANCE,
+                standardization=False,
             ),
+            parallelism=8,
             **weighted,
         ),
-        "RandomForest": RandomForestClassifier(numTrees=150, maxDepth=30, seed=seed, **columns),
+        "RandomForest": RandomForestClassifier(
+            numTrees=150, maxDepth=30, maxMemoryInMB=1024, seed=seed, **columns
+        ),
     }
 
 

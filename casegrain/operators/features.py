@@ -150,7 +150,8 @@ def ml_vectors(vectors: DataFrame, size: int) -> DataFrame:
         ).alias("features"),
     )
     path = fresh_path(spark, "features")
-    stored.write.parquet(path)
+    # Even files of a good size: iterative fits read this table many times.
+    stored.hint("rebalance").write.parquet(path)
     fields = [f for f in vectors.schema.fields if f.name in keys]
     schema = T.StructType(fields + [T.StructField("features", VectorUDT())])
     return spark.read.schema(schema).parquet(path)
@@ -160,18 +161,23 @@ def ml_vectors(vectors: DataFrame, size: int) -> DataFrame:
 
 
 class LabelCodes:
-    """Labels in sorted order as codes 0 to k-1, and back."""
+    """Labels in sorted order as codes 0 to k-1, and back.
 
-    def __init__(self, labels: Sequence[str]):
+    ``counts`` are the rows per label of the table it was fitted on.
+    """
+
+    def __init__(self, labels: Sequence[str], counts: Sequence[int] | None = None):
         self.labels = sorted(labels)
+        given = dict(zip(labels, counts)) if counts else {}
+        self.counts = [given[x] for x in self.labels] if given else None
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, at_most: int = 10_000) -> LabelCodes:
-        found = df.select(column).where(F.col(column).isNotNull()).distinct()
+        found = df.where(F.col(column).isNotNull()).groupBy(column).count()
         rows = found.limit(at_most + 1).collect()
         if len(rows) > at_most:
             raise ValueError(f"more than {at_most} labels in {column}")
-        return cls([row[0] for row in rows])
+        return cls([row[0] for row in rows], [row[1] for row in rows])
 
     def encode(self, label: Column) -> Column:
         """The code of a label; one that was not seen is an error when it runs."""

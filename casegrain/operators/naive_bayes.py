@@ -39,7 +39,7 @@ def fit_naive_bayes(
     """Class priors and smoothed term likelihoods from ``(label, vector)`` rows.
 
     Weights are summed per (term, class) in the map tasks first. Only per-class
-    totals (one row) come to the driver.
+    totals (one row) come to the driver. ``codes`` are fitted on the same rows.
     """
     codes = codes or LabelCodes.fit(vectors, label)
     in_class = lambda value, c: F.sum(F.when(F.col(label) == c, value).otherwise(0.0))
@@ -50,9 +50,7 @@ def fit_naive_bayes(
     per_term = written(per_term, "naive-bayes")
     mass = lambda i: F.sum(F.get("mass", F.lit(i)))
     totals = per_term.agg(*[mass(i).alias(f"m{i}") for i in range(len(codes.labels))]).first()
-    counts = vectors.agg(
-        *[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(codes.labels)]
-    ).first()
+    counts = codes.counts or LabelCodes.fit(vectors, label).counts
     n = sum(counts)
     floor = [math.log(smoothing) - math.log((m or 0.0) + smoothing * n_terms) for m in totals]
     prior = [math.log(c / n) for c in counts]
