@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from casegrain.operators.ranking import top_k
 
 SCORE_DIGITS = 6
-BROADCAST_QUERIES = 20_000
-QUERY_BLOCK = 2_000
-DOCUMENT_BLOCK = 50_000
+# Bounds in vector elements (8 bytes each): what is broadcast, and one block.
+BROADCAST_CELLS = 4_000_000
+QUERY_CELLS = 250_000
+DOCUMENT_CELLS = 2_500_000
 
 
 def with_unit_vectors(df: DataFrame, vector: str, out: str = "vector") -> DataFrame:
@@ -90,24 +91,24 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 def dense_scores(
     queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False,
-    broadcast_queries: int = BROADCAST_QUERIES, query_block: int = QUERY_BLOCK,
-    document_block: int = DOCUMENT_BLOCK,
+    broadcast_cells: int = BROADCAST_CELLS, query_cells: int = QUERY_CELLS,
+    document_cells: int = DOCUMENT_CELLS,
 ) -> DataFrame:
     """Candidates ``(qid, doc_id, score)``, at most ``k`` per query and task.
 
     Every query is scored against every document by block-wise matrix products
     in Arrow batches; a task keeps ``k`` documents per query, and no pair
-    leaves it otherwise. Up to ``broadcast_queries`` queries (counted) go to
-    the documents, which stay where they are. More queries are cut into blocks,
-    the documents too, and each pair of blocks is one bounded group.
+    leaves it otherwise. Queries of up to ``broadcast_cells`` elements (counted)
+    go to the documents, which stay where they are. More queries are cut into
+    blocks, the documents too, and each pair of blocks is one bounded group.
     """
     schema = _score_schema(queries, docs)
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
     held = docs.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
-    n_queries = asked.count()
+    n_queries, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if n_queries == 0:
         return queries.sparkSession.createDataFrame([], schema)
-    if n_queries <= broadcast_queries:
+    if n_queries * width <= broadcast_cells:
         table = asked.toPandas()
         shared = queries.sparkSession.sparkContext.broadcast(
             (table["qid"].to_numpy(), _matrix(table["vector"]))
@@ -128,8 +129,8 @@ def dense_scores(
             best.add(held_block["doc_id"].to_numpy(), _matrix(held_block["vector"]))
         return best.best()
 
-    q_blocks = -(-n_queries // query_block)
-    d_blocks = max(1, -(-held.count() // document_block))
+    q_blocks = -(-n_queries * width // query_cells)
+    d_blocks = max(1, -(-held.count() * width // document_cells))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q_side = asked.withColumn("_q", block("qid", q_blocks)).withColumn("_d", every(d_blocks))

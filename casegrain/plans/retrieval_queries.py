@@ -139,7 +139,7 @@ def search_dense_blocks(spark, sf):
     """The same search by the plan for very many queries."""
     return dense_search(
         _vector_queries(spark, sf), _vectors(spark, sf), 20,
-        broadcast_queries=0, query_block=200, document_block=200,
+        broadcast_cells=0, query_cells=20_000, document_cells=20_000,
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegrain.operators.scaling import join_hot
 from casegrain.sources.readers import CSV_OPTIONS, read_if_present
+from casegrain.workspace import written
 
 JUDGMENTS_PER_LINE = 1000
 
@@ -54,7 +56,7 @@ def qrels_lines(qrels: DataFrame, per_line: int = JUDGMENTS_PER_LINE) -> DataFra
     """
     lines = qrels.groupBy("qid").agg(F.ceil(F.count(F.lit(1)) / per_line).alias("lines"))
     return (
-        qrels.join(lines, "qid")
+        join_hot(qrels, written(lines, "qrels-lines"), "qid", "doc_id")
         .withColumn("line", F.pmod(F.xxhash64("doc_id"), F.col("lines")))
         .groupBy("qid", "line")
         .agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "rel"))).alias("docs"))
