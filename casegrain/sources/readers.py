@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Quoted fields may span lines and keep their blanks; '' and null stay apart.
+# Quoted fields may span lines and keep their blanks; an empty field is null.
 CSV_OPTIONS = {
     "quote": '"',
     "escape": '"',
