@@ -55,8 +55,9 @@ class TextPipeline:
         return term_table(cleaned, "_clean", keep, self.stop_words)
 
     def fit(self, train: DataFrame) -> TextPipeline:
-        terms = written(self._terms(train, []), "pipeline-terms")
-        self.tfidf = fit_tfidf(terms, self.max_features, self.min_df, stop_words=self.stop_words)
+        self.tfidf = fit_tfidf(
+            self._terms(train, []), self.max_features, self.min_df, stop_words=self.stop_words
+        )
         self.codes = LabelCodes.fit(train, self.label)
         return self
 

@@ -11,6 +11,7 @@ from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators import records
 from casegrain.operators.ranking import keep_first, ranked_in_group, sample_rows
+from casegrain.operators.terms import computed_once
 from casegrain.sources import readers
 
 COPIES_PER_BLOCK = 1000
@@ -36,19 +37,18 @@ def ingest_agency(
         F.to_date(F.lit(date_received)).alias("date_received"),
         F.lit(product).alias("product"),
         raw.alias("raw_text"),
-        text.clean(raw).alias("cleaned_text"),
         label.alias("_label"),
     )
+    named = computed_once(named, "cleaned_text", text.clean(F.col("raw_text")))
     guide = (
         text.guided_taxonomy(F.col("_label"), F.col("cleaned_text"), **rules)
         if labelled
         else text.taxonomy(F.col("cleaned_text"), **rules)
     )
-    return named.select(
-        "*",
-        guide.alias("primary_category"),
-        F.coalesce("_label", F.lit(issue)).alias("original_issue"),
-    ).select(*fixed.AGENCY_COLUMNS)
+    labelled_rows = computed_once(named, "primary_category", guide).withColumn(
+        "original_issue", F.coalesce("_label", F.lit(issue))
+    )
+    return labelled_rows.select(*fixed.AGENCY_COLUMNS)
 
 
 def ingest_source(

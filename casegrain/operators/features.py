@@ -17,13 +17,29 @@ from casegrain.operators.terms import exploded, with_term_counts
 from casegrain.workspace import fresh_path, written
 
 
+def word_table(
+    df: DataFrame, text_column: str, keep: Sequence[str],
+    stop_words: Sequence[str] = tuple(fixed.STOP_WORDS),
+) -> DataFrame:
+    """``keep`` columns plus ``words``: the content words of each row, in order."""
+    return df.select(*keep, text.content_words(F.col(text_column), stop_words).alias("words"))
+
+
+def counted_terms(words: DataFrame) -> DataFrame:
+    """Replace ``words`` by ``terms``: counted one- and two-word terms.
+
+    Cheap next to finding the words, and several times their size: so it is the
+    words that get written, when anything is, and never the terms.
+    """
+    keys = [c for c in words.columns if c != "words"]
+    return with_term_counts(words, text.with_bigrams(F.col("words"))).select(*keys, "terms")
+
+
 def term_table(
     df: DataFrame, text_column: str, keep: Sequence[str],
     stop_words: Sequence[str] = tuple(fixed.STOP_WORDS),
 ) -> DataFrame:
-    """``keep`` columns plus ``terms``: counted one- and two-word terms per row."""
-    words = df.select(*keep, text.content_words(F.col(text_column), stop_words).alias("_words"))
-    return with_term_counts(words, text.with_bigrams(F.col("_words"))).select(*keep, "terms")
+    return counted_terms(word_table(df, text_column, keep, stop_words))
 
 
 @dataclass(frozen=True)
@@ -212,14 +228,15 @@ def class_terms(
 
     Plain term counts here (not sublinear) and every term from one document on.
     """
-    terms = written(term_table(docs, text_column, [id_column, label], stop_words), "class-terms")
+    words = written(word_table(docs, text_column, [id_column, label], stop_words), "class-words")
+    terms = counted_terms(words)
     model = fit_tfidf(terms, max_features, min_df=1, sublinear=False, stop_words=stop_words)
     sums = (
         long_weights(unit_vectors(terms, model))
         .groupBy(label, "term")
         .agg(F.sum("weight").alias("_sum"))
     )
-    sizes = terms.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = words.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     means = sums.join(sizes, label).select(
         label, "term", F.round(F.col("_sum") / F.col("_size"), 6).alias("mean_weight")
     )

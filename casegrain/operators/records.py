@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.ranking import first_per_group
-from casegrain.operators.terms import exploded
+from casegrain.operators.terms import computed_once, exploded
 
 
 def with_value(df: DataFrame, column: str, value) -> DataFrame:
@@ -109,7 +109,7 @@ def corpus_records(
     )
     generated = F.concat("_prefix", F.md5(F.concat_ws("|", "source", "raw_text")))
     return (
-        named.withColumn("cleaned_text", text.clean(F.col("raw_text")))
+        computed_once(named, "cleaned_text", text.clean(F.col("raw_text")))
         .withColumn("complaint_id", F.coalesce("_id", generated) if id_column else generated)
         .withColumn("word_count", text.word_count(F.col("cleaned_text")))
         .select(*fixed.CORPUS_COLUMNS)

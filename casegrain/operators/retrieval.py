@@ -16,10 +16,12 @@ from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.features import (
     TfidfModel,
+    counted_terms,
     fit_tfidf,
     long_weights,
     term_table,
     unit_vectors,
+    word_table,
 )
 from casegrain.operators.ranking import first_per_group
 from casegrain.operators.ranking import top_k as ranked_top_k
@@ -32,7 +34,7 @@ SCORE_DIGITS = 6
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``docs(doc_id, len, terms)`` and ``terms(term, df, idf)``.
+    """``docs(doc_id, len, terms)`` and ``terms(term, df, idf, term_no)``.
 
     ``docs`` holds one row per document, empty ones included; ``terms`` there
     is ``array<struct<term, tf>>``.
@@ -75,15 +77,14 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def bm25_index(docs: DataFrame, text_column: str = "text", keep: bool = True) -> Bm25Index:
+def bm25_index(docs: DataFrame, text_column: str = "text") -> Bm25Index:
     """Index ``(doc_id, text)``.
 
-    Both sides are written once (``keep``), since every search hangs off them.
-    Document frequencies are the only shuffle.
+    Both sides are written once, since every search hangs off them and the
+    numbers of the terms must not change. Document frequencies are the only
+    shuffle.
     """
-    forward = document_terms(docs, text_column)
-    if keep:
-        forward = written(forward, "bm25-docs")
+    forward = written(document_terms(docs, text_column), "bm25-docs")
     n_docs = forward.agg(F.count(F.lit(1))).scalar()
     frequencies = (
         exploded(forward, [], "terms.term", "term")
@@ -91,8 +92,10 @@ def bm25_index(docs: DataFrame, text_column: str = "text", keep: bool = True) ->
         .agg(F.count(F.lit(1)).alias("df"))
     )
     idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = frequencies.withColumn("idf", idf)
-    return Bm25Index(forward, written(terms, "bm25-terms") if keep else terms)
+    terms = frequencies.withColumn("idf", idf).withColumn(
+        "term_no", F.monotonically_increasing_id()
+    )
+    return Bm25Index(forward, written(terms, "bm25-terms"))
 
 
 def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
@@ -103,27 +106,20 @@ def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
     )
 
 
-def dot_by_document(doc_terms: DataFrame, asked: DataFrame, partial: Column) -> DataFrame:
+def dot_by_document(
+    doc_terms: DataFrame, asked: DataFrame, key: str, partial: Column, small: bool,
+) -> DataFrame:
     """``(qid, doc_id, score)``: the sum of ``partial`` over shared terms.
 
-    ``doc_terms(doc_id, term, ...)`` is first cut to terms any query has, each
-    term then going by a number, then brought together by document, and only
-    then met with the queries. The sum needs no further shuffle: what moves is
-    one narrow row per (document, term), never one per (query, document).
-
-    ``asked(qid, term, ...)`` is a written table.
+    ``doc_terms(doc_id, key, ...)`` holds terms that some query has and is
+    clustered by document, ``asked(qid, key, ...)`` is a written table. With
+    few query terms the sum needs no further shuffle: what moves is one narrow
+    row per (document, term), never one per (query, document).
     """
-    small = is_small(asked)
-    numbers = written(
-        asked.select("term").distinct().withColumn("term_no", F.monotonically_increasing_id()),
-        "query-terms",
-    )
-    numbered = asked.join(F.broadcast(numbers) if small else numbers, "term").drop("term")
-    relevant = join_hot(doc_terms, numbers, "term", "doc_id", small=small).drop("term")
     if small:
-        matched = relevant.repartition("doc_id").join(F.broadcast(numbered), "term_no")
+        matched = doc_terms.join(F.broadcast(asked), key)
     else:
-        matched = join_hot(relevant, numbered, "term_no", "doc_id", small=False)
+        matched = join_hot(doc_terms, asked, key, "doc_id", small=False)
     return matched.groupBy("doc_id", "qid").agg(F.round(F.sum(partial), SCORE_DIGITS).alias("score"))
 
 
@@ -140,10 +136,17 @@ def bm25_scores(
         (F.col("_p.tf") * (k1 + 1) / (F.col("_p.tf") + F.col("_norm"))).alias("saturated"),
     )
     asked = written(
-        query_terms(queries).join(index.terms.select("term", "idf"), "term"), "bm25-queries"
+        query_terms(queries).join(index.terms.select("term", "term_no", "idf"), "term"),
+        "bm25-queries",
     )
+    small = is_small(asked)
+    # Cut to the terms asked for, which go by number from here on.
+    numbers = asked.select("term", "term_no").distinct()
+    relevant = join_hot(doc_terms, numbers, "term", "doc_id", small=small).drop("term")
     return dot_by_document(
-        doc_terms, asked, F.col("qtf") * F.col("idf") * F.col("saturated")
+        relevant.repartition("doc_id") if small else relevant,
+        asked.drop("term"), "term_no",
+        F.col("qtf") * F.col("idf") * F.col("saturated"), small,
     )
 
 
@@ -161,9 +164,10 @@ def tfidf_search(
     stop_words=tuple(fixed.STOP_WORDS), keep: bool = True,
 ) -> DataFrame:
     """Top ``k`` documents by cosine of TF-IDF vectors fitted on the documents."""
-    terms = term_table(docs, "text", ["doc_id"], stop_words)
+    words = word_table(docs, "text", ["doc_id"], stop_words)
     if keep:
-        terms = written(terms, "tfidf-terms")
+        words = written(words, "tfidf-words")
+    terms = counted_terms(words)
     model = fit_tfidf(terms, max_features=max_features, min_df=1, stop_words=stop_words, keep=keep)
     return tfidf_rank(queries, terms, model, k, exclude_self)
 
@@ -172,15 +176,22 @@ def tfidf_rank(
     queries: DataFrame, terms: DataFrame, model: TfidfModel, k: int = 10,
     exclude_self: bool = False,
 ) -> DataFrame:
-    doc_terms = long_weights(unit_vectors(terms, model)).select(
-        "doc_id", "term", F.col("weight").alias("doc_weight")
-    )
-    asked_terms = written(term_table(queries, "text", ["qid"], model.stop_words), "query-terms")
+    asked_terms = term_table(queries, "text", ["qid"], model.stop_words)
     asked = long_weights(unit_vectors(asked_terms, model)).select(
-        "qid", "term", F.col("weight").alias("query_weight")
+        "qid", "idx", F.col("weight").alias("query_weight")
     )
     asked = written(asked, "tfidf-queries")
-    scores = dot_by_document(doc_terms, asked, F.col("doc_weight") * F.col("query_weight"))
+    small = is_small(asked)
+    # The vectors come out clustered by document and stay so.
+    doc_terms = long_weights(unit_vectors(terms, model)).select(
+        "doc_id", "idx", F.col("weight").alias("doc_weight")
+    )
+    relevant = join_hot(
+        doc_terms, asked.select("idx").distinct(), "idx", "doc_id", "left_semi", small
+    )
+    scores = dot_by_document(
+        relevant, asked, "idx", F.col("doc_weight") * F.col("query_weight"), small
+    )
     return _ranked(scores.where("score > 0"), k, exclude_self)
 
 

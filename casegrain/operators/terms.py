@@ -51,3 +51,13 @@ def exploded(df: DataFrame, keep: list, array: Column | str, out: str) -> DataFr
     """
     rows = df.select(*keep, F.explode_outer(array).alias(out))
     return rows.where(F.col(out).isNotNull())
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    A plain projection would be copied into every filter above it, and those
+    filters pushed down to the scan. What a generator gives is not copied.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))

@@ -26,6 +26,7 @@ from casegrain.operators.corpus import (
     top_up,
 )
 from casegrain.operators.splitting import split_parity, stratified_split
+from casegrain.operators.terms import computed_once
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
 from casegrain.plans.standins import (
@@ -35,6 +36,7 @@ from casegrain.plans.standins import (
     keys,
     split_keys,
     test_queries,
+    texts,
 )
 from casegrain.plans.text_queries import rules_sql
 from casegrain.sources.readers import concatenate
@@ -238,20 +240,23 @@ merged AS (
 
 def three_sources(spark, sf):
     """Three tables of different shape as records; pages have no category."""
-    record = lambda table, source, ident, category, raw: table.select(
-        F.lit(source).alias("source"),
-        ident.cast("string").alias("complaint_id"),
-        *([F.col(category).alias("primary_category")] if category else []),
-        F.col(raw).alias("raw_text"),
-        text.clean(F.col(raw)).alias("cleaned_text"),
+    record = lambda table, source, ident, category, raw: computed_once(
+        table.select(
+            F.lit(source).alias("source"),
+            ident.cast("string").alias("complaint_id"),
+            *([F.col(category).alias("primary_category")] if category else []),
+            F.col(raw).alias("raw_text"),
+        ),
+        "cleaned_text",
+        text.clean(F.col("raw_text")),
     )
     return [
         record(documents(spark, sf, "doc_id", "lang", "text"), "documents", F.col("doc_id"), "lang", "text"),
         record(
-            read_table(spark, sf, "conversations"), "conversations",
+            texts(spark, sf, "conversations"), "conversations",
             F.concat_ws("-", "conv_id", "turn"), "role", "text",
         ),
-        record(read_table(spark, sf, "pages"), "pages", F.col("page_id"), None, "html"),
+        record(texts(spark, sf, "pages"), "pages", F.col("page_id"), None, "html"),
     ]
 
 
@@ -317,7 +322,7 @@ SELECT 'police_' || md5('police|' || html) AS complaint_id, 'police' AS source,
 FROM (SELECT html, {q.cleaned('html')} AS c FROM pages)""")
 def ingest_report_dump(spark, sf):
     # The text column goes by a name that has to be found.
-    dump = read_table(spark, sf, "pages").withColumnRenamed("html", "Incident_Report")
+    dump = texts(spark, sf, "pages").withColumnRenamed("html", "Incident_Report")
     return ingest_source(
         dump.select("page_id", "Incident_Report"), "police",
         words=fixed.TEXT_COLUMN_WORDS["police"],
@@ -356,14 +361,14 @@ REGULATOR_SQL = _loaded_sql(
     "'phishing_smishing'", "(SELECT * FROM conversations WHERE role = 'user')",
 ))
 def load_spam_messages(spark, sf):
-    turns = read_table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     label = F.when(F.col("role") == "user", "spam").otherwise("ham")
     return load_sms_spam(turns.select(label.alias("label"), "text"))
 
 
 @registered(f"{HATE_SQL} ORDER BY md5('42|' || complaint_id), complaint_id LIMIT 700")
 def load_hate_speech_sample(spark, sf):
-    turns = read_table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     return load_hate_speech(turns.select(F.col("turn").alias("class"), F.col("text").alias("tweet")))
 
 
@@ -371,7 +376,7 @@ def load_hate_speech_sample(spark, sf):
     "html", "'clair_'", "'CLAIR Fraud Email Corpus'", "'online_financial_fraud'", "pages"
 ))
 def load_fraud_mails(spark, sf):
-    mails = read_table(spark, sf, "pages").select("url", F.col("html").alias("Mail Body"))
+    mails = texts(spark, sf, "pages").select("url", F.col("html").alias("Mail Body"))
     return load_fraud_mail(mails)
 
 
@@ -432,14 +437,13 @@ added AS (
 
 
 def _pool(spark, sf):
-    turns = read_table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     langs = F.array(*[F.lit(x) for x in LANGS])
     return turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("complaint_id"),
         F.get(langs, (F.col("turn") % 4).cast("int")).alias("primary_category"),
         F.col("text").alias("raw_text"),
-        text.clean(F.col("text")).alias("cleaned_text"),
-    )
+    ).transform(computed_once, "cleaned_text", text.clean(F.col("raw_text")))
 
 
 @registered(f"WITH {POOL_SQL} SELECT * FROM added")

@@ -72,7 +72,7 @@ def _split_corpus(spark, sf):
 @registered(f"WITH {TRAIN} SELECT term, df, round(idf, 6) AS idf FROM fit_voc")
 def tfidf_vocabulary(spark, sf):
     train = _split_corpus(spark, sf).where("split = 'train'")
-    terms = written(term_table(train, "cleaned_text", ["complaint_id"]), "terms")
+    terms = term_table(train, "cleaned_text", ["complaint_id"])
     return fit_tfidf(terms).vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

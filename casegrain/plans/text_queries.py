@@ -10,7 +10,7 @@ from casegrain.operators import records
 from casegrain.operators.corpus import ingest_agency
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
-from casegrain.plans.standins import corpus, documents
+from casegrain.plans.standins import corpus, documents, texts
 from casegrain.sources.readers import require_columns
 from casegrain.workspace import read_table
 
@@ -139,7 +139,7 @@ _register_mask("ip", text.mask_ip)
 
 @registered(f"SELECT page_id, {q.collapsed('html')} AS collapsed FROM pages")
 def collapse_whitespace(spark, sf):
-    pages = read_table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages")
     return pages.select("page_id", text.collapse_whitespace(F.col("html")).alias("collapsed"))
 
 
@@ -159,14 +159,14 @@ def clean_text(spark, sf):
 
 @registered(f"SELECT page_id, {q.cleaned('html')} AS cleaned FROM pages")
 def clean_pages(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", text.clean(F.col("html")).alias("cleaned"))
+    return texts(spark, sf, "pages").select("page_id", text.clean(F.col("html")).alias("cleaned"))
 
 
 @registered(f"""
 SELECT conv_id, turn, {q.words('c')} AS words
 FROM (SELECT conv_id, turn, {q.cleaned('text')} AS c FROM conversations)""")
 def word_count(spark, sf):
-    turns = read_table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     return turns.select("conv_id", "turn", text.word_count(text.clean(F.col("text"))).alias("words"))
 
 

@@ -14,6 +14,7 @@ from casegrain.operators.naive_bayes import (
     fit_naive_bayes,
     predict_naive_bayes,
 )
+from casegrain.operators.terms import computed_once
 from casegrain.operators.retrieval import Bm25Index, bm25_index, bm25_search, fuse
 
 
@@ -74,7 +75,7 @@ class TriageEngine:
 
         A narrative without any similar case keeps one row.
         """
-        cleaned = narratives.select("qid", text.clean(F.col("text")).alias("cleaned_text"))
+        cleaned = computed_once(narratives, "cleaned_text", text.clean(F.col("text")))
         predicted = self.classify(cleaned)
         lines = case_lines(self.search(cleaned, k, dense), self.cases)
         return predicted.join(lines, "qid", "left")
