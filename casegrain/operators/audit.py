@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.terms import exploded
+from casegrain.workspace import written
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -89,7 +90,7 @@ def histogram(df: DataFrame, column: str, bins: int = fixed.HISTOGRAM_BINS) -> D
 
     Empty bins are kept. Everything after the first count is small.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")), "histogram")
     low, high = (counts.agg(f(column)).scalar() for f in (F.min, F.max))
     position = F.expr(f"(_value - _low) * {bins} div nullif(_high - _low, 0)")
     placed = counts.select(F.col(column).alias("_value"), low.alias("_low"), high.alias("_high"), "_n")

@@ -55,12 +55,11 @@ def stratified_split(
 def split_parity(split: DataFrame, label: str = "primary_category") -> DataFrame:
     """Percent of each class in the training and the test split, side by side."""
     wanted = ["train", "test"]
-    # Grouped to one row per class and split before anything else.
-    counts = split.groupBy(label).agg(
-        *[F.count_if(F.col("split") == s).alias(s) for s in wanted]
+    counts = written(
+        split.groupBy(label).agg(*[F.count_if(F.col("split") == s).alias(s) for s in wanted]),
+        "split-counts",
     )
-    totals = split.agg(*[F.count_if(F.col("split") == s).alias(s) for s in wanted])
     percent = lambda s: F.round(
-        F.lit(100.0) * F.col(s) / F.nullif(totals.select(s).scalar(), F.lit(0)), 2
+        F.lit(100.0) * F.col(s) / F.nullif(counts.agg(F.sum(s)).scalar(), F.lit(0)), 2
     )
     return counts.select(label, *[percent(s).alias(f"{s}_percent") for s in wanted])

@@ -40,7 +40,7 @@ from casegrain.plans.standins import (
 )
 from casegrain.plans.text_queries import rules_sql
 from casegrain.sources.readers import concatenate
-from casegrain.workspace import read_table
+from casegrain.workspace import read_table, written
 
 LANGS = ["en", "fr", "de", "es"]
 
@@ -115,18 +115,17 @@ def duplicate_texts(spark, sf):
 
 
 @registered("""
-SELECT lang, list_aggregate(list_sort(list(DISTINCT doc_id)), 'string_agg', ',') AS ids,
-       count(DISTINCT doc_id) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+SELECT DISTINCT lang, source, doc_id,
+       count(*) OVER (PARTITION BY lang) AS in_category,
+       count(*) OVER (PARTITION BY lang, source) AS in_issue
+FROM documents""")
 def ids_per_category(spark, sf):
-    # The plain form of the category index; judgments are built without it.
-    labelled = read_table(spark, sf, "labels").join(
-        read_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id"
-    )
-    ids = F.sort_array(F.collect_set("doc_id"))
-    return labelled.groupBy("lang").agg(
-        F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"),
-        F.countDistinct("doc_id").alias("n"),
-    )
+    """The category index as rows; a set per category would not fit a task."""
+    table = read_table(spark, sf, "documents").select("lang", "source", "doc_id").distinct()
+    issues = table.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("in_issue"))
+    categories = issues.groupBy("lang").agg(F.sum("in_issue").alias("in_category"))
+    sizes = written(issues.join(categories, "lang"), "category-sizes")
+    return table.join(sizes, ["lang", "source"])
 
 
 @registered(f"""

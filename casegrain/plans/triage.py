@@ -14,17 +14,22 @@ from casegrain.operators.naive_bayes import (
     fit_naive_bayes,
     predict_naive_bayes,
 )
-from casegrain.operators.terms import computed_once
 from casegrain.operators.retrieval import Bm25Index, bm25_index, bm25_search, fuse
+from casegrain.operators.scaling import join_hot
+from casegrain.operators.terms import computed_once
+from casegrain.workspace import written
 
 
 def case_lines(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Hits ``(qid, rank, doc_id, score)`` with their document and a summary line.
 
-    A hit whose document is unknown keeps its place.
+    A hit whose document is unknown keeps its place. The documents are cut to
+    those hit first, so that their texts stay where they are.
     """
+    hits = written(hits, "hits")
     known = docs.select("doc_id", "category", "source", F.col("text").alias("passage"))
-    found = hits.join(known, "doc_id", "left")
+    wanted = join_hot(known, hits.select("doc_id").distinct(), "doc_id", "doc_id", "left_semi")
+    found = hits.join(wanted, "doc_id", "left")
     line = text.case_line(
         F.col("rank"), F.col("score"), F.col("doc_id").cast("string"), F.col("category"), F.col("source")
     )
