@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from casegrain import fixed_values as fixed
 from casegrain.operators import metrics
 from casegrain.operators.classify import (
     TextPipeline,
@@ -24,7 +23,6 @@ from casegrain.operators.features import (
     fit_tfidf,
     long_weights,
     term_table,
-    unit_vectors,
 )
 from casegrain.operators.naive_bayes import fit_naive_bayes, predict_naive_bayes
 from casegrain.operators.splitting import stratified_split

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casegrain.functions import text
 from casegrain.operators import metrics, ranking
 from casegrain.operators.benchmark import graded, same_category
 from casegrain.operators.dense import dense_search, inner_product, with_unit_vectors
@@ -15,18 +16,17 @@ from casegrain.operators.retrieval import (
     query_terms,
     tfidf_search,
 )
+from casegrain.operators.splitting import stratified_split
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
-from casegrain.plans.standins import (
-    cases,
-    documents,
-    keys,
-    narratives,
-    split_keys,
-    test_queries,
-)
+from casegrain.plans.standins import cases, documents, keys, narratives, split_keys
 from casegrain.plans.triage import TriageEngine, case_lines
-from casegrain.streaming.triage_stream import narrative_stream, triage_stream, triaged, rule_labelled
+from casegrain.streaming.triage_stream import (
+    narrative_stream,
+    rule_labelled,
+    triage_stream,
+    triaged,
+)
 from casegrain.workspace import fresh_path, read_table, written
 
 ASKED = "asked AS (SELECT item_id AS qid, text FROM benchmark)"
@@ -189,13 +189,11 @@ hybrid_qrels AS (
 
 def _hybrid(spark, sf):
     """Documents with text and vector, benchmark queries among them, judgments."""
-    from casegrain.operators.splitting import stratified_split
-
     vectors = _vectors(spark, sf).drop("label")
     docs = written(
         documents(spark, sf, "doc_id", "text", "lang").join(vectors, "doc_id").select(
             "doc_id", F.col("lang").alias("primary_category"), "vector",
-            _clean("text").alias("text"),
+            text.clean(F.col("text")).alias("text"),
         ),
         "hybrid",
     )
@@ -211,12 +209,6 @@ def _hybrid(spark, sf):
     return docs, queries, qrels
 
 
-def _clean(column):
-    from casegrain.functions import text
-
-    return text.clean(F.col(column))
-
-
 @registered(f"""
 WITH {HYBRID}, {q.bm25('docs', 'hybrid_queries', k=50)}, {q.dense('docs', 'hybrid_queries', k=50)},
 {q.fused('bm25', 'dense', k=20)}

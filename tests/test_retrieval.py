@@ -145,8 +145,10 @@ def brute_tfidf(docs, queries, k, features):
     return out
 
 
-def test_tfidf_equals_brute_force(frames):
+@pytest.mark.parametrize("small", [True, False])
+def test_tfidf_equals_brute_force(frames, monkeypatch, small):
     docs, df, queries = frames
+    monkeypatch.setattr(retrieval, "is_small", lambda *a: small)
     got = lists_of(tfidf_search(queries, df, 6, max_features=30, stop_words=()))
     expected = brute_tfidf(docs, QUERIES, 6, 30)
     assert {q: [d for d, _ in r] for q, r in got.items()} == {
