@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -11,19 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 @lru_cache(maxsize=None)
 def _local_folder(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"casegrain-{application_id}-")
+    folder = tempfile.mkdtemp(prefix=f"casegrain-{application_id}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: what ``spark.checkpoint.dir`` names.
 
-    Only a single-machine ``local`` session may go without that setting.
+    Only a session whose driver is its only process (``local``, ``local[n]``) may
+    go without that setting; it gets a temporary folder, removed when it ends.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return _local_folder(sc.applicationId)
 
