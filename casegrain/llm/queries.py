@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegrain.llm import exact_dedup, mixing, simhash
+from casegrain.llm import exact_dedup, mixing, packing, simhash
 from casegrain.workspace import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@registered()
+def op1_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf, "documents"), with_ids=False)
+
+
 @registered()
 def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
