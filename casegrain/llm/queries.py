@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casegrain.llm import exact_dedup, mixing, packing, simhash
+import corpus_pipeline
+from casegrain.llm import exact_dedup, mixing, packing, simhash, toxicity
 from casegrain.workspace import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,12 @@ def op1_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(read_table(spark, sf, "documents"), with_ids=False)
 
 
+@registered()
+def op4_counterfactual_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, read_table(spark, sf, "labels")))
+
+
 @registered()
 def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
@@ -86,3 +93,8 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM hashed WINDOW same AS (PARTITION BY text)""")
 def op10_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.equal_texts(read_table(spark, sf, "documents"))
+
+
+@registered(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
