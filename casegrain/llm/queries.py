@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from casegrain.llm import exact_dedup, mixing, packing, simhash, toxicity
+from casegrain.llm import exact_dedup, mixing, packing, phrase_parsing, simhash, toxicity
 from casegrain.workspace import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
 
 
+@registered()
+def op8_locally_consistent_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return phrase_parsing.compared_with_edits(read_table(spark, sf, "documents"))
+
+
 @registered(r"""
 WITH sized AS (
   SELECT doc_id, source,
