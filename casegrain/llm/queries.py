@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from casegrain.llm import exact_dedup, mixing, packing, phrase_parsing, simhash, toxicity
+from casegrain.llm import exact_dedup, mixing, packing, phrase_parsing, simhash, toxicity, url_rules
 from casegrain.workspace import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,50 @@ def op1_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(read_table(spark, sf, "documents"), with_ids=False)
 
 
+_HOST = r"lower(regexp_extract(rest, '^[^/?#]*', 0))"
+_FITS = " ".join(
+    f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN "
+    f"struct_pack(rule := '{host}{path}', verdict := '{verdict}')"
+    for verdict, host, path in sorted(url_rules.RULES, key=lambda r: (-len(r[1] + r[2]), r))
+)
+
+
+@registered(rf"""
+WITH RECURSIVE split AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+  FROM pages
+), located AS (
+  SELECT page_id, coalesce({_HOST}, '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         {_HOST} || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS node,
+         html
+  FROM split
+), named AS (
+  SELECT node AS src, unnest(list_concat(
+    regexp_extract_all(html, '(?i)<link rel="canonical" href="[^":]*://([^"#]*)', 1),
+    regexp_extract_all(html, '(?i)<meta http-equiv="refresh" content="0; *url=[^":]*://([^"#]*)', 1))) AS dst
+  FROM located WHERE node IS NOT NULL
+), edges AS (
+  SELECT src, dst FROM named UNION SELECT dst, src FROM named
+), reach AS (
+  SELECT src AS node, src AS alias FROM edges
+  UNION SELECT reach.node, edges.dst FROM reach JOIN edges ON reach.alias = edges.src
+), judged_alias AS (
+  SELECT node, regexp_extract(alias, '^[^/?#]*', 0) AS host,
+         regexp_extract(alias, '^[^/?#]*([^?#]*)', 1) AS path, alias FROM reach
+), carried AS (
+  SELECT node, min(alias) AS class, bool_or(coalesce((CASE {_FITS} END).verdict = 'block', false)) AS blocked
+  FROM judged_alias GROUP BY node
+), own AS (
+  SELECT page_id, node, host, path, CASE {_FITS} END AS best FROM located
+)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict, class
+FROM own LEFT JOIN carried USING (node)""")
+def op3_redirect_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judged(read_table(spark, sf, "pages"))
+
+
 @registered()
 def op4_counterfactual_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
