@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casegrain.llm import exact_dedup, mixing, packing, phrase_parsing, simhash, toxicity, url_rules
+from casegrain.llm import edit_counts, exact_dedup, mixing, packing, phrase_parsing, simhash, toxicity, url_rules
 from casegrain.workspace import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +87,16 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
 
 
+@registered()
+def op7_edit_aware_counts(spark: SparkSession, sf: str) -> DataFrame:
+    trees = edit_counts.with_trees(read_table(spark, sf, "documents"))
+    counted = edit_counts.after_edits(trees, edit_counts.touch_ups(F.col("text")))
+    return counted.select(
+        "doc_id", "n_tokens", "edited_tokens", F.char_length("text").cast("long").alias("edited_chars"),
+        "encoded_chars",
+    )
+
+
 @registered()
 def op8_locally_consistent_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return phrase_parsing.compared_with_edits(read_table(spark, sf, "documents"))
