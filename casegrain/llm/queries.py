@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casegrain.llm import edit_counts, exact_dedup, mixing, packing, phrase_parsing, simhash, toxicity, url_rules
+from casegrain.llm import (
+    edit_counts, exact_dedup, kneser_ney, mixing, packing, phrase_parsing, simhash, toxicity, url_rules,
+)
 from casegrain.workspace import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +89,17 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
 
 
+@registered()
+def op6_kneser_ney_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    held_out = kneser_ney.held_out(F.col("doc_id"))
+    model = kneser_ney.train(docs.where(~held_out))
+    return kneser_ney.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
 @registered()
 def op7_edit_aware_counts(spark: SparkSession, sf: str) -> DataFrame:
     trees = edit_counts.with_trees(read_table(spark, sf, "documents"))
