@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casegrain.llm import (
-    edit_counts, exact_dedup, kneser_ney, mixing, packing, phrase_parsing, simhash, toxicity, url_rules,
+    edit_counts, exact_dedup, kneser_ney, mixing, packing, phrase_parsing, pii, simhash, toxicity, url_rules,
 )
 from casegrain.workspace import read_table
 
@@ -34,6 +34,11 @@ def op1_hierarchical_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(read_table(spark, sf, "documents"), with_ids=False)
 
 
+@registered()
+def op2_weakly_supervised_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.found_spans(read_table(spark, sf, "documents")))
+
+
 _HOST = r"lower(regexp_extract(rest, '^[^/?#]*', 0))"
 _FITS = " ".join(
     f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN "
