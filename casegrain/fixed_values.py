@@ -168,7 +168,7 @@ QUERIES_PER_CLASS = 50
 JUDGMENTS_PER_QUERY = 30
 GRADED_QUERIES = 300
 GRADED_CATEGORY_CAP = 20
-TOP_UP_PREFIX, TOP_UP_START = "gen_", 10000
+TOP_UP_PREFIX, TOP_UP_START, TOP_UP_SOURCE = "gen_", 10000, "Corpus Synthesis"
 BM25_K1, BM25_B = 1.5, 0.75
 RRF_K, RRF_CANDIDATES = 60, 50
 TFIDF_FEATURES, TFIDF_MIN_DF = 10000, 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,21 +51,31 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
-def _maskable(text: Column) -> Column:
-    # Every mask needs an @, a digit or the start of a link.
-    return text.rlike(r"[@\p{Nd}]|http|www\.")
-
-
 def clean(text: Column, mask_pii: bool = True, preserve_urls_domains: bool = False) -> Column:
     """The full cleaner. Null and empty text give ``''``; mask order matters."""
     plain = F.coalesce(text, F.lit(""))
     masks = [mask_email, mask_phone, mask_card, mask_wallet] if mask_pii else []
     if not preserve_urls_domains:
         masks += [mask_url, mask_ip]
-    masked = plain
+    return collapse_whitespace(masked_by(plain, masks))
+
+
+#: What every text that a mask changes holds; a mask that is not listed is always tried.
+MASK_NEEDS = {
+    mask_email: "@", mask_phone: r"\p{Nd}", mask_card: r"\p{Nd}", mask_wallet: r"\p{Nd}",
+    mask_url: r"http|www\.", mask_ip: r"\p{Nd}",
+}
+
+
+def masked_by(text: Column, masks: Sequence[Callable[[Column], Column]]) -> Column:
+    """The masks in order, on texts that hold what one of them needs."""
+    masked = text
     for mask in masks:
         masked = mask(masked)
-    return collapse_whitespace(F.when(_maskable(plain), masked).otherwise(plain))
+    if not masks or any(mask not in MASK_NEEDS for mask in masks):
+        return masked
+    needs = "|".join(sorted({MASK_NEEDS[mask] for mask in masks}))
+    return F.when(text.rlike(needs), masked).otherwise(text)
 
 
 def word_count(cleaned: Column) -> Column:

@@ -13,6 +13,7 @@ from casegrain.operators import records
 from casegrain.operators.ranking import keep_first, ranked_in_group, sample_rows
 from casegrain.operators.terms import computed_once
 from casegrain.sources import readers
+from casegrain.workspace import written
 
 COPIES_PER_BLOCK = 1000
 
@@ -31,14 +32,19 @@ def ingest_agency(
     raw = F.col(f"`{text_column}`").cast("string")
     labelled = bool(label_column) and label_column in df.columns
     label = F.col(f"`{label_column}`").cast("string") if labelled else F.lit(None).cast("string")
+    given = id_column if id_column and id_column in df.columns else None
     named = records.without_nulls(df, [text_column]).select(
-        records.record_id(df, id_column, prefix, F.lit(source), raw).alias("complaint_id"),
+        *([F.col(f"`{given}`").cast("string").alias("_id")] if given else []),
         F.lit(source).alias("source"),
         F.to_date(F.lit(date_received)).alias("date_received"),
         F.lit(product).alias("product"),
         raw.alias("raw_text"),
         label.alias("_label"),
     )
+    named = records.with_record_ids(
+        named, "_id" if given else None,
+        records.generated_id(prefix, F.col("source"), F.col("raw_text")), "complaint_id",
+    )
     named = computed_once(named, "cleaned_text", text.clean(F.col("raw_text")))
     guide = (
         text.guided_taxonomy(F.col("_label"), F.col("cleaned_text"), **rules)
@@ -75,16 +81,18 @@ def load_sms_spam(messages: DataFrame) -> DataFrame:
     return records.corpus_records(spam, stripped, source, category, prefix)
 
 
-def load_hate_speech(tweets: DataFrame, n: int = fixed.HATE_SPEECH_SAMPLE) -> DataFrame:
-    """Rows of the wanted classes, a seeded sample of at most ``n``."""
+def load_hate_speech(tweets: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows of the wanted classes; ``n`` takes a seeded sample of at most so many, before cleaning."""
     prefix, source, category = fixed.HATE_SPEECH
     wanted = records.with_any_value(
         tweets.select(F.col("class").cast("int").alias("class"), "tweet"),
         "class", fixed.HATE_SPEECH_CLASSES,
     )
-    stripped = F.regexp_replace("tweet", _EDGE_BLANKS, "")
-    rows = records.corpus_records(wanted, stripped, source, category, prefix)
-    return sample_rows(rows, "complaint_id", n)
+    stripped = wanted.select(F.regexp_replace("tweet", _EDGE_BLANKS, "").alias("tweet"))
+    if n is not None:
+        hashed = stripped.withColumn("_hash", F.md5("tweet"))
+        stripped = sample_rows(hashed, "_hash", n).drop("_hash")
+    return records.corpus_records(stripped, F.col("tweet"), source, category, prefix)
 
 
 def load_fraud_mail(mails: DataFrame) -> DataFrame:
@@ -95,7 +103,7 @@ def load_fraud_mail(mails: DataFrame) -> DataFrame:
 
 def load_regulator(
     complaints: DataFrame, routes: Sequence[records.Route] = tuple(records.REGULATOR_ROUTES),
-    text_column: str = fixed.REGULATOR_TEXT, cap: int | None = fixed.REGULATOR_CAP,
+    text_column: str = fixed.REGULATOR_TEXT, cap: int | None = None,
 ) -> DataFrame:
     """Complaints with a narrative, a labelled copy per matching route."""
     told = records.without_nulls(complaints, [text_column])
@@ -174,7 +182,8 @@ def top_up(
     """Rows that fill each category's deficit, taken from a pool table.
 
     The pool rows of a category are repeated in hash order until the deficit is
-    filled. The rows carry their own id and source, so they stay recognisable.
+    filled. A category without pool rows gets none: :func:`deficits` of the result
+    says what is left. The rows carry their own id and source, so they stay recognisable.
     Copies are made in blocks spread over the cluster, so that one pool row
     repeated very often does not keep a single task busy.
     """
@@ -207,7 +216,7 @@ def top_up(
             F.lit("_"), F.col("_number").cast("string"),
         ).alias("complaint_id"),
         F.concat(
-            F.lit("Corpus Synthesis ("), text.pretty_label(F.col("primary_category")), F.lit(")")
+            F.lit(f"{fixed.TOP_UP_SOURCE} ("), text.pretty_label(F.col("primary_category")), F.lit(")")
         ).alias("source"),
         "primary_category",
         "raw_text",
@@ -219,14 +228,24 @@ def top_up(
 def build_corpus(
     sources: Sequence[DataFrame], pool: DataFrame | None = None,
     categories: Sequence[str] = tuple(fixed.SEVEN_CLASSES),
-    target: int = fixed.TARGET_PER_CLASS,
+    target: int = fixed.TARGET_PER_CLASS, strict: bool = False,
 ) -> DataFrame:
     """Union of labelled sources, topped up, without nulls and equal texts.
 
-    No minimum number of words here: an empty cleaned text is a text.
+    No minimum number of words here: an empty cleaned text is a text. A pool
+    with too few different texts leaves a class below the target, as equal ones
+    are dropped: ``strict`` raises then, and :func:`deficits` of the result has
+    the numbers.
     """
     tables = [df.select(*fixed.CORPUS_COLUMNS) for df in sources]
     if pool is not None:
         tables.append(top_up(readers.concatenate(tables), pool, categories, target))
     merged = readers.concatenate(source_order(tables))
-    return deduplicated(records.without_nulls(merged, ["cleaned_text", "primary_category"]))
+    built = deduplicated(records.without_nulls(merged, ["cleaned_text", "primary_category"]))
+    if strict:
+        built = written(built, "corpus")
+        short = deficits(built, categories, target).where("needed > 0").collect()  # one row per category
+        if short:
+            raise ValueError("classes below the target: " + ", ".join(
+                f"{r.primary_category} lacks {r.needed}" for r in short))
+    return built

@@ -55,28 +55,31 @@ def ranked_in_group(
     No task sees a whole group: rows are ranked inside (group, first hash
     digits), and the number of rows in the buckets before is added from a small
     table of bucket counts. The hash spreads a hot group evenly over
-    ``16 ** digits`` buckets, and window and join share one shuffle. Rows
-    without a group are left out.
+    ``16 ** digits`` buckets, and window and join share one shuffle. Rows whose
+    group is null are a group of their own.
     """
-    keyed = df.withColumn("_hash", hash_key(id_column, seed)).withColumn(
-        "_bucket", F.substring("_hash", 1, digits)
-    )
-    counts = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(
+    named = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
+    keyed = df.withColumns({
+        "_group": named,
+        "_hash": hash_key(id_column, seed),
+        "_bucket": F.substring(hash_key(id_column, seed), 1, digits),
+    })
+    counts = keyed.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(
-        group,
+        "_group",
         "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(group)).alias(size),
+        F.sum("_rows").over(Window.partitionBy("_group")).alias(size),
     )
-    in_bucket = Window.partitionBy(group, "_bucket").orderBy("_hash", id_column)
+    in_bucket = Window.partitionBy("_group", "_bucket").orderBy("_hash", id_column)
     return (
         keyed.withColumn("_position", F.row_number().over(in_bucket))
-        .join(offsets, [group, "_bucket"])
+        .join(offsets, ["_group", "_bucket"])
         .withColumn(rank, F.col("_before") + F.col("_position"))
-        .drop("_hash", "_bucket", "_position", "_before")
+        .drop("_group", "_hash", "_bucket", "_position", "_before")
     )
 
 

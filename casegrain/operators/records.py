@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
-from casegrain.operators.ranking import first_per_group
+from casegrain.operators.ranking import first_per_group, ranked_in_group
 from casegrain.operators.terms import computed_once, exploded
 
 
@@ -39,7 +39,10 @@ def any_match(patterns: Sequence[tuple[str, str]]) -> Column:
 
 
 def generated_id(prefix: str, source: Column, raw: Column) -> Column:
-    """Prefix plus content hash: stable, where a row number would not be."""
+    """Prefix plus content hash: stable, where a row number would not be.
+
+    Equal texts get equal ids; :func:`numbered_ids` tells them apart.
+    """
     return F.concat(F.lit(prefix), F.md5(F.concat_ws("|", source, raw)))
 
 
@@ -51,6 +54,30 @@ def record_id(df: DataFrame, id_column: str | None, prefix: str, source: Column,
     return generated
 
 
+def numbered_ids(df: DataFrame, id_column: str, order: str | None = None) -> DataFrame:
+    """Make content ids unique: of equal ids the second gets ``-2``, the third ``-3`` and so on.
+
+    They are numbered by the hash of the ``order`` column, or else of the row's
+    place in the scan: their texts are equal. Ranks are taken inside buckets, so
+    a text that a third of all rows share is harmless.
+    """
+    rows = df.withColumn("_row", F.col(order) if order else F.monotonically_increasing_id())
+    ranked = ranked_in_group(rows, id_column, "_row", rank="_copy", size="_copies")
+    numbered = F.concat(F.col(id_column), F.lit("-"), F.col("_copy").cast("string"))
+    return ranked.withColumn(
+        id_column, F.when(F.col("_copy") > 1, numbered).otherwise(F.col(id_column))
+    ).drop("_row", "_copy", "_copies")
+
+
+def with_record_ids(df: DataFrame, given: str | None, generated: Column, out: str) -> DataFrame:
+    """Ids from the column ``given`` where it has them, else unique generated ones."""
+    if given is None:
+        return numbered_ids(df.withColumn(out, generated), out)
+    known = df.where(F.col(given).isNotNull()).withColumn(out, F.col(given))
+    unknown = df.where(F.col(given).isNull()).withColumn(out, generated)
+    return known.unionByName(numbered_ids(unknown, out))
+
+
 @dataclass(frozen=True)
 class Route:
     """Rows that match any (column, pattern) get a source and a category."""
@@ -66,9 +93,9 @@ REGULATOR_ROUTES = [Route(*rule) for rule in fixed.REGULATOR_RULES]
 
 def routed(
     df: DataFrame, routes: Sequence[Route], order: Sequence[Column | str],
-    cap: int | None = fixed.REGULATOR_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """One labelled copy of a row per matching route, at most ``cap`` per route.
+    """One labelled copy of a row per matching route; ``cap`` keeps the first so many per route.
 
     All routes are tested in one pass. ``route`` is the position of the rule;
     its source and category take the place of columns of that name.
@@ -108,9 +135,9 @@ def corpus_records(
         *([F.col(f"`{id_column}`").cast("string").alias("_id")] if id_column else []),
     )
     generated = F.concat("_prefix", F.md5(F.concat_ws("|", "source", "raw_text")))
+    identified = with_record_ids(named, "_id" if id_column else None, generated, "complaint_id")
     return (
-        computed_once(named, "cleaned_text", text.clean(F.col("raw_text")))
-        .withColumn("complaint_id", F.coalesce("_id", generated) if id_column else generated)
+        computed_once(identified, "cleaned_text", text.clean(F.col("raw_text")))
         .withColumn("word_count", text.word_count(F.col("cleaned_text")))
         .select(*fixed.CORPUS_COLUMNS)
     )

@@ -38,6 +38,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: exact shares per class, disjoint and covering.
 
+    Rows without a class are a class of their own and are split alike.
     Only ids and labels are ranked. The rows themselves stay where they are and
     are compared with the edges of their class, a written table of one row per
     class that Spark broadcasts by its known size.
@@ -49,7 +50,12 @@ def stratified_split(
         .when(position <= F.col("_val_end"), "val")
         .otherwise("test")
     )
-    return df.join(edges, label).withColumn("split", split).drop("_train_end", "_val_end")
+    by_label = edges.withColumnRenamed(label, "_label")
+    return (
+        df.join(by_label, F.col(label).eqNullSafe(F.col("_label")))
+        .withColumn("split", split)
+        .drop("_label", "_train_end", "_val_end")
+    )
 
 
 def split_parity(split: DataFrame, label: str = "primary_category") -> DataFrame:

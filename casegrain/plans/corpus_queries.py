@@ -302,8 +302,8 @@ def harmonize_sources(spark, sf):
 
 
 @registered(f"""
-SELECT CAST(doc_id AS VARCHAR) AS complaint_id, 'custom_agency' AS source,
-       DATE '2024-06-01' AS date_received, 'Institutional Complaint' AS product,
+SELECT CAST(doc_id AS VARCHAR) AS complaint_id, '{fixed.AGENCY_SOURCE}' AS source,
+       DATE '{fixed.AGENCY_DATE}' AS date_received, '{fixed.AGENCY_PRODUCT}' AS product,
        text AS raw_text, c AS cleaned_text, {rules_sql("source || ' ' || c")} AS primary_category,
        source AS original_issue
 FROM (SELECT *, {q.cleaned('text')} AS c FROM documents)""")
@@ -314,11 +314,12 @@ def ingest_labelled_agency(spark, sf):
 
 
 @registered(f"""
-SELECT 'police_' || md5('police|' || html) AS complaint_id, 'police' AS source,
-       DATE '2024-06-01' AS date_received, 'Institutional Complaint' AS product,
+SELECT CASE WHEN k > 1 THEN id || '-' || k ELSE id END AS complaint_id, 'police' AS source,
+       DATE '{fixed.AGENCY_DATE}' AS date_received, '{fixed.AGENCY_PRODUCT}' AS product,
        html AS raw_text, c AS cleaned_text, {rules_sql('c')} AS primary_category,
-       'Custom Agency Report' AS original_issue
-FROM (SELECT html, {q.cleaned('html')} AS c FROM pages)""")
+       '{fixed.AGENCY_ISSUE}' AS original_issue
+FROM (SELECT *, row_number() OVER (PARTITION BY id) AS k FROM (
+  SELECT html, {q.cleaned('html')} AS c, 'police_' || md5('police|' || html) AS id FROM pages))""")
 def ingest_report_dump(spark, sf):
     # The text column goes by a name that has to be found.
     dump = texts(spark, sf, "pages").withColumnRenamed("html", "Incident_Report")
@@ -330,34 +331,42 @@ def ingest_report_dump(spark, sf):
 
 def _loaded_sql(raw: str, prefix: str, source: str, category: str, rest: str) -> str:
     return f"""
-SELECT {prefix} || md5({source} || '|' || raw) AS complaint_id, {source} AS source,
+SELECT CASE WHEN k > 1 THEN id || '-' || k ELSE id END AS complaint_id, {source} AS source,
        {category} AS primary_category, raw AS raw_text, c AS cleaned_text,
        {q.words('c')} AS word_count
-FROM (SELECT *, {q.cleaned('raw')} AS c FROM (SELECT *, {raw} AS raw FROM {rest}))"""
+FROM (SELECT *, row_number() OVER (PARTITION BY id) AS k
+      FROM (SELECT *, {q.cleaned('raw')} AS c, {prefix} || md5({source} || '|' || raw) AS id
+            FROM (SELECT *, {raw} AS raw FROM {rest})))"""
+
+
+def _literals(loader):
+    """A loader's id prefix, source and category as SQL strings."""
+    return [f"'{x}'" for x in loader]
 
 
 EDGES = f"'^{q.BLANKS}+|{q.BLANKS}+$', '', 'g'"
+STRIPPED = f"regexp_replace(text, {EDGES})"
+HATE_SAMPLE = 100
 HATE_SQL = _loaded_sql(
-    f"regexp_replace(text, {EDGES})", "'davidson_'", "'Davidson Hate Speech & Threat Corpus'",
-    "'cyber_harassment_blackmail'", "conversations WHERE turn IN (0, 1)",
+    STRIPPED, *_literals(fixed.HATE_SPEECH),
+    f"""(SELECT text FROM conversations WHERE turn IN (0, 1)
+         ORDER BY md5('42|' || md5({STRIPPED})), md5({STRIPPED}) LIMIT {HATE_SAMPLE})""",
 )
+RULES = list(zip(*fixed.REGULATOR_RULES))
 REGULATOR_SQL = _loaded_sql(
-    "text", "['cfpb_fraud_', 'cfpb_id_', 'cfpb_ecom_'][rule]",
-    "['CFPB (Fraud or scam)', 'CFPB (Identity theft)', 'CFPB (E-Commerce dispute)'][rule]",
-    "['online_financial_fraud', 'identity_threat', 'ecommerce_fraud'][rule]",
-    """(SELECT rule, text FROM (
+    "text", *(f"{list(values)}[rule]" for values in RULES[:3]),
+    f"""(SELECT rule, text FROM (
          SELECT *, row_number() OVER (PARTITION BY rule ORDER BY md5(text), doc_id) AS r FROM (
            SELECT 1 AS rule, doc_id, text FROM documents
            WHERE regexp_matches(lang, '(?i)FR') OR regexp_matches(source, '(?i)src1|src2')
            UNION ALL SELECT 2, doc_id, text FROM documents WHERE regexp_matches(lang, '(?i)de')
            UNION ALL SELECT 3, doc_id, text FROM documents WHERE regexp_matches(source, 'src19')))
-       WHERE r <= 600)""",
+       WHERE r <= {fixed.REGULATOR_CAP})""",
 )
 
 
 @registered(_loaded_sql(
-    f"regexp_replace(text, {EDGES})", "'uci_sms_'", "'UCI SMS Spam Collection (spam label)'",
-    "'phishing_smishing'", "(SELECT * FROM conversations WHERE role = 'user')",
+    STRIPPED, *_literals(fixed.SMS_SPAM), "(SELECT * FROM conversations WHERE role = 'user')",
 ))
 def load_spam_messages(spark, sf):
     turns = texts(spark, sf, "conversations")
@@ -365,14 +374,15 @@ def load_spam_messages(spark, sf):
     return load_sms_spam(turns.select(label.alias("label"), "text"))
 
 
-@registered(f"{HATE_SQL} ORDER BY md5('42|' || complaint_id), complaint_id LIMIT 700")
+@registered(HATE_SQL)
 def load_hate_speech_sample(spark, sf):
     turns = texts(spark, sf, "conversations")
-    return load_hate_speech(turns.select(F.col("turn").alias("class"), F.col("text").alias("tweet")))
+    tweets = turns.select(F.col("turn").alias("class"), F.col("text").alias("tweet"))
+    return load_hate_speech(tweets, HATE_SAMPLE)
 
 
 @registered(_loaded_sql(
-    "html", "'clair_'", "'CLAIR Fraud Email Corpus'", "'online_financial_fraud'", "pages"
+    "html", *_literals(fixed.FRAUD_MAIL), "pages"
 ))
 def load_fraud_mails(spark, sf):
     mails = texts(spark, sf, "pages").select("url", F.col("html").alias("Mail Body"))
@@ -400,7 +410,7 @@ def _complaints(spark, sf):
 
 @registered(REGULATOR_SQL)
 def load_regulator_complaints(spark, sf):
-    return load_regulator(_complaints(spark, sf), regulator_routes())
+    return load_regulator(_complaints(spark, sf), regulator_routes(), cap=fixed.REGULATOR_CAP)
 
 
 DEFICITS_SQL = """
@@ -429,7 +439,7 @@ ranked_pool AS (
 needs AS ({DEFICITS_SQL.format(target=800)}),
 added AS (
   SELECT 'gen_' || substr(primary_category, 1, 4) || '_' || (10000 + i) AS complaint_id,
-         'Corpus Synthesis (' || upper(primary_category[1]) || primary_category[2:] || ')' AS source,
+         '{fixed.TOP_UP_SOURCE} (' || upper(primary_category[1]) || primary_category[2:] || ')' AS source,
          primary_category, raw_text, cleaned_text, {q.words('cleaned_text')} AS word_count
   FROM (SELECT *, unnest(range(r, needed, p)) AS i
         FROM ranked_pool JOIN needs USING (primary_category)))"""
@@ -450,16 +460,33 @@ def top_up_classes(spark, sf):
     return top_up(keys(spark, sf), _pool(spark, sf), LANGS + ["it"], 800)
 
 
-@registered(f"""
-WITH {q.CORPUS}, {POOL_SQL},
+BALANCED_SQL = f"""
+{q.CORPUS}, {POOL_SQL},
 merged AS (
   SELECT 0 AS source_rank, complaint_id, source, primary_category, raw_text, cleaned_text, word_count
   FROM corpus
   UNION ALL SELECT 1, complaint_id, source, primary_category, raw_text, cleaned_text, word_count
-  FROM added)
+  FROM added),
+balanced AS (
 SELECT complaint_id, source, primary_category, cleaned_text, word_count FROM (
   SELECT *, row_number() OVER (PARTITION BY cleaned_text ORDER BY source_rank, complaint_id) AS r
-  FROM merged) WHERE r = 1""")
+  FROM merged) WHERE r = 1)"""
+
+
+@registered(f"""
+WITH {BALANCED_SQL}
+SELECT t.category AS primary_category, coalesce(n, 0) AS existing,
+       greatest(0, 800 - coalesce(n, 0)) AS needed
+FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) t(category)
+LEFT JOIN (SELECT primary_category, count(*) AS n FROM balanced GROUP BY primary_category) b
+  ON b.primary_category = t.category""")
+def deficits_left(spark, sf):
+    """What the pool could not fill, after equal texts are dropped."""
+    master = build_corpus([kept_corpus(spark, sf)], _pool(spark, sf), LANGS + ["it"], 800)
+    return deficits(master, LANGS + ["it"], 800)
+
+
+@registered(f"WITH {BALANCED_SQL} SELECT * FROM balanced")
 def build_balanced_corpus(spark, sf):
     master = build_corpus([kept_corpus(spark, sf)], _pool(spark, sf), LANGS + ["it"], 800)
     return master.drop("raw_text")
@@ -515,10 +542,12 @@ def judgments_same_category(spark, sf):
     return same_category(keys(spark, sf), test_queries(spark, sf))
 
 
+#: Fewer than the test rows of the smallest table, so that the sample is one.
+GRADED_ASKED = 20
 GRADED_QUERIES = f"""
 {q.SPLIT},
 asked AS (SELECT complaint_id, primary_category, original_issue FROM split WHERE split = 'test'
-          ORDER BY md5('42|' || complaint_id), complaint_id LIMIT 300)"""
+          ORDER BY md5('42|' || complaint_id), complaint_id LIMIT {GRADED_ASKED})"""
 GRADED_SQL = """
 qrels AS (
   SELECT a.complaint_id AS qid, k.complaint_id AS doc_id, CAST(2 AS BIGINT) AS rel
@@ -536,7 +565,7 @@ qrels AS (
 @registered(f"WITH {GRADED_QUERIES}, {GRADED_SQL} SELECT qid, doc_id, rel FROM qrels")
 def judgments_graded(spark, sf):
     test = split_keys(spark, sf).where("split = 'test'")
-    return graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", 300))
+    return graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", GRADED_ASKED))
 
 
 def _benchmark_sql(part: str) -> str:
@@ -594,21 +623,32 @@ SELECT count(*) AS queries, sum(n)::BIGINT AS judgments, round(avg(n), 6) AS mea
 FROM (SELECT count(*) AS n FROM qrels GROUP BY qid)""")
 def judgments_per_query(spark, sf):
     test = split_keys(spark, sf).where("split = 'test'")
-    qrels = graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", 300))
+    qrels = graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", GRADED_ASKED))
     return audit.judgment_summary(qrels)
 
 
 @registered(f"""
 WITH {q.TEST_QUERIES}, {q.SAME_CATEGORY},
-known AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM labels)
-SELECT 'query' AS side, count(*) AS n FROM qrels
+known AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents),
+judged AS (
+  SELECT qid, doc_id FROM qrels
+  UNION ALL SELECT 'absent', complaint_id FROM asked
+  UNION ALL SELECT complaint_id, 'absent-' || n FROM asked, range(3) t(n))
+SELECT 'query' AS side, count(*) AS n FROM judged
 WHERE qid NOT IN (SELECT complaint_id FROM asked)
-UNION ALL SELECT 'document', count(*) FROM qrels WHERE doc_id NOT IN (SELECT doc_id FROM known)""")
+UNION ALL SELECT 'document', count(*) FROM judged WHERE doc_id NOT IN (SELECT doc_id FROM known)""")
 def judgment_references(spark, sf):
-    # Checked against the labelled documents only, so that some are missing.
+    """Judgments of the benchmark, and some whose query or document is not there."""
     asked = test_queries(spark, sf)
-    known = read_table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
-    qrels = same_category(keys(spark, sf), asked)
+    known = keys(spark, sf).select(F.col("complaint_id").alias("doc_id"))
+    qid = F.col("complaint_id")
+    numbers = F.explode(F.array(*map(F.lit, range(3)))).alias("n")
+    absent = asked.select(qid.alias("qid"), numbers).select("qid", F.concat(F.lit("absent-"), "n").alias("doc_id"))
+    qrels = (
+        same_category(keys(spark, sf), asked).select("qid", "doc_id")
+        .unionByName(asked.select(F.lit("absent").alias("qid"), qid.alias("doc_id")))
+        .unionByName(absent)
+    )
     return audit.missing_references(qrels, asked.select(F.col("complaint_id").alias("qid")), known)
 
 

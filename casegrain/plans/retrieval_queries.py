@@ -165,12 +165,13 @@ def similarity_to_centre(spark, sf):
     )
 
 
-# --- Hybrid: documents that have a vector -------------------------------------------
+# --- Hybrid: all documents; some have a vector ---------------------------------------
 
 HYBRID = f"""
 {VECTORS},
 docs AS (SELECT doc_id, {q.cleaned('text')} AS text, lang, vector
-         FROM documents JOIN vectors USING (doc_id)),
+         FROM documents LEFT JOIN vectors USING (doc_id)),
+docs_v AS (SELECT * FROM docs WHERE vector IS NOT NULL),
 hybrid_split AS (
   SELECT *, count(*) OVER (PARTITION BY lang) AS n,
          row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS r FROM docs),
@@ -181,6 +182,7 @@ hybrid_queries AS (
     SELECT doc_id, text, lang, vector,
            row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS p
     FROM hybrid_test) WHERE p <= 50),
+queries_v AS (SELECT * FROM hybrid_queries WHERE vector IS NOT NULL),
 hybrid_qrels AS (
   SELECT qid, doc_id, CAST(1 AS BIGINT) AS rel FROM (
     SELECT qid, d.doc_id, row_number() OVER (PARTITION BY qid ORDER BY d.doc_id) AS r
@@ -188,10 +190,10 @@ hybrid_qrels AS (
 
 
 def _hybrid(spark, sf):
-    """Documents with text and vector, benchmark queries among them, judgments."""
+    """All documents, vectors where there are some, benchmark queries among them, judgments."""
     vectors = _vectors(spark, sf).drop("label")
     docs = written(
-        documents(spark, sf, "doc_id", "text", "lang").join(vectors, "doc_id").select(
+        documents(spark, sf, "doc_id", "text", "lang").join(vectors, "doc_id", "left").select(
             "doc_id", F.col("lang").alias("primary_category"), "vector",
             text.clean(F.col("text")).alias("text"),
         ),
@@ -209,20 +211,24 @@ def _hybrid(spark, sf):
     return docs, queries, qrels
 
 
+def _with_vector(rows):
+    return rows.where("vector IS NOT NULL")
+
+
 @registered(f"""
-WITH {HYBRID}, {q.bm25('docs', 'hybrid_queries', k=50)}, {q.dense('docs', 'hybrid_queries', k=50)},
+WITH {HYBRID}, {q.bm25('docs', 'hybrid_queries', k=50)}, {q.dense('docs_v', 'queries_v', k=50)},
 {q.fused('bm25', 'dense', k=20)}
 SELECT qid, rank, doc_id, score FROM fused""")
 def search_hybrid(spark, sf):
     docs, queries, _ = _hybrid(spark, sf)
     sparse = bm25_search(queries, bm25_index(docs), 50)
-    dense = dense_search(queries, docs, 50)
+    dense = dense_search(_with_vector(queries), _with_vector(docs), 50)
     return fuse(sparse, dense, 20)
 
 
 @registered(f"""
 WITH {HYBRID}, {q.bm25('docs', 'hybrid_queries', k=50)},
-{q.tfidf_search('docs', 'hybrid_queries', k=20)}, {q.dense('docs', 'hybrid_queries', k=50)},
+{q.tfidf_search('docs', 'hybrid_queries', k=20)}, {q.dense('docs_v', 'queries_v', k=50)},
 {q.fused('bm25', 'dense', k=20)},
 rankings AS (
   SELECT 'bm25' AS retriever, qid, rank, doc_id FROM bm25 WHERE rank <= 20
@@ -235,7 +241,7 @@ def compare_retrievers(spark, sf):
     """Four rankings of the benchmark queries, scored in one pass."""
     docs, queries, qrels = _hybrid(spark, sf)
     sparse = written(bm25_search(queries, bm25_index(docs), 50), "ranking")
-    dense = written(dense_search(queries, docs, 50), "ranking")
+    dense = written(dense_search(_with_vector(queries), _with_vector(docs), 50), "ranking")
     rankings = {
         "bm25": sparse.where("rank <= 20"),
         "tfidf": tfidf_search(queries, docs, 20),
@@ -372,17 +378,21 @@ def _line(rank="rank", score="score", doc="doc_id", category="category", source=
 
 @registered(f"""
 WITH {q.CASES}, {ASKED}, {q.bm25('cases', 'asked', k=3)},
-known AS (SELECT * FROM cases JOIN labels USING (doc_id))
+hits AS (SELECT qid, rank, doc_id, score FROM bm25 UNION ALL SELECT qid, 4, -1, 0e0 FROM asked)
 SELECT b.qid, b.rank, b.doc_id, b.score, coalesce(category, 'unknown') AS category,
        coalesce(source, 'N/A') AS source, {_line(doc='b.doc_id')} AS line,
        coalesce(text, '') AS passage
-FROM bm25 b LEFT JOIN known k ON k.doc_id = b.doc_id""")
+FROM hits b LEFT JOIN cases k ON k.doc_id = b.doc_id""")
 def case_summaries(spark, sf):
-    """Hits with their documents; those without a label are unknown here."""
+    """Hits with their documents; each query also has a hit on a document that is not there."""
     docs = cases(spark, sf)
-    hits = bm25_search(narratives(spark, sf), bm25_index(docs.select("doc_id", "text")), 3)
-    known = docs.join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    return case_lines(hits, known)
+    asked = narratives(spark, sf)
+    hits = bm25_search(asked, bm25_index(docs.select("doc_id", "text")), 3)
+    absent = asked.select(
+        "qid", F.lit(4).cast("bigint").alias("rank"), F.lit(-1).cast("bigint").alias("doc_id"),
+        F.lit(0.0).alias("score"),
+    )
+    return case_lines(hits.unionByName(absent), docs)
 
 
 BAYES = ",".join([

@@ -9,7 +9,7 @@ from casegrain.operators.benchmark import Benchmark, graded, same_category
 from casegrain.operators.ranking import sample_rows
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
-from casegrain.plans.corpus_queries import GRADED_QUERIES, GRADED_SQL
+from casegrain.plans.corpus_queries import GRADED_ASKED, GRADED_QUERIES, GRADED_SQL
 from casegrain.plans.standins import corpus, documents, keys, split_keys, test_queries
 from casegrain.sources import readers, writers
 from casegrain.sources.vectors import cached_vectors, ids_to_encode
@@ -80,7 +80,7 @@ def search_documents(spark, sf):
 
 def _graded(spark, sf):
     test = split_keys(spark, sf).where("split = 'test'")
-    return graded(keys(spark, sf), sample_rows(test, "complaint_id", fixed.GRADED_QUERIES))
+    return graded(keys(spark, sf), sample_rows(test, "complaint_id", GRADED_ASKED))
 
 
 @registered(f"WITH {GRADED_QUERIES}, {GRADED_SQL} SELECT qid, doc_id, CAST(rel AS INTEGER) AS rel FROM qrels")
@@ -104,10 +104,10 @@ def judgment_lines(spark, sf):
     )
 
 
-@registered("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 5000")
+@registered("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50")
 def first_rows(spark, sf):
     table = read_table(spark, sf, "documents").select("doc_id", "source")
-    return readers.first_rows(table, 5000, ["doc_id"])
+    return readers.first_rows(table, 50, ["doc_id"])
 
 
 @registered("""

@@ -77,15 +77,18 @@ def cast_to_string(spark, sf):
 
 @registered("""
 SELECT doc_id, CAST(doc_id AS VARCHAR) AS kept_id,
-       'custom_' || md5(source || '|' || text) AS generated_id FROM documents""")
+       CASE WHEN k > 1 THEN id || '-' || k ELSE id END AS generated_id
+FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY id ORDER BY md5('42|' || doc_id), doc_id) AS k
+      FROM (SELECT doc_id, 'custom_' || md5(source || '|' || text) AS id FROM documents))""")
 def assign_ids(spark, sf):
     rows = documents(spark, sf, "doc_id", "source", "text")
     source = F.col("source")
-    return rows.select(
+    named = rows.select(
         "doc_id",
         records.record_id(rows, "doc_id", "custom_", source, F.col("text")).alias("kept_id"),
         records.record_id(rows, "absent", "custom_", source, F.col("text")).alias("generated_id"),
     )
+    return records.numbered_ids(named, "generated_id", order="doc_id")
 
 
 ROUTES = [
@@ -315,12 +318,13 @@ def math_functions(spark, sf):
 
 
 @registered(f"""
-SELECT CAST(doc_id AS VARCHAR) AS complaint_id, 'custom_agency' AS source,
-       DATE '2024-06-01' AS date_received, 'Institutional Complaint' AS product,
-       text AS raw_text, c AS cleaned_text, {rules_sql("source || ' ' || c")} AS primary_category,
-       source AS original_issue
-FROM (SELECT *, {q.cleaned('text')} AS c FROM documents)""")
-def ingest_agency_records(spark, sf):
-    return ingest_agency(
-        documents(spark, sf, "doc_id", "text", "source"), "text", "source", "doc_id"
-    )
+SELECT CASE WHEN k > 1 THEN id || '-' || k ELSE id END AS complaint_id,
+       '{fixed.AGENCY_SOURCE}' AS source, DATE '{fixed.AGENCY_DATE}' AS date_received,
+       '{fixed.AGENCY_PRODUCT}' AS product, text AS raw_text, c AS cleaned_text,
+       {rules_sql('c')} AS primary_category, '{fixed.AGENCY_ISSUE}' AS original_issue
+FROM (SELECT *, row_number() OVER (PARTITION BY id) AS k FROM (
+  SELECT text, {q.cleaned('text')} AS c,
+         '{fixed.AGENCY_ID_PREFIX}' || md5('{fixed.AGENCY_SOURCE}|' || text) AS id FROM documents))""")
+def ingest_unlabelled_agency(spark, sf):
+    """No label and no id column: keyword rules and generated ids."""
+    return ingest_agency(documents(spark, sf, "text"), "text")

@@ -112,6 +112,43 @@ def test_top_up_repeats_the_pool_until_the_target(spark):
     assert sorted(int(r.complaint_id.rsplit("_", 1)[1]) for r in large) == list(range(10000, 12500))
 
 
+def test_unfilled_classes_are_reported(spark):
+    schema = "complaint_id string, source string, primary_category string, raw_text string, cleaned_text string, word_count int"
+    have = spark.createDataFrame([(str(i), "s", "a", f"t{i}", f"t{i}", 1) for i in range(5)], schema)
+    pool = spark.createDataFrame(
+        [("p1", "a", "x", "x"), ("p2", "b", "w", "w"), ("p3", "b", "u", "u")],
+        "complaint_id string, primary_category string, raw_text string, cleaned_text string")
+    built = corpus.build_corpus([have], pool, ["a", "b", "d"], target=6)
+    left = {r.primary_category: r.needed for r in corpus.deficits(built, ["a", "b", "d"], 6).collect()}
+    assert left == {"a": 0, "b": 4, "d": 6}
+    with pytest.raises(ValueError, match="b lacks 4, d lacks 6|d lacks 6, b lacks 4"):
+        corpus.build_corpus([have], pool, ["a", "b", "d"], target=6, strict=True)
+    assert corpus.build_corpus([have], pool, ["a"], target=6, strict=True).count() == 6 + 2 - 2
+    with pytest.raises(ValueError, match="d lacks 1"):
+        corpus.build_corpus([have], pool.limit(0), ["a", "d"], target=1, strict=True)
+
+
+def test_generated_ids_are_unique(spark):
+    df = spark.createDataFrame([("same",)] * 40 + [("other",), (None,)], "summary string")
+    ids = [r.complaint_id for r in corpus.ingest_agency(df, "summary").collect()]
+    assert len(ids) == 41 == len(set(ids))
+    base = min(i for i in ids if i.endswith("-2"))[:-2]
+    assert {i for i in ids if i.startswith(base)} == {base, *(f"{base}-{k}" for k in range(2, 41))}
+    given = spark.createDataFrame([("a", "x"), (None, "x"), (None, "x")], "ident string, summary string")
+    kept = [r.complaint_id for r in corpus.ingest_agency(given, "summary", id_column="ident").collect()]
+    assert "a" in kept and len(set(kept)) == 3
+
+
+def test_caps_are_off_unless_asked_for(spark):
+    tweets = spark.createDataFrame([(0, f"t{i}") for i in range(900)], "class int, tweet string")
+    assert corpus.load_hate_speech(tweets).count() == 900
+    assert corpus.load_hate_speech(tweets, 30).count() == 30
+    told = spark.createDataFrame([(f"n{i}", "Identity theft", None, None) for i in range(700)],
+                                 f"`{fixed.REGULATOR_TEXT}` string, Issue string, Product string, `Sub-issue` string")
+    assert corpus.load_regulator(told).count() == 700
+    assert corpus.load_regulator(told, cap=600).count() == 600
+
+
 def test_class_above_the_target_needs_nothing(spark):
     have = record(spark, [(str(i), "s", "a", f"t{i}") for i in range(5)])
     rows = {r.primary_category: (r.existing, r.needed) for r in corpus.deficits(have, ["a", "z"], 3).collect()}
@@ -135,6 +172,13 @@ def test_split_shares_are_exact_disjoint_and_covering(spark):
     assert again == {r.complaint_id: r.split for r in out}
 
 
+def test_rows_without_a_class_are_split_too(spark):
+    rows = [(f"n{i}", None) for i in range(20)] + [(f"a{i}", "a") for i in range(10)] + [("e", "")]
+    out = stratified_split(spark.createDataFrame(rows, "complaint_id string, primary_category string")).collect()
+    assert sorted(r.complaint_id for r in out) == sorted(i for i, _ in rows)
+    assert Counter(r.split for r in out if r.primary_category is None) == {"train": 14, "val": 3, "test": 3}
+
+
 def test_rank_in_group_equals_a_plain_window(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(3000)], "id int, g string")
     from pyspark.sql import Window

@@ -1,23 +1,11 @@
-"""Every registered query with SQL gives the rows of that SQL.
-
-All of them take several minutes; by default the searching and learning ones
-are left to ``check_queries.py`` and to the brute-force tests. Set ALL_QUERIES=1
-to run them all here.
-"""
-
-import os
+"""Every registered query with SQL gives the rows of that SQL."""
 
 import pytest
 
 import __spark_entry__ as entry
 from tests import comparing
 
-SLOW = {"casegrain.plans.retrieval_queries", "casegrain.plans.learning_queries"}
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-NAMES = [
-    name for name in ORACLES
-    if os.environ.get("ALL_QUERIES") or QUERIES[name].__module__ not in SLOW
-]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +13,7 @@ def connection(data):
     return comparing.connect(data)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query_equals_sql(spark, data, connection, name):
     df = QUERIES[name](spark, data)
     columns, rows = comparing.spark_rows(df)

@@ -143,3 +143,12 @@ def test_residual_pii(spark, text_in, flags):
         text.has_email(F.col("t")), text.has_phone(F.col("t")), text.has_card(F.col("t"))
     ).first()
     assert tuple(map(int, row)) == flags
+
+
+def test_a_mask_of_ones_own_is_always_tried(spark):
+    df = spark.createDataFrame([("meet Bob",), ("a@b.org and Bob",), (None,)], "t string")
+    mine = lambda c: F.regexp_replace(c, "Bob", "<NAME>")
+    out = df.select(text.masked_by(F.col("t"), [text.mask_email, mine]).alias("t")).collect()
+    assert [r.t for r in out] == ["meet <NAME>", "<EMAIL> and <NAME>", None]
+    plain = df.select(text.masked_by(F.col("t"), [text.mask_email]).alias("t")).collect()
+    assert [r.t for r in plain] == ["meet Bob", "<EMAIL> and Bob", None]
