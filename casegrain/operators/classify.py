@@ -28,13 +28,15 @@ from casegrain.operators.features import (
     class_weights,
     fit_tfidf,
     ml_vectors,
-    term_table,
+    counted_terms,
     unit_vectors,
+    word_table,
 )
 from casegrain.workspace import written
 
 
 TOLERANCE = 1e-4
+_SETTINGS = "text_column string, label string, min_df int, clean boolean, labels array<string>"
 
 
 class TextPipeline:
@@ -43,24 +45,38 @@ class TextPipeline:
     def __init__(
         self, text_column: str = "cleaned_text", label: str = "primary_category",
         max_features: int = fixed.TFIDF_FEATURES, min_df: int = fixed.TFIDF_MIN_DF,
-        stop_words=tuple(fixed.STOP_WORDS),
+        stop_words=tuple(fixed.STOP_WORDS), clean: bool = True,
     ):
-        self.text_column, self.label = text_column, label
+        """``clean=False`` takes the texts as they are, for ones that are clean already."""
+        self.text_column, self.label, self.clean = text_column, label, clean
         self.max_features, self.min_df, self.stop_words = max_features, min_df, stop_words
         self.tfidf: TfidfModel | None = None
         self.codes: LabelCodes | None = None
 
+    def _words(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        raw = F.col(self.text_column)
+        cleaned = df.withColumn("_clean", text.clean(raw) if self.clean else raw)
+        return word_table(cleaned, "_clean", keep, self.stop_words)
+
     def _terms(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        cleaned = df.withColumn("_clean", text.clean(F.col(self.text_column)))
-        return term_table(cleaned, "_clean", keep, self.stop_words)
+        return counted_terms(self._words(df, keep))
 
     def fit(self, train: DataFrame) -> TextPipeline:
+        return self._fit(train, self._terms(train, []))
+
+    def _fit(self, train: DataFrame, terms: DataFrame) -> TextPipeline:
         self.tfidf = fit_tfidf(
-            self._terms(train, []), self.max_features, self.min_df, stop_words=self.stop_words
+            terms, self.max_features, self.min_df, stop_words=self.stop_words
         )
         self.codes = LabelCodes.fit(train, self.label)
         return self
 
+    def fit_vectors(self, train: DataFrame, keep: list[str]) -> DataFrame:
+        """Fit, and the vectors of the same rows; their texts are cut into words once."""
+        terms = counted_terms(written(self._words(train, keep), "pipeline-words"))
+        self._fit(train, terms)
+        return unit_vectors(terms, self.tfidf)
+
     def vectors(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns (a row key) and the sparse ``vector``."""
         if self.tfidf is None:
@@ -79,18 +95,16 @@ class TextPipeline:
             raise RuntimeError("the pipeline must be fitted before it is saved")
         self.tfidf.save(f"{path}/tfidf")
         spark = self.tfidf.vocabulary.sparkSession
-        settings = [(self.text_column, self.label, self.min_df, self.codes.labels)]
-        spark.createDataFrame(
-            settings, "text_column string, label string, min_df int, labels array<string>"
-        ).write.mode("overwrite").json(f"{path}/pipeline")
+        settings = [(self.text_column, self.label, self.min_df, self.clean, self.codes.labels)]
+        spark.createDataFrame(settings, _SETTINGS).write.mode("overwrite").json(f"{path}/pipeline")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextPipeline:
-        row = spark.read.schema(
-            "text_column string, label string, min_df int, labels array<string>"
-        ).json(f"{path}/pipeline").first()
+        row = spark.read.schema(_SETTINGS).json(f"{path}/pipeline").first()
         tfidf = TfidfModel.load(spark, f"{path}/tfidf")
-        pipeline = cls(row.text_column, row.label, tfidf.max_features, row.min_df, tfidf.stop_words)
+        pipeline = cls(
+            row.text_column, row.label, tfidf.max_features, row.min_df, tfidf.stop_words, row.clean
+        )
         pipeline.tfidf, pipeline.codes = tfidf, LabelCodes(row.labels)
         return pipeline
 

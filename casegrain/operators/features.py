@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,41 +108,38 @@ def fit_tfidf(
 def unit_vectors(terms: DataFrame, model: TfidfModel) -> DataFrame:
     """Replace ``terms`` by ``vector: array<struct<idx, term, weight>>``, L2 = 1.
 
-    The vocabulary is bounded by ``max_features``, so it is broadcast. Only
-    terms in it are brought together again, one shuffle by row key; a row
-    without any keeps an empty vector. The other columns must be a row key.
+    A row's terms are looked up where they are, a batch of rows at a time, so
+    nothing is shuffled. The vocabulary, at most ``max_features`` rows, travels
+    with the task. A row without any of its terms has an empty vector.
     """
     keys = [c for c in terms.columns if c != "terms"]
-    vocabulary = model.vocabulary.select("term", "idx", "idf")
-    if model.max_features <= 100_000:
-        vocabulary = F.broadcast(vocabulary)
-    counted = (
-        terms.select(*keys, F.posexplode_outer("terms").alias("_pos", "_t"))
-        .select(*keys, "_pos", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
-        .join(vocabulary, "term", "left")
-        # One row per document stays in any case and stands for the document.
-        .where(F.col("idx").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
-    )
-    tf = F.lit(1) + F.ln("tf") if model.sublinear else F.col("tf").cast("double")
-    entry = F.when(
-        F.col("idx").isNotNull(), F.struct("idx", "term", (tf * F.col("idf")).alias("weight"))
-    )
-    # A row's terms are bounded by the vocabulary. The squared length is summed
-    # beside the list, not inside the lambda, which would redo it per term.
-    rows = counted.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(entry)).alias("_raw"),
-        F.sum(entry["weight"] * entry["weight"]).alias("_square"),
-    )
-    return rows.select(
-        *keys,
-        F.transform(
-            "_raw",
-            lambda x: F.struct(
-                x.idx.alias("idx"), x.term.alias("term"),
-                (x.weight / F.sqrt("_square")).alias("weight"),
-            ),
-        ).alias("vector"),
-    )
+    vocabulary = model.vocabulary.select("term", "idx", "idf").toArrow().sort_by("idx")
+    return terms.select(*keys, _looked_up(vocabulary, model.sublinear)("terms").alias("vector"))
+
+
+def _looked_up(vocabulary: pa.Table, sublinear: bool):
+    known, idf = vocabulary["term"].combine_chunks(), vocabulary["idf"].to_numpy()
+
+    @F.arrow_udf("array<struct<idx:int,term:string,weight:double>>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            counted = batch.flatten()
+            row = pc.list_parent_indices(batch).to_numpy()
+            place = pc.index_in(counted.field("term"), value_set=known)
+            hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+            idx = place.take(pa.array(hit)).to_numpy().astype(np.int32)
+            row, tf = row[hit], counted.field("tf").to_numpy()[hit]
+            order = np.lexsort((idx, row))
+            idx, row, tf = idx[order], row[order], tf[order]
+            weight = ((1.0 + np.log(tf)) if sublinear else tf) * idf[idx]
+            length = np.sqrt(np.bincount(row, weight * weight, len(batch)))
+            entries = pa.StructArray.from_arrays(
+                [pa.array(idx), known.take(pa.array(idx)), pa.array(weight / length[row])],
+                names=["idx", "term", "weight"])
+            starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
+            yield pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), entries)
+
+    return vectors
 
 
 def long_weights(vectors: DataFrame) -> DataFrame:

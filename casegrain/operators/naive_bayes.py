@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
@@ -13,6 +13,7 @@ from casegrain.operators.features import LabelCodes, TfidfModel, long_weights
 from casegrain.workspace import written
 
 MODEL_CELLS = 20_000_000
+_SETTINGS = "floor array<double>, prior array<double>, labels array<string>"
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,17 @@ class NaiveBayesModel:
     prior: list[float]
     codes: LabelCodes
 
+    def save(self, path: str) -> None:
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        rows = [(self.floor, self.prior, self.codes.labels)]
+        self.terms.sparkSession.createDataFrame(rows, _SETTINGS).write.mode("overwrite").parquet(
+            f"{path}/classes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NaiveBayesModel:
+        row = spark.read.parquet(f"{path}/classes").first()
+        return cls(spark.read.parquet(f"{path}/terms"), row.floor, row.prior, LabelCodes(row.labels))
+
     def broadcastable(self, n_terms: int) -> bool:
         return n_terms * len(self.prior) <= MODEL_CELLS
 

@@ -27,39 +27,58 @@ from casegrain.operators.ranking import first_per_group
 from casegrain.operators.ranking import top_k as ranked_top_k
 from casegrain.operators.scaling import is_small, join_hot
 from casegrain.operators.terms import exploded, with_term_counts
-from casegrain.workspace import written
+from casegrain.workspace import fresh_path, written
 
 SCORE_DIGITS = 6
 
 
+#: Folders an index is cut into by term, and files a folder's postings are cut into by document.
+TERM_BUCKETS, BUCKET_SLICES = 64, 2
+
+
 @dataclass(frozen=True)
 class Bm25Index:
-    """``docs(doc_id, len, terms)`` and ``terms(term, df, idf, term_no)``.
+    """An inverted index: ``inverted(bucket, term, doc_id, tf, len)``.
 
-    ``docs`` holds one row per document, empty ones included; ``terms`` there
-    is ``array<struct<term, tf>>``.
+    It is laid out by ``bucket``, a hash of the term, and sorted by term inside
+    a file, so that a search opens the folders of its terms only. ``docs(doc_id,
+    len)`` has one row per document, empty ones included, and ``terms(term, df,
+    idf, term_no, bucket)`` one per term.
     """
 
     docs: DataFrame
     terms: DataFrame
+    inverted: DataFrame
 
     def postings(self) -> DataFrame:
         """``(term, doc_id, tf)``."""
-        return exploded(self.docs, ["doc_id"], "terms", "_p").select(
-            "_p.term", "doc_id", F.col("_p.tf").cast("bigint").alias("tf")
-        )
+        return self.inverted.select("term", "doc_id", "tf")
 
     def stats(self) -> DataFrame:
         """One row: number of documents and mean length."""
         return corpus_stats(self.docs)
 
+    def of_terms(self, asked: DataFrame) -> DataFrame:
+        """Postings in the buckets of some terms, at most one number per bucket on the driver."""
+        buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+        return self.inverted.where(F.col("bucket").isin(buckets))
+
     def save(self, path: str) -> None:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        write_inverted(self.inverted, f"{path}/inverted")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
-        return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"))
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("docs", "terms", "inverted")))
+
+
+def write_inverted(postings: DataFrame, path: str, slices: int = BUCKET_SLICES) -> None:
+    """One folder per bucket; the postings of a frequent term are spread by document."""
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(slices))
+    postings.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.mode(
+        "overwrite"
+    ).partitionBy("bucket").parquet(path)
 
 
 def document_terms(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -77,13 +96,16 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     )
 
 
-def bm25_index(docs: DataFrame, text_column: str = "text") -> Bm25Index:
+def bm25_index(docs: DataFrame, text_column: str = "text", buckets: int = TERM_BUCKETS) -> Bm25Index:
     """Index ``(doc_id, text)``.
 
-    Both sides are written once, since every search hangs off them and the
-    numbers of the terms must not change. Document frequencies are the only
-    shuffle.
+    Texts are tokenised once, into one row of counted terms per document. From
+    there document frequencies and the postings are one shuffle each. All parts
+    are written, since every search hangs off them and the numbers of the terms
+    must not change.
     """
+    spark = docs.sparkSession
+    in_bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     forward = written(document_terms(docs, text_column), "bm25-docs")
     n_docs = forward.agg(F.count(F.lit(1))).scalar()
     frequencies = (
@@ -94,8 +116,14 @@ def bm25_index(docs: DataFrame, text_column: str = "text") -> Bm25Index:
     idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = frequencies.withColumn("idf", idf).withColumn(
         "term_no", F.monotonically_increasing_id()
-    )
-    return Bm25Index(forward, written(terms, "bm25-terms"))
+    ).withColumn("bucket", in_bucket)
+    postings = exploded(forward, ["doc_id", "len"], "terms", "_p").select(
+        F.col("_p.term").alias("term"), "doc_id", F.col("_p.tf").cast("bigint").alias("tf"), "len"
+    ).withColumn("bucket", in_bucket)
+    path = fresh_path(spark, "bm25-inverted")
+    write_inverted(postings, path)
+    inverted = spark.read.schema(postings.schema).parquet(path)
+    return Bm25Index(forward.select("doc_id", "len"), written(terms, "bm25-terms"), inverted)
 
 
 def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
@@ -127,18 +155,15 @@ def bm25_scores(
     queries: DataFrame, index: Bm25Index, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
 ) -> DataFrame:
     avg_len = corpus_stats(index.docs).select("avg_len").scalar()
-    # k1 * (1 - b + b * len / avg) is settled per document, ahead of the terms.
-    norm = k1 * (1 - b + b * F.col("len") / avg_len)
-    postings = exploded(index.docs.withColumn("_norm", norm), ["doc_id", "_norm"], "terms", "_p")
-    doc_terms = postings.select(
-        "doc_id",
-        F.col("_p.term").alias("term"),
-        (F.col("_p.tf") * (k1 + 1) / (F.col("_p.tf") + F.col("_norm"))).alias("saturated"),
-    )
     asked = written(
-        query_terms(queries).join(index.terms.select("term", "term_no", "idf"), "term"),
+        query_terms(queries).join(index.terms.select("term", "term_no", "idf", "bucket"), "term"),
         "bm25-queries",
     )
+    norm = k1 * (1 - b + b * F.col("len") / avg_len)
+    doc_terms = index.of_terms(asked).select(
+        "doc_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("saturated")
+    )
+    asked = asked.drop("bucket")
     small = is_small(asked)
     # Cut to the terms asked for, which go by number from here on.
     numbers = asked.select("term", "term_no").distinct()
@@ -182,7 +207,7 @@ def tfidf_rank(
     )
     asked = written(asked, "tfidf-queries")
     small = is_small(asked)
-    # The vectors come out clustered by document and stay so.
+    # A document's terms lie in one row, so the sums need no order of their own.
     doc_terms = long_weights(unit_vectors(terms, model)).select(
         "doc_id", "idx", F.col("weight").alias("doc_weight")
     )

@@ -80,7 +80,7 @@ SELECT qid AS complaint_id, term, round(weight, 6) AS weight FROM vec""")
 def tfidf_weights(spark, sf):
     """Fitted on the training rows, applied to the test rows."""
     rows = _split_corpus(spark, sf)
-    pipeline = TextPipeline().fit(rows.where("split = 'train'"))
+    pipeline = TextPipeline(clean=False).fit(rows.where("split = 'train'"))
     vectors = pipeline.vectors(rows.where("split = 'test'"), ["complaint_id"])
     return long_weights(vectors).select("complaint_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -105,11 +105,12 @@ def top_class_terms(spark, sf):
     return class_terms(kept_corpus(spark, sf), "primary_category")
 
 
-BAYES = f"""
+def _bayes(prior: str) -> str:
+    return f"""
 {TRAIN}, {q.tfidf_vectors('fit_tf', 'fit_voc', 'vec')},
 {q.query_tf('test', 'test_tf')}, {q.tfidf_vectors('test_tf', 'fit_voc', 'test_vec', 'qid')},
 mass AS (SELECT label, term, sum(weight) AS mass FROM vec JOIN train USING (doc_id) GROUP BY ALL),
-class AS (SELECT label, ln(count(*) / (SELECT count(*) FROM train)) AS prior FROM train GROUP BY label),
+class AS (SELECT label, ln({prior}) AS prior FROM train GROUP BY label),
 total AS (SELECT label, ln(sum(mass) + 0.1e0 * (SELECT count(*) FROM fit_voc)) AS total
           FROM mass GROUP BY label),
 scores AS (
@@ -125,12 +126,19 @@ predicted AS (
   FROM (SELECT *, max(s) OVER (PARTITION BY qid) AS top FROM scores) GROUP BY qid)"""
 
 
+BAYES = _bayes("count(*) / (SELECT count(*) FROM train)")
+# The library smooths the class priors like the terms.
+LIBRARY_BAYES = _bayes(
+    "(count(*) + 0.1e0) / ((SELECT count(*) FROM train) + 0.1e0 * (SELECT count(DISTINCT label) FROM train))"
+) + """
+SELECT complaint_id, primary_category, prediction AS predicted, confidence FROM predicted"""
+
+
 def _bayes_predictions(spark, sf):
     rows = _split_corpus(spark, sf)
-    pipeline = TextPipeline()
+    pipeline = TextPipeline(clean=False)
     train = rows.where("split = 'train'")
-    pipeline.fit(train)
-    vectors = pipeline.vectors(train, ["complaint_id", "primary_category"])
+    vectors = pipeline.fit_vectors(train, ["complaint_id", "primary_category"])
     model = fit_naive_bayes(vectors, "primary_category", pipeline.tfidf.size(), pipeline.codes)
     test = pipeline.vectors(rows.where("split = 'test'"), ["complaint_id", "primary_category"])
     return predict_naive_bayes(test, model, pipeline.tfidf)
@@ -195,31 +203,48 @@ def _test_predictions(splits, model):
     )
 
 
-# Learned by iteration, at random or with smoothed priors: checked by their rows
-# here and by the tests.
+# Learned by iteration or at random: SQL cannot give the predictions, but it can say how
+# many test rows each class has and that what is predicted is sound and mostly right.
+LEAST_RECALL = 0.7
+SOUND = f"""
+WITH {q.SPLIT}
+SELECT primary_category, count(*) AS n, true AS labels_known, true AS confidence_in_range,
+       true AS recall_reached
+FROM split WHERE split = 'test' GROUP BY primary_category"""
+
+
+def _sound(predictions):
+    return predictions.groupBy("primary_category").agg(
+        F.count("*").alias("n"),
+        # What decodes to no label comes out null.
+        F.bool_and(F.col("predicted").isNotNull()).alias("labels_known"),
+        F.bool_and(F.col("confidence").between(0, 100)).alias("confidence_in_range"),
+        (F.avg((F.col("predicted") == F.col("primary_category")).cast("double")) >= LEAST_RECALL)
+        .alias("recall_reached"),
+    )
 
 
-@registered()
+@registered(SOUND)
 def logistic_regression(spark, sf):
-    return _test_predictions(*_fitted(spark, sf, "LogisticRegression"))
+    return _sound(_test_predictions(*_fitted(spark, sf, "LogisticRegression")))
 
 
-@registered()
+@registered(SOUND)
 def linear_svm(spark, sf):
-    return _test_predictions(*_fitted(spark, sf, "LinearSVC"))
+    return _sound(_test_predictions(*_fitted(spark, sf, "LinearSVC")))
 
 
-@registered()
+@registered(SOUND)
 def random_forest(spark, sf):
-    return _test_predictions(*_fitted(spark, sf, "RandomForest"))
+    return _sound(_test_predictions(*_fitted(spark, sf, "RandomForest")))
 
 
-@registered()
+@registered(f"WITH {LIBRARY_BAYES}")
 def library_naive_bayes(spark, sf):
     return _test_predictions(*_fitted(spark, sf, "MultinomialNB"))
 
 
-@registered()
+@registered(f"WITH {LIBRARY_BAYES}")
 def saved_and_loaded(spark, sf):
     """The library's naive Bayes and the text pipeline, both saved and read back."""
     rows = _split_corpus(spark, sf)
@@ -234,8 +259,13 @@ def saved_and_loaded(spark, sf):
     )
 
 
-@registered()
+@registered("""
+SELECT col0 AS model, true AS val_reached, true AS test_reached
+FROM (VALUES ('MultinomialNB'), ('LogisticRegression'), ('LinearSVC'), ('RandomForest'))""")
 def classifier_benchmark(spark, sf):
-    """The four classifiers on validation and test rows, best first."""
+    """The four classifiers on validation and test rows, each above a macro F1."""
     table, _, _ = benchmark_classifiers(vectorise_splits(_split_corpus(spark, sf)))
-    return table
+    return table.select(
+        "model", (F.col("val_macro_f1") >= LEAST_RECALL).alias("val_reached"),
+        (F.col("test_macro_f1") >= LEAST_RECALL).alias("test_reached"),
+    )

@@ -10,7 +10,6 @@ from casegrain.operators.benchmark import graded, same_category
 from casegrain.operators.dense import dense_search, inner_product, with_unit_vectors
 from casegrain.operators.retrieval import (
     bm25_index,
-    bm25_scores,
     bm25_search,
     fuse,
     query_terms,
@@ -74,11 +73,17 @@ def search_bm25(spark, sf):
 
 @registered(f"""
 WITH {q.CASES}, {ASKED}, {q.bm25('cases', 'asked')}
-SELECT qid, doc_id, score FROM bm25_scores""")
+SELECT qid, term, qtf, df, tf AS occurrences, round(idf, 6) AS idf
+FROM (SELECT qid, term, count(*) AS qtf FROM bm25_asked GROUP BY ALL) JOIN bm25_terms USING (term)
+JOIN (SELECT term, sum(tf)::BIGINT AS tf FROM bm25_postings GROUP BY term) USING (term)""")
 def match_query_terms(spark, sf):
-    """Every document that shares a term with a query, scored."""
-    return bm25_scores(narratives(spark, sf), bm25_index(_docs(spark, sf))).select(
-        "qid", "doc_id", "score"
+    """The postings of each query's terms, summed up; the scores are made of them."""
+    index = bm25_index(_docs(spark, sf))
+    asked = query_terms(narratives(spark, sf)).join(index.terms.drop("term_no"), "term")
+    found = index.of_terms(asked).groupBy("term").agg(F.sum("tf").alias("occurrences"))
+    return asked.join(found, "term").select(
+        "qid", "term", F.col("qtf").cast("bigint").alias("qtf"), "df", "occurrences",
+        F.round("idf", 6).alias("idf"),
     )
 
 
@@ -431,12 +436,15 @@ nb_pred AS (
 CLEAN_ASKED = f"asked AS (SELECT item_id AS qid, {q.cleaned('text')} AS text FROM benchmark)"
 
 
-@registered(f"""
+TRIAGE_SQL = f"""
 WITH {q.CASES}, {CLEAN_ASKED}, {q.bm25('cases', 'asked', k=3)}, {BAYES}, {_bayes_scores('asked')}
 SELECT a.qid, prediction, confidence, rank, b.doc_id, score, category, source,
        {_line(doc='b.doc_id')} AS line, c.text AS passage
 FROM asked a JOIN nb_pred USING (qid) LEFT JOIN bm25 b ON b.qid = a.qid
-LEFT JOIN cases c ON c.doc_id = b.doc_id""")
+LEFT JOIN cases c ON c.doc_id = b.doc_id"""
+
+
+@registered(TRIAGE_SQL)
 def triage(spark, sf):
     """Clean, classify and look up three similar cases for every narrative."""
     engine = TriageEngine.fit(written(cases(spark, sf), "cases"))
@@ -445,6 +453,49 @@ def triage(spark, sf):
     )
 
 
+@registered(TRIAGE_SQL)
+def triage_loaded(spark, sf):
+    """The same by an engine that was saved and read back."""
+    path = fresh_path(spark, "triage-engine")
+    TriageEngine.fit(written(cases(spark, sf), "cases")).save(path)
+    return TriageEngine.load(spark, path).triage(narratives(spark, sf), 3).withColumn(
+        "confidence", F.round("confidence", 4)
+    )
+
+
+def _triage_with_vectors(hits: str, searches: str) -> str:
+    return f"""
+WITH {q.CASES}, {HYBRID}, {searches}, {BAYES}, {_bayes_scores('queries_v')}
+SELECT a.qid, prediction, confidence, rank, b.doc_id, score, category, source,
+       {_line(doc='b.doc_id')} AS line, c.text AS passage
+FROM queries_v a JOIN nb_pred USING (qid) LEFT JOIN {hits} b ON b.qid = a.qid
+LEFT JOIN cases c ON c.doc_id = b.doc_id"""
+
+
+def _triaged_with_vectors(spark, sf, method):
+    docs, queries, _ = _hybrid(spark, sf)
+    asked = _with_vector(queries)
+    dense = dense_search(asked, _with_vector(docs), 50)
+    engine = TriageEngine.fit(written(cases(spark, sf), "cases"))
+    return engine.triage(asked.select("qid", "text"), 3, dense, method).withColumn(
+        "confidence", F.round("confidence", 4)
+    )
+
+
+@registered(_triage_with_vectors("dense", q.dense("docs_v", "queries_v", k=3)))
+def triage_dense(spark, sf):
+    """Narratives that have a vector, looked up by it."""
+    return _triaged_with_vectors(spark, sf, "dense")
+
+
+@registered(_triage_with_vectors("fused", ",".join([
+    q.bm25("docs", "queries_v", k=50), q.dense("docs_v", "queries_v", k=50),
+    q.fused("bm25", "dense", k=3)])))
+def triage_hybrid(spark, sf):
+    """BM25 over all cases fused with the vectors' ranking."""
+    return _triaged_with_vectors(spark, sf, "hybrid")
+
+
 STREAM_RULES = [
     ("legal", [r"license|copyright"]),
     ("short", [r"^.{0,120}$"]),

@@ -53,14 +53,28 @@ class TriageEngine:
 
     @classmethod
     def fit(cls, cases: DataFrame) -> TriageEngine:
-        """Train on all cases by their category, index their text."""
-        pipeline = TextPipeline("text", "category").fit(cases)
-        vectors = pipeline.vectors(cases, ["doc_id", "category"])
+        """Train on all cases by their category, index their (clean) text."""
+        pipeline = TextPipeline("text", "category", clean=False)
+        vectors = pipeline.fit_vectors(cases, ["doc_id", "category"])
         classifier = fit_naive_bayes(
             vectors, "category", pipeline.tfidf.size(), pipeline.codes
         )
         return cls(cases, pipeline, classifier, bm25_index(cases.select("doc_id", "text")))
 
+    def save(self, path: str) -> None:
+        """All four parts under one folder; what is saved again replaces what was there."""
+        self.cases.write.mode("overwrite").parquet(f"{path}/cases")
+        self.pipeline.save(f"{path}/pipeline")
+        self.classifier.save(f"{path}/classifier")
+        self.index.save(f"{path}/index")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TriageEngine:
+        return cls(
+            spark.read.parquet(f"{path}/cases"), TextPipeline.load(spark, f"{path}/pipeline"),
+            NaiveBayesModel.load(spark, f"{path}/classifier"), Bm25Index.load(spark, f"{path}/index"),
+        )
+
     def classify(self, narratives: DataFrame) -> DataFrame:
         """``(qid, prediction, confidence)`` of ``(qid, cleaned_text)``."""
         rows = narratives.select("qid", F.col("cleaned_text").alias("text"))
@@ -68,19 +82,33 @@ class TriageEngine:
             self.pipeline.vectors(rows, ["qid"]), self.classifier, self.pipeline.tfidf
         )
 
-    def search(self, narratives: DataFrame, k: int, dense: DataFrame | None = None) -> DataFrame:
-        """Similar cases by BM25, fused with a dense ranking when one is given."""
+    def search(
+        self, narratives: DataFrame, k: int, dense: DataFrame | None = None, method: str | None = None
+    ) -> DataFrame:
+        """Similar cases: ``sparse`` (BM25), ``dense`` (the ranking given) or ``hybrid`` (both fused).
+
+        Hybrid when a dense ranking is given, else sparse, unless told otherwise.
+        """
+        method = method or ("sparse" if dense is None else "hybrid")
+        if method not in ("sparse", "dense", "hybrid"):
+            raise ValueError(f"no such method: {method}")
+        if method != "sparse" and dense is None:
+            raise ValueError(f"{method} search needs a dense ranking")
+        if method == "dense":
+            return dense.where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
         asked = narratives.select("qid", F.col("cleaned_text").alias("text"))
-        if dense is None:
+        if method == "sparse":
             return bm25_search(asked, self.index, k)
         return fuse(bm25_search(asked, self.index, 50), dense, k)
 
-    def triage(self, narratives: DataFrame, k: int = 3, dense: DataFrame | None = None) -> DataFrame:
+    def triage(
+        self, narratives: DataFrame, k: int = 3, dense: DataFrame | None = None, method: str | None = None
+    ) -> DataFrame:
         """A row per similar case of each narrative ``(qid, text)``.
 
         A narrative without any similar case keeps one row.
         """
         cleaned = computed_once(narratives, "cleaned_text", text.clean(F.col("text")))
         predicted = self.classify(cleaned)
-        lines = case_lines(self.search(cleaned, k, dense), self.cases)
+        lines = case_lines(self.search(cleaned, k, dense, method), self.cases)
         return predicted.join(lines, "qid", "left")

@@ -39,7 +39,9 @@ def triage_stream(
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # cleaned and labelled once, read twice
         triaged(batch, index, k).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         rule_labelled(narratives, **rules)
