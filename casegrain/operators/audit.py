@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
+from casegrain.operators.splitting import SPLITS
 from casegrain.operators.terms import exploded
 from casegrain.workspace import written
 
@@ -51,8 +52,13 @@ def percentiles(
     )
 
 
-def length_summary(df: DataFrame, column: str) -> DataFrame:
-    quartile = lambda p: F.round(F.percentile(column, F.lit(p)), 6)
+def length_summary(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
+    """One row; quartiles are exact, or approximate for a column of very many values."""
+    at = lambda p: (
+        F.percentile_approx(column, F.lit(p), 10_000).cast("double")
+        if approximate else F.percentile(column, F.lit(p))
+    )
+    quartile = lambda p: F.round(at(p), 6)
     return df.agg(
         F.min(column).cast("double").alias("min"),
         quartile(0.25).alias("p25"),
@@ -164,11 +170,13 @@ def validate(
     columns: Sequence[str] = tuple(fixed.CORPUS_COLUMNS),
     min_rows: int = fixed.MIN_CORPUS_ROWS, min_class_rows: int = fixed.MIN_CLASS_ROWS,
     expected_queries: int = fixed.EXPECTED_QUERIES, min_relevance: int = fixed.MIN_RELEVANCE,
+    classes: Sequence[str] = tuple(fixed.SEVEN_CLASSES),
 ) -> DataFrame:
     """One row per gate: ``(gate, status, value)``.
 
     ``queries(qid)`` and ``qrels(qid, doc_id, rel)`` are the benchmark; corpus
-    ids are its documents.
+    ids are its documents. The corpus has exactly the ``classes``, every split
+    has every class, and every query is judged.
     """
     missing = [c for c in columns if c not in corpus.columns]
     present = [c for c in columns if c in corpus.columns]
@@ -189,6 +197,8 @@ def validate(
     )
     docs = corpus.select(F.col("complaint_id").alias("doc_id"))
     lost = missing_references(qrels, queries, docs)
+    held = split.where(F.col("primary_category").isin(list(classes))).select("primary_category", "split").distinct()
+    unjudged = queries.select("qid").distinct().join(qrels.select("qid").distinct(), "qid", "left_anti")
     one = lambda df, name: df.select(*[F.col(c).alias(name) for c in df.columns])
     tables = [
         basics,
@@ -199,6 +209,9 @@ def validate(
         split.agg(F.count(F.lit(1)).alias("split_rows")),
         queries.agg(F.countDistinct("qid").alias("queries")),
         judgments,
+        one(label_difference(corpus, "primary_category", classes).agg(F.count(F.lit(1))), "label_differences"),
+        held.agg((F.lit(len(set(classes)) * len(SPLITS)) - F.count(F.lit(1))).alias("classes_not_in_splits")),
+        unjudged.agg(F.count(F.lit(1)).alias("unjudged_queries")),
         lost.where("side = 'query'").select(F.col("n").alias("unknown_queries")),
         lost.where("side = 'document'").select(F.col("n").alias("unknown_documents")),
     ]

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
 from casegrain.operators.ranking import first_per_group, sample_per_group, sample_rows
-from casegrain.operators.scaling import is_small
+from casegrain.operators.scaling import is_small, join_hot
 from casegrain.sources import writers
+from casegrain.workspace import written
 
 
 @dataclass(frozen=True)
@@ -64,17 +65,22 @@ def graded(
         "primary_category", F.col("original_issue").alias("q_issue"),
         F.col("complaint_id").alias("qid"),
     )
-    side = F.broadcast(asked) if is_small(asked) else asked
+    asked = written(asked, "asked")
+    small = is_small(asked)
+    # Category and issue as one key; a null in either gives no key and no match.
+    pair = lambda issue: F.concat("primary_category", F.lit("\u0001"), issue)
     same_issue = (
-        docs.withColumn("q_issue", F.col("original_issue"))
-        .join(side, ["primary_category", "q_issue"])
+        join_hot(
+            docs.select(pair("original_issue").alias("_pair"), "doc_id"),
+            asked.select(pair("q_issue").alias("_pair"), "qid"), "_pair", "doc_id", small=small,
+        )
         .where("qid <> doc_id")
         .select("qid", "doc_id", F.lit(2).cast("bigint").alias("rel"))
     )
     per_issue = first_per_group(docs, ["primary_category", "original_issue"], ["doc_id"], cap + 1)
     short_list = first_per_group(per_issue, ["primary_category"], ["doc_id"], 2 * cap + 1)
     others = (
-        asked.join(short_list, "primary_category")
+        join_hot(asked, written(short_list, "short-list"), "primary_category", "qid")
         .where("qid <> doc_id and coalesce(original_issue <> q_issue, true)")
     )
     return same_issue.unionByName(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,8 @@ from pyspark.sql import functions as F
 from casegrain.operators.ranking import top_k
 
 SCORE_DIGITS = 6
-# Bounds in vector elements (8 bytes each): what is broadcast, and one block.
-BROADCAST_CELLS = 4_000_000
-QUERY_CELLS = 250_000
-DOCUMENT_CELLS = 2_500_000
+# Vector elements (8 bytes each) of the queries that one pass takes along.
+QUERY_CELLS = 4_000_000
 
 
 def with_unit_vectors(df: DataFrame, vector: str, out: str = "vector") -> DataFrame:
@@ -91,16 +90,15 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 def dense_scores(
     queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False,
-    broadcast_cells: int = BROADCAST_CELLS, query_cells: int = QUERY_CELLS,
-    document_cells: int = DOCUMENT_CELLS,
+    query_cells: int = QUERY_CELLS,
 ) -> DataFrame:
     """Candidates ``(qid, doc_id, score)``, at most ``k`` per query and task.
 
     Every query is scored against every document by block-wise matrix products
     in Arrow batches; a task keeps ``k`` documents per query, and no pair
-    leaves it otherwise. Queries of up to ``broadcast_cells`` elements (counted)
-    go to the documents, which stay where they are. More queries are cut into
-    blocks, the documents too, and each pair of blocks is one bounded group.
+    leaves it otherwise. The documents stay where they are and the queries go
+    to them, in blocks of some ``query_cells`` elements by hash: a narrow pass
+    over the documents per block, and no shuffle of vectors.
     """
     schema = _score_schema(queries, docs)
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
@@ -108,44 +106,30 @@ def dense_scores(
     n_queries, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if n_queries == 0:
         return queries.sparkSession.createDataFrame([], schema)
-    if n_queries * width <= broadcast_cells:
-        table = asked.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (table["qid"].to_numpy(), _matrix(table["vector"]))
-        )
-
-        def score_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(*shared.value, k, exclude_self)
-            for batch in batches:
-                if len(batch):
-                    best.add(batch["doc_id"].to_numpy(), _matrix(batch["vector"]))
-            yield best.best()
-
-        return held.mapInPandas(score_stream, schema)
-
-    def score_block(asked_block: pd.DataFrame, held_block: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(asked_block["qid"].to_numpy(), _matrix(asked_block["vector"]), k, exclude_self)
-        if len(held_block):
-            best.add(held_block["doc_id"].to_numpy(), _matrix(held_block["vector"]))
-        return best.best()
-
-    q_blocks = -(-n_queries * width // query_cells)
-    d_blocks = max(1, -(-held.count() * width // document_cells))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q_side = asked.withColumn("_q", block("qid", q_blocks)).withColumn("_d", every(d_blocks))
-    d_side = held.withColumn("_d", block("doc_id", d_blocks)).withColumn("_q", every(q_blocks))
-    return (
-        q_side.groupBy("_q", "_d")
-        .cogroup(d_side.groupBy("_q", "_d"))
-        .applyInPandas(
-            lambda q, d: score_block(q, d) if len(q) else _no_scores(d), schema
-        )
-    )
-
-
-def _no_scores(frame: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
+    blocks = -(-n_queries * width // query_cells)
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    passes = [
+        held.mapInPandas(_scorer(numbered.where(F.col("_block") == i), k, exclude_self), schema)
+        for i in range(blocks)
+    ]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _scorer(asked: DataFrame, k: int, exclude_self: bool):
+    """Scores batches of documents against one bounded block of queries."""
+    table = asked.toPandas()
+    if table.empty:
+        return lambda batches: iter(())
+    shared = asked.sparkSession.sparkContext.broadcast((table["qid"].to_numpy(), _matrix(table["vector"])))
+
+    def score_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(*shared.value, k, exclude_self)
+        for batch in batches:
+            if len(batch):
+                best.add(batch["doc_id"].to_numpy(), _matrix(batch["vector"]))
+        yield best.best()
+
+    return score_stream
 
 
 def _score_schema(queries: DataFrame, docs: DataFrame) -> str:

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from casegrain import fixed_values as fixed
 
 
+#: Spark's own limit for cutting groups in the map tasks, and the parts of a group beyond it.
+MAP_SIDE_ROWS, SALTS = 1000, 32
+
+
 def hash_key(id_column: str, seed: int = fixed.SEED) -> Column:
     """A seeded order that does not depend on the engine or the partitioning."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_column).cast("string")))
@@ -24,16 +28,29 @@ def first_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int,
     rank: str | None = None,
 ) -> DataFrame:
-    """The first ``n`` rows per group, optionally with their rank."""
+    """The first ``n`` rows per group, optionally with their rank.
+
+    Spark cuts groups down in the map tasks for small ``n`` only. For a larger
+    one each group is cut to ``n`` rows in salted parts first.
+    """
     name = rank or "_rank"
+    if n > MAP_SIDE_ROWS:
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+        part = Window.partitionBy(*group, "_salt").orderBy(*order)
+        salted = df.withColumn("_salt", salt).withColumn("_part", F.row_number().over(part))
+        df = salted.where(F.col("_part") <= n).drop("_salt", "_part")
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     kept = ranked.where(F.col(name) <= n)
     return kept if rank else kept.drop(name)
 
 
 def keep_first(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
-    """One row per key: the first in a defined order."""
-    return first_per_group(df, [key], order, 1)
+    """One row per key, a text: the first in a defined order.
+
+    Rows meet and are sorted by the text's 256-bit hash, not by the text.
+    """
+    hashed = df.withColumn("_key", F.sha2(F.col(key).cast("binary"), 256))
+    return first_per_group(hashed, ["_key"], order, 1).drop("_key")
 
 
 def sample_per_group(

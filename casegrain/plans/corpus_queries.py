@@ -598,7 +598,7 @@ UNION ALL SELECT 'judgment', qid, NULL, doc_id, rel FROM qrels""")
 def benchmark_build_graded(spark, sf):
     master = kept_corpus(spark, sf)
     test = stratified_split(master).where("split = 'test'")
-    return _benchmark_frame(build_graded_benchmark(master, test))
+    return _benchmark_frame(build_graded_benchmark(master, test, GRADED_ASKED))
 
 
 def _benchmark_frame(benchmark):
@@ -674,6 +674,11 @@ gates AS (
   UNION ALL SELECT 'queries', count(*) FROM asked
   UNION ALL SELECT 'judgments', count(*) FROM qrels
   UNION ALL SELECT 'low_judgments', count(*) FROM qrels WHERE rel < 1
+  UNION ALL SELECT 'label_differences', count(*) FROM (
+    SELECT DISTINCT primary_category FROM corpus WHERE primary_category NOT IN {tuple(LANGS)})
+  UNION ALL SELECT 'classes_not_in_splits', 3 * {len(LANGS)} - count(*) FROM (
+    SELECT DISTINCT primary_category, split FROM split)
+  UNION ALL SELECT 'unjudged_queries', count(*) FROM asked WHERE complaint_id NOT IN (SELECT qid FROM qrels)
   UNION ALL SELECT 'unknown_queries', 0
   UNION ALL SELECT 'unknown_documents', 0)
 SELECT gate, CASE WHEN CASE gate
@@ -688,10 +693,22 @@ def quality_gates(spark, sf):
     asked = test_queries(spark, sf)
     return audit.validate(
         master, split, asked.select(F.col("complaint_id").alias("qid")),
-        same_category(keys(spark, sf), asked),
+        same_category(keys(spark, sf), asked), classes=LANGS,
     )
 
 
+@registered(f"""
+WITH {q.CORPUS}, found AS (SELECT DISTINCT {rules_sql('cleaned_text')} AS category FROM corpus)
+SELECT category, 'unexpected' AS problem FROM (
+  SELECT category FROM found EXCEPT SELECT unnest({fixed.SIX_CLASSES}))
+UNION ALL
+SELECT category, 'missing' FROM (SELECT unnest({fixed.SIX_CLASSES}) AS category EXCEPT SELECT category FROM found)""")
+def legacy_label_difference(spark, sf):
+    """Categories the keyword rules give, against the six of the legacy corpus."""
+    found = corpus(spark, sf).select(text.taxonomy(F.col("cleaned_text")).alias("category"))
+    return audit.label_difference(found, "category", fixed.SIX_CLASSES)
+
+
 @registered(f"""
 WITH {q.CORPUS}
 SELECT primary_category, count(*) AS n, count(*) >= 100 AS enough,

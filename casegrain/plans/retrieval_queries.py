@@ -141,10 +141,10 @@ def search_dense(spark, sf):
 @registered(f"WITH {VECTORS}, {VECTOR_QUERIES}, {q.dense('vectors', 'vector_queries', k=20)} "
             "SELECT qid, rank, doc_id, score FROM dense")
 def search_dense_blocks(spark, sf):
-    """The same search by the plan for very many queries."""
+    """The same search in several passes, as for very many queries."""
     return dense_search(
         _vector_queries(spark, sf), _vectors(spark, sf), 20,
-        broadcast_cells=0, query_cells=20_000, document_cells=20_000,
+        query_cells=5_000,
     )
 
 

@@ -90,6 +90,19 @@ def scan_judgments(spark, sf):
     return readers.read_qrels(spark, path)
 
 
+@registered(f"WITH {GRADED_QUERIES}, {GRADED_SQL} SELECT qid, doc_id, CAST(rel AS INTEGER) AS rel FROM qrels")
+def scan_judgment_object(spark, sf):
+    """The same judgments, written and read as one JSON object over many lines."""
+    path = fresh_path(spark, "qrels-object")
+    docs = F.map_from_entries(F.collect_list(F.struct("doc_id", "rel")))
+    per_query = _graded(spark, sf).groupBy("qid").agg(docs.alias("docs"))
+    # As large as the queries of one benchmark, which is what that form is for.
+    whole = per_query.agg(F.map_from_entries(F.collect_list(F.struct("qid", "docs"))).alias("judged"))
+    pretty = F.regexp_replace(F.to_json("judged"), r"\},", "},\n")
+    whole.select(pretty).coalesce(1).write.text(path)
+    return readers.read_qrels(spark, path, lines=False)
+
+
 @registered(f"""
 WITH {GRADED_QUERIES}, {GRADED_SQL}
 SELECT qid, count(*) AS judgments, sum(rel)::BIGINT AS total FROM qrels GROUP BY qid""")

@@ -29,14 +29,22 @@ QUERY_SCHEMA = "_id string, text string"
 QRELS_TYPE = T.MapType(T.StringType(), T.MapType(T.StringType(), T.IntegerType()))
 
 
-def read_sms(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless tab-separated ``label, text``."""
-    return spark.read.options(**CSV_OPTIONS).csv(path, sep="\t", schema=SMS_SCHEMA)
+def read_sms(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Headerless tab-separated ``label, text``; ``lines`` as for :func:`read_csv`."""
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", not lines)
+    return reader.csv(path, sep="\t", schema=SMS_SCHEMA)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; every column is a string unless a schema is given."""
-    reader = spark.read.options(**CSV_OPTIONS).option("header", True)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False
+) -> DataFrame:
+    """CSV with a header; every column is a string unless a schema is given.
+
+    Quoted fields may span lines, so a file is read by one task. ``lines`` says
+    that no field does: Spark then splits large files. Data with line breaks is
+    best read once and kept as Parquet, or delivered in many files.
+    """
+    reader = spark.read.options(**CSV_OPTIONS).option("header", True).option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

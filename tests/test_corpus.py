@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from casegrain import fixed_values as fixed
 from casegrain.operators import audit, corpus, records
 from casegrain.operators.benchmark import build_benchmark, graded, same_category
-from casegrain.operators.ranking import ranked_in_group, top_k
+from casegrain.operators.ranking import first_per_group, ranked_in_group, top_k
 from casegrain.operators.splitting import stratified_split
 from casegrain.sources import readers
 
@@ -240,13 +240,16 @@ def test_gates(spark):
     split = stratified_split(df)
     bench = build_benchmark(df, split.where("split = 'test'"), per_class=3)
     queries = bench.queries.select(F.col("complaint_id").alias("qid"))
-    limits = dict(min_rows=90, min_class_rows=45, expected_queries=6)
+    limits = dict(min_rows=90, min_class_rows=45, expected_queries=6, classes=["a", "b"])
     good = audit.validate(df, split, queries, bench.qrels, **limits)
     audit.require_valid(good)
     copies = df.unionByName(df.limit(2).withColumn("cleaned_text", F.lit("mail a@b.org")))
-    bad = audit.validate(copies.drop("source"), split.unionByName(split), queries, bench.qrels)
+    some = bench.qrels.where(F.col("qid") != queries.first().qid)
+    bad = audit.validate(copies.drop("source"), split.unionByName(split), queries, some, classes=["a", "b", "c"])
     failed = {r.gate: r.value for r in bad.collect() if r.status == "fail"}
     assert failed["missing_columns"] == 1 and failed["duplicate_ids"] == 2
+    assert failed["label_differences"] == 1 and failed["classes_not_in_splits"] == 3
+    assert failed["unjudged_queries"] == 1
     assert failed["duplicate_texts"] == 1 and failed["emails"] == 2 and failed["queries"] == 6
     with pytest.raises(ValueError, match="duplicate_ids"):
         audit.require_valid(bad)
@@ -274,6 +277,25 @@ def test_percentiles(spark):
     assert rough[50] == 2.0
 
 
+@pytest.mark.parametrize("n", [3, 1500])
+def test_first_rows_of_a_hot_group(spark, n):
+    df = spark.createDataFrame([(i % 5 == 0, i) for i in range(5000)], "cold boolean, i int")
+    rows = first_per_group(df.repartition(6), ["cold"], [F.col("i").desc()], n, rank="r").collect()
+    assert sorted((r.i, r.r) for r in rows if not r.cold) == sorted(
+        (i, k + 1) for k, i in enumerate([i for i in range(4999, -1, -1) if i % 5][:n]))
+    assert sum(r.cold for r in rows) == min(n, 1000)
+
+
+def test_graded_judgments_of_a_hot_issue_by_the_salted_plan(spark, monkeypatch):
+    from casegrain.operators import benchmark
+
+    df = benchmark_rows(spark).withColumn("original_issue", F.lit("hot"))
+    expected = sorted(map(tuple, graded(df, df).collect()))
+    monkeypatch.setattr(benchmark, "is_small", lambda *a: False)
+    assert sorted(map(tuple, graded(df, df).collect())) == expected
+    assert len(expected) == 2 * 45 * 44
+
+
 def test_top_k_breaks_ties_by_document(spark):
     df = spark.createDataFrame([(1, d, 0.5) for d in (9, 3, 7)], "qid int, doc_id int, score double")
     assert [r.doc_id for r in top_k(df, 2).orderBy("rank").collect()] == [3, 7]

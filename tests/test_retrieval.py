@@ -176,7 +176,7 @@ def test_dense_plans_equal_brute_force(vectors):
         q: sorted(((d, scores[q, d]) for d in range(len(matrix))), key=lambda x: (-x[1], x[0]))[:7]
         for q in range(len(matrix))
     }
-    for options in ({}, dict(broadcast_cells=0, query_cells=200, document_cells=300)):
+    for options in ({}, dict(query_cells=200)):
         got = lists_of(dense_search(queries, vectors, 7, **options))
         assert {q: [d for d, _ in r] for q, r in got.items()} == {
             q: [d for d, _ in r] for q, r in expected.items()}
@@ -234,6 +234,32 @@ def test_triage_batch(spark):
     assert [r.doc_id for r in by[3]] == [None] and by[3][0].prediction == "money"
 
 
+def test_engine_saved_and_loaded(spark, tmp_path):
+    cases = spark.createDataFrame(CASES, "doc_id string, text string, category string, source string")
+    narratives = spark.createDataFrame([(1, "WIRE from the bank"), (2, "webcam")], "qid long, text string")
+    engine = TriageEngine.fit(cases)
+    engine.save(str(tmp_path / "engine"))
+    loaded = TriageEngine.load(spark, str(tmp_path / "engine"))
+    rows = lambda e: sorted(map(str, e.triage(narratives, 2).collect()))
+    assert rows(loaded) == rows(engine)
+    dense = spark.createDataFrame([(1, 1, "c3", 0.9), (1, 2, "c1", 0.8)], "qid long, rank long, doc_id string, score double")
+    by_vector = engine.triage(narratives, 1, dense, method="dense").collect()
+    assert {r.qid: r.doc_id for r in by_vector} == {1: "c3", 2: None}
+    fused = {r.doc_id for r in engine.triage(narratives, 3, dense).collect() if r.qid == 1}
+    assert {"c3", "c1"} <= fused
+    with pytest.raises(ValueError, match="needs a dense ranking"):
+        engine.search(narratives.withColumnRenamed("text", "cleaned_text"), 2, method="hybrid")
+
+
+def test_search_opens_the_buckets_of_its_terms_only(frames):
+    _, df, queries = frames
+    index = bm25_index(df)
+    asked = retrieval.query_terms(queries.where("qid = 'q1'")).join(index.terms, "term")
+    plan = index.of_terms(asked)._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
+    assert index.of_terms(asked).select("term").distinct().count() <= index.terms.count()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     cases = spark.createDataFrame(CASES, "doc_id string, text string, category string, source string")
     index = bm25_index(cases)

@@ -93,6 +93,13 @@ def test_cached_vectors(spark):
     assert sorted(r.doc_id for r in vectors.ids_to_encode(ids, cache).collect()) == [1, 3]
 
 
+def test_line_based_csv_equals_the_other(spark, tmp_path):
+    path = str(tmp_path / "plain.csv")
+    (tmp_path / "plain.csv").write_text('id,text\n1,"a ""quoted"" word, here"\n2,\n3,  blanks \n')
+    one, other = readers.read_csv(spark, path), readers.read_csv(spark, path, lines=True)
+    assert one.collect() == other.collect() and one.count() == 3
+
+
 def test_first_rows_in_order(spark):
     assert [r.id for r in readers.first_rows(spark.range(100), 3, ["id"]).collect()] == [0, 1, 2]
 
