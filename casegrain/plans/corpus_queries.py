@@ -21,6 +21,7 @@ from casegrain.operators.corpus import (
     ingest_source,
     load_fraud_mail,
     load_hate_speech,
+    load_labelled,
     load_regulator,
     load_sms_spam,
     top_up,
@@ -39,8 +40,9 @@ from casegrain.plans.standins import (
     texts,
 )
 from casegrain.plans.text_queries import rules_sql
+from casegrain.sources import writers
 from casegrain.sources.readers import concatenate
-from casegrain.workspace import read_table, written
+from casegrain.workspace import fresh_path, read_table, written
 
 LANGS = ["en", "fr", "de", "es"]
 
@@ -365,9 +367,15 @@ REGULATOR_SQL = _loaded_sql(
 )
 
 
-@registered(_loaded_sql(
+SPAM_SQL = _loaded_sql(
     STRIPPED, *_literals(fixed.SMS_SPAM), "(SELECT * FROM conversations WHERE role = 'user')",
-))
+)
+MAIL_SQL = _loaded_sql("html", *_literals(fixed.FRAUD_MAIL), "pages")
+ALL_HATE_SQL = _loaded_sql(
+    STRIPPED, *_literals(fixed.HATE_SPEECH), "(SELECT text FROM conversations WHERE turn IN (0, 1))")
+
+
+@registered(SPAM_SQL)
 def load_spam_messages(spark, sf):
     turns = texts(spark, sf, "conversations")
     label = F.when(F.col("role") == "user", "spam").otherwise("ham")
@@ -381,9 +389,7 @@ def load_hate_speech_sample(spark, sf):
     return load_hate_speech(tweets, HATE_SAMPLE)
 
 
-@registered(_loaded_sql(
-    "html", *_literals(fixed.FRAUD_MAIL), "pages"
-))
+@registered(MAIL_SQL)
 def load_fraud_mails(spark, sf):
     mails = texts(spark, sf, "pages").select("url", F.col("html").alias("Mail Body"))
     return load_fraud_mail(mails)
@@ -413,6 +419,25 @@ def load_regulator_complaints(spark, sf):
     return load_regulator(_complaints(spark, sf), regulator_routes(), cap=fixed.REGULATOR_CAP)
 
 
+@registered(f"""
+SELECT complaint_id, source, primary_category, cleaned_text, word_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY cleaned_text ORDER BY complaint_id) AS r
+  FROM ({SPAM_SQL} UNION ALL {ALL_HATE_SQL} UNION ALL {MAIL_SQL})) WHERE r = 1""")
+def build_from_files(spark, sf):
+    """The labelled loaders from delimited files, one of which is missing, as one corpus."""
+    path = fresh_path(spark, "sources")
+    turns = texts(spark, sf, "conversations")
+    label = F.when(F.col("role") == "user", "spam").otherwise("ham")
+    writers.write_sms(turns.select(label.alias("label"), "text"), f"{path}/sms")
+    writers.write_table(turns.select(F.col("turn").alias("class"), F.col("text").alias("tweet")), f"{path}/tweets")
+    writers.write_table(texts(spark, sf, "pages").select("url", F.col("html").alias("Mail Body")), f"{path}/mails")
+    loaded = load_labelled(
+        spark, sms=f"{path}/sms", hate_speech=f"{path}/tweets.csv", fraud_mail=f"{path}/mails.csv",
+        regulator=f"{path}/absent.csv",
+    )
+    return build_corpus([loaded]).drop("raw_text")
+
+
 DEFICITS_SQL = """
 SELECT t.category AS primary_category, coalesce(n, 0) AS existing,
        greatest(0, {target} - coalesce(n, 0)) AS needed
