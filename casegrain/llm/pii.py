@@ -93,6 +93,11 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone,
          _listed(r"^\+(?:1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[^0-9]", r"^\+0"),
          base=True, needs="+"),
+    # A base match that runs on into other digits fails whole; these find the number inside.
+    Kind("card_part", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", _card,
+         _listed(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))", r"^0")),
+    Kind("phone_part", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+         _phone, _listed(r"^\+(?:1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[^0-9]", r"^\+0"), needs="+"),
     Kind("masked_email", r"(?i)(?<![\w.-])[\w.-]{1,64}+\x20?[(\[]at[)\]]\x20?[a-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z0-9]++)++",
          lambda m: m.rlike(r"(?i)[a-z]{2,}$"), _listed(r"(?i)(?:com|org|net|edu|de|fr|es)$")),
     Kind("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -283,8 +288,8 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id`` and ``spans``: kind, start, end (code points, end exclusive), text, base, probability.
 
-    Sorted by start, then kind. Base spans always stay; another candidate stays if the
-    classifier gives it at least ``threshold``. A null text is empty and has no spans;
+    Sorted by start, then kind. Base spans always stay; another candidate stays if it overlaps
+    none of them and the classifier gives it at least ``threshold``. A null text is empty and has no spans;
     repeated rows get a row each; without any candidate nothing is learned or found.
     """
     rows = written(candidates(docs, id_col, text_col), "pii-candidates")
@@ -303,7 +308,13 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             c["kind"].alias("kind"), c["text"].alias("text"), c["base"].alias("base"),
             (1 / (1 + F.exp(-odds))).alias("probability"))
 
-    kept = F.filter(F.transform("candidates", decided), lambda s: s["base"] | (s["probability"] >= threshold))
+    def free(s: Column) -> Column:
+        return ~F.exists("candidates", lambda b: b["base"] & (b["start"] < s["end"]) & (b["end"] > s["start"]))
+
+    kept = F.filter(
+        F.transform("candidates", decided),
+        lambda s: s["base"] | ((s["probability"] >= threshold) & free(s)),
+    )
     return rows.select("doc_id", F.array_sort(kept).alias("spans"))
 
 

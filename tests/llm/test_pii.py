@@ -83,13 +83,16 @@ def test_labelers_are_weighed_and_other_spans_added(spark):
     texts += [f"ssn 219-09-{1000 + i} was given" for i in range(40)]
     texts += [f"order 900-00-{1000 + i} shipped" for i in range(40)]
     texts += [f"key AKIA{'ABCDEFGH'}{10000000 + i} here" for i in range(30)]
+    texts += ["or call +1 (988) 555-2485 190.137.223.204 then pay 91 4845168114407329 today"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     spans = {r["doc_id"]: r["spans"] for r in pii.found_spans(docs).collect()}
     kinds = [sorted(s["kind"] for s in spans[i]) for i in range(len(texts))]
     assert all(k == ["email", "phone"] for k in kinds[:60])
     assert all(k == ["ssn"] for k in kinds[60:100])
     assert all(k == [] for k in kinds[100:140])
-    assert all(k == ["secret"] for k in kinds[140:])
+    assert all(k == ["secret"] for k in kinds[140:-1])
+    last = {s["kind"]: s["text"] for s in spans[len(texts) - 1]}
+    assert last["ip"] == "190.137.223.204" and last["phone_part"] == "+1 (988) 555-2485"
     assert spans[60][0]["text"] == "219-09-1000" and spans[60][0]["probability"] > 0.9
 
 
