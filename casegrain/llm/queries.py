@@ -52,7 +52,7 @@ WITH RECURSIVE split AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
   FROM pages
 ), located AS (
-  SELECT page_id, coalesce({_HOST}, '') AS host,
+  SELECT page_id, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query, coalesce({_HOST}, '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
          {_HOST} || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS node,
          html
@@ -62,8 +62,16 @@ WITH RECURSIVE split AS (
     regexp_extract_all(html, '(?i)<link rel="canonical" href="[^":]*://([^"#]*)', 1),
     regexp_extract_all(html, '(?i)<meta http-equiv="refresh" content="0; *url=[^":]*://([^"#]*)', 1))) AS dst
   FROM located WHERE node IS NOT NULL
+  UNION ALL
+  SELECT node, regexp_replace(host, '{url_rules.HOST_PREFIX}', '')
+    || CASE regexp_replace(path, '{url_rules.PATH_ENDING}', '') WHEN '' THEN '/'
+       ELSE regexp_replace(path, '{url_rules.PATH_ENDING}', '') END
+    || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END
+  FROM (SELECT *, list_filter(string_split(query, '&'),
+          lambda p: p <> '' AND NOT regexp_matches(p, '^{url_rules.TRACKING}(?:=|$)')) AS kept FROM located)
+  WHERE node IS NOT NULL
 ), edges AS (
-  SELECT src, dst FROM named UNION SELECT dst, src FROM named
+  SELECT src, dst FROM named WHERE src <> dst UNION SELECT dst, src FROM named WHERE src <> dst
 ), reach AS (
   SELECT src AS node, src AS alias FROM edges
   UNION SELECT reach.node, edges.dst FROM reach JOIN edges ON reach.alias = edges.src

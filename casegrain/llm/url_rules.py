@@ -1,7 +1,8 @@
 """URL verdicts: explicit rules, and block decisions carried to aliases.
 
-A page's URL and the URLs it names as its canonical form or redirects to at once are
-aliases; connected components over these edges make classes of aliases. The longest rule
+A page's URL, its normal form (where servers usually redirect to), and the URLs it names
+as its canonical form or redirects to at once are aliases; connected components over
+these edges make classes of aliases. The longest rule
 that fits a URL decides it. A URL without a rule is blocked if a rule blocks any URL of
 its class, else allowed. An explicit allow rule always wins over what aliases carry.
 """
@@ -52,6 +53,25 @@ def node_of(url: Column) -> Column:
     return F.when(_after_scheme(url).isNotNull(), F.concat(host_of(url), path_of(url), query))
 
 
+#: Host prefixes, path endings and query parameters that do not make another page. Parameters.
+HOST_PREFIX = r"^(?:www|m|mobile)\."
+PATH_ENDING = r"/(?:index\.html?)?$"
+TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref)"
+
+
+def normal_form(url: Column) -> Column:
+    """The address a site usually redirects to: no www or mobile host, no index page, no tracking."""
+    host = F.regexp_replace(host_of(url), HOST_PREFIX, "")
+    path = F.regexp_replace(path_of(url), PATH_ENDING, "")
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*\?([^#]*)", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike(f"^{TRACKING}(?:=|$)") & (p != "")), "&")
+    return F.when(
+        _after_scheme(url).isNotNull(),
+        F.concat(F.lit("://"), host, F.when(path == "", "/").otherwise(path),
+                 F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))),
+    )
+
+
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """``rule`` and ``verdict`` of the longest rule that fits, of equally long ones an allow; else null.
 
@@ -113,11 +133,11 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 def judged(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None,
-    id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    normal_forms: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` per page, and its ``class`` of aliases, null without one.
 
-    ``redirects`` may add edges (``src``, ``dst`` URLs) seen while fetching. A null URL, or one
+    ``normal_forms=False`` takes no edges to normal forms. ``redirects`` may add edges (``src``, ``dst`` URLs) seen while fetching. A null URL, or one
     without ``://``, has an empty host and path, fits no rule, has no aliases and is allowed.
     Equal URLs are judged alike; an empty table gives no rows.
     """
@@ -125,6 +145,9 @@ def judged(
     if redirects is not None:
         edges = edges.unionByName(redirects.select(
             column("src").cast("string").alias("src"), column("dst").cast("string").alias("dst")))
+    if normal_forms:
+        edges = edges.unionByName(pages.select(
+            column(url_col).alias("src"), normal_form(column(url_col)).alias("dst")))
     edges = written(edges, "alias-edges")
     classes = written(
         connected_components(edges.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))),

@@ -28,9 +28,21 @@ def node(url):
     return "".join(host_path(url)) + query
 
 
-def brute_force(pages, edges):
+def normal(url):
+    if url is None or "://" not in url:
+        return None
+    host, path = host_path(url)
+    host = re.sub(r"^(www|m|mobile)\.", "", host)
+    path = re.sub(r"/(index\.html?)?$", "", path) or "/"
+    query = (re.match(r"[^?#]*(?:\?([^#]*))?", url.split("://", 1)[1])[1] or "").split("&")
+    kept = [p for p in query if p and not re.match(r"(utm_[a-z]+|gclid|fbclid|ref)(=|$)", p)]
+    return "://" + host + path + ("?" + "&".join(kept) if kept else "")
+
+
+def brute_force(pages, edges, normal_forms=True):
     """pages: (page_id, url); edges: (src, dst) URLs. Classes by repeated passes over all edges."""
     label = {}
+    edges = [*edges, *((u, normal(u)) for _, u in pages if normal_forms)]
     for a, b in edges:
         if node(a) and node(b):
             label.setdefault(node(a), node(a))
@@ -88,18 +100,26 @@ def test_blocks_reach_aliases_and_allows_win(spark):
         (14, "https://e.net", link("mailto:a@b.c")),
         (15, "https://example.org", "<link rel=canonical href=https://www.com/fr/a>"),
         (16, "ftp://a://b.org/x", ""),
+        (17, "https://m.f.net/shop/?utm_source=feed&q=2&ref=x#top", link("https://x.com/de/")),
+        (18, "http://www.f.net/shop/index.html?q=2", ""),
+        (19, "https://f.net/shop?q=2&&gclid", ""),
+        (20, "https://f.net/shop?q=3", ""),
     ]
     edges = [("https://a.net/x", "http://m.com/de/1"), ("https://b.net/y", "https://b.net/z"),
              ("https://b.net/z", "https://a.net/x"), ("https://good.org/p", "https://b.net/y"),
              ("https://d.net/a/b.html?q=1#f", "https://d.net/a/c.html"),
-             ("http://d.net/a/c.html", "http://shop.com/de/9"), ("https://example.org", "https://www.com/fr/a")]
+             ("http://d.net/a/c.html", "http://shop.com/de/9"), ("https://example.org", "https://www.com/fr/a"),
+             ("https://m.f.net/shop/?utm_source=feed&q=2&ref=x#top", "https://x.com/de/")]
     pages = spark.createDataFrame(
         [(*r, "clash") for r in rows], "page_id long, url string, html string, component string")
     expected = brute_force([r[:2] for r in rows], edges)
     got = result(url_rules.judged(pages))
     assert got == expected
+    assert got[17][3] == got[18][3] == got[19][3] == "block" and got[20][3] == "allow"
     assert got[2][3] == got[11][3] == "block" and got[4][3] == "allow" and got[6][3] == "allow"
     extra = spark.createDataFrame([("https://c.net/free", "https://b.net/y"), (None, "https://x.net/")], "src string, dst string")
+    only = result(url_rules.judged(pages, normal_forms=False))
+    assert only == brute_force([r[:2] for r in rows], edges, normal_forms=False)
     more = result(url_rules.judged(pages, redirects=extra))
     assert more == brute_force([r[:2] for r in rows], [*edges, ("https://c.net/free", "https://b.net/y")])
     assert more[5][3] == more[13][3] == "block"
