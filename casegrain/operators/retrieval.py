@@ -183,43 +183,75 @@ def bm25_search(
     return _ranked(bm25_scores(queries, index, k1, b), k, exclude_self)
 
 
-def tfidf_search(
-    queries: DataFrame, docs: DataFrame, k: int = 10,
-    max_features: int = fixed.TFIDF_FEATURES, exclude_self: bool = False,
-    stop_words=tuple(fixed.STOP_WORDS), keep: bool = True,
-) -> DataFrame:
-    """Top ``k`` documents by cosine of TF-IDF vectors fitted on the documents."""
-    words = word_table(docs, "text", ["doc_id"], stop_words)
-    if keep:
-        words = written(words, "tfidf-words")
-    terms = counted_terms(words)
-    model = fit_tfidf(terms, max_features=max_features, min_df=1, stop_words=stop_words, keep=keep)
-    return tfidf_rank(queries, terms, model, k, exclude_self)
+@dataclass(frozen=True)
+class TfidfIndex:
+    """A fitted model and its documents' unit vectors, ``weights(bucket, term, doc_id, weight)``.
+
+    Laid out like the postings of :class:`Bm25Index`.
+    """
+
+    model: TfidfModel
+    weights: DataFrame
+
+    def save(self, path: str) -> None:
+        self.model.save(f"{path}/model")
+        write_inverted(self.weights, f"{path}/weights")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TfidfIndex:
+        return cls(TfidfModel.load(spark, f"{path}/model"), spark.read.parquet(f"{path}/weights"))
+
+
+def tfidf_index(
+    docs: DataFrame, max_features: int = fixed.TFIDF_FEATURES,
+    stop_words=tuple(fixed.STOP_WORDS), buckets: int = TERM_BUCKETS,
+) -> TfidfIndex:
+    """Fit on ``(doc_id, text)`` and keep the documents' vectors; texts are cut into words once."""
+    spark = docs.sparkSession
+    terms = counted_terms(written(word_table(docs, "text", ["doc_id"], stop_words), "tfidf-words"))
+    model = fit_tfidf(terms, max_features=max_features, min_df=1, stop_words=stop_words)
+    weights = long_weights(unit_vectors(terms, model)).select(
+        "term", "doc_id", "weight", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    )
+    path = fresh_path(spark, "tfidf-inverted")
+    write_inverted(weights, path)
+    return TfidfIndex(model, spark.read.schema(weights.schema).parquet(path))
 
 
 def tfidf_rank(
-    queries: DataFrame, terms: DataFrame, model: TfidfModel, k: int = 10,
-    exclude_self: bool = False,
+    queries: DataFrame, index: TfidfIndex, k: int = 10, exclude_self: bool = False,
+    buckets: int = TERM_BUCKETS,
 ) -> DataFrame:
-    asked_terms = term_table(queries, "text", ["qid"], model.stop_words)
-    asked = long_weights(unit_vectors(asked_terms, model)).select(
-        "qid", "idx", F.col("weight").alias("query_weight")
+    """Top ``k`` documents by cosine; a search opens the buckets of its terms only."""
+    asked_terms = term_table(queries, "text", ["qid"], index.model.stop_words)
+    asked = long_weights(unit_vectors(asked_terms, index.model)).select(
+        "qid", "idx", "term", F.col("weight").alias("query_weight"),
+        F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"),
     )
     asked = written(asked, "tfidf-queries")
     small = is_small(asked)
-    # A document's terms lie in one row, so the sums need no order of their own.
-    doc_terms = long_weights(unit_vectors(terms, model)).select(
-        "doc_id", "idx", F.col("weight").alias("doc_weight")
-    )
+    opened = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most ``buckets``
+    numbers = asked.select("term", "idx").distinct()
     relevant = join_hot(
-        doc_terms, asked.select("idx").distinct(), "idx", "doc_id", "left_semi", small
-    )
+        index.weights.where(F.col("bucket").isin(opened)).drop("bucket"), numbers, "term", "doc_id", small=small
+    ).select("doc_id", "idx", F.col("weight").alias("doc_weight"))
     scores = dot_by_document(
-        relevant, asked, "idx", F.col("doc_weight") * F.col("query_weight"), small
+        relevant.repartition("doc_id") if small else relevant,
+        asked.select("qid", "idx", "query_weight"), "idx",
+        F.col("doc_weight") * F.col("query_weight"), small,
     )
     return _ranked(scores.where("score > 0"), k, exclude_self)
 
 
+def tfidf_search(
+    queries: DataFrame, docs: DataFrame, k: int = 10,
+    max_features: int = fixed.TFIDF_FEATURES, exclude_self: bool = False,
+    stop_words=tuple(fixed.STOP_WORDS),
+) -> DataFrame:
+    """Fit on the documents, then the top ``k`` of each query by cosine."""
+    return tfidf_rank(queries, tfidf_index(docs, max_features, stop_words), k, exclude_self)
+
+
 def _ranked(scores: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     if exclude_self:
         scores = scores.where(F.col("qid").cast("string") != F.col("doc_id").cast("string"))

@@ -114,6 +114,15 @@ def test_index_saved_and_loaded(frames, spark, tmp_path):
     assert lists_of(bm25_search(queries, loaded, 5)) == lists_of(bm25_search(queries, index, 5))
 
 
+def test_tfidf_index_saved_and_loaded(frames, spark, tmp_path):
+    _, df, queries = frames
+    index = retrieval.tfidf_index(df, max_features=30, stop_words=())
+    index.save(str(tmp_path / "tfidf"))
+    loaded = retrieval.TfidfIndex.load(spark, str(tmp_path / "tfidf"))
+    assert lists_of(retrieval.tfidf_rank(queries, loaded, 5)) == lists_of(
+        tfidf_search(queries, df, 5, max_features=30, stop_words=()))
+
+
 def brute_tfidf(docs, queries, k, features):
     def terms(text):
         ws = [w for w in words(text) if len(w) > 1]
