@@ -127,11 +127,15 @@ class Model:
 def telling_features(lists: Sequence[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
     """Features in enough rows whose share of rows differs between the labels, sorted."""
     empty = np.zeros(0, np.uint32)
-    one = np.concatenate([empty, *(x for x, y in zip(lists, labels) if y == 1)])
-    all_, counts = np.unique(np.concatenate([empty, *lists]), return_counts=True)
-    toxic, toxic_counts = np.unique(one, return_counts=True)
-    a = np.zeros(len(all_))
+    (toxic, toxic_counts), (clean, clean_counts) = (
+        np.unique(np.concatenate([empty, *(x for x, y in zip(lists, labels) if y == label)]), return_counts=True)
+        for label in (1, 0)
+    )
+    all_ = np.union1d(toxic, clean)
+    a, counts = np.zeros(len(all_)), np.zeros(len(all_))
     a[np.searchsorted(all_, toxic)] = toxic_counts
+    counts[np.searchsorted(all_, clean)] = clean_counts
+    counts += a
     n, n1 = len(labels), int(labels.sum())
     expected = counts * (n1 / max(n, 1))
     spread = expected * (1 - counts / max(n, 1)) * (1 - n1 / max(n, 1))
@@ -191,7 +195,7 @@ def _featured(pairs: dict[str, str]):
                 swapped.append(distinct_features(other, known) if other != words else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
-                 *(pa.array([x if x is None else x.astype(np.int64) for x in part], pa.list_(pa.int64()))
+                 *(pa.array([x if x is None else x.view(np.int32) for x in part], pa.list_(pa.int32()))
                    for part in (plain, swapped))],
                 names=["doc_id", "toxic", "features", "swapped"])
 
@@ -228,13 +232,17 @@ def train(
         docs.select(column(id_col).cast("long").alias("doc_id"),
                     F.coalesce(column(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
-        .mapInArrow(_featured(swaps(terms)), "doc_id long, toxic int, features array<long>, swapped array<long>")
+        .mapInArrow(_featured(swaps(terms)), "doc_id long, toxic int, features array<int>, swapped array<int>")
     )
-    table = rows.toArrow().sort_by("doc_id")
-    lists = [np.asarray(x.values).astype(np.uint32) for x in table["features"]]
-    swapped = [(i, np.asarray(x.values).astype(np.uint32)) for i, x in enumerate(table["swapped"]) if x.is_valid]
+    table = rows.toArrow()
+    order = np.lexsort((table["toxic"].to_numpy(), table["doc_id"].to_numpy()))
+    # Views into the one buffer of each chunk, not copies of their rows.
+    lists = [np.asarray(x.values).view(np.uint32) for x in table["features"]]
+    others = [np.asarray(x.values).view(np.uint32) if x.is_valid else None for x in table["swapped"]]
+    lists, others = [lists[i] for i in order], [others[i] for i in order]
+    swapped = [(i, x) for i, x in enumerate(others) if x is not None]
     return fit(
-        lists, table["toxic"].to_numpy().astype(np.int64), [x for _, x in swapped],
+        lists, table["toxic"].to_numpy()[order].astype(np.int64), [x for _, x in swapped],
         np.array([i for i, _ in swapped], np.int64), **options,
     )
 
