@@ -5,7 +5,8 @@ distinct n-grams and counts per shard (a range of n-gram hashes). A shard's task
 the blocks up, saves its n-grams as a sorted array of hashes beside an array of counts,
 and passes on what the lower order needs: for each context its total and how many n-grams
 follow once, twice, or more; for each suffix the number of different words before it.
-Those go through the same merge, order by order.
+Those go through the same merge, order by order. As shards are ranges, their arrays end
+to end are one sorted array: each is copied to its place in one file.
 
 Scoring: workers map the arrays of the shared folder into memory and look up the sorted
 hashes of many documents at a time; nothing is shuffled, and no worker holds the model.
@@ -17,23 +18,32 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
+from zstandard import ZstdCompressor, ZstdDecompressor
 
-from casegrain.llm.shared import column, mounted_folder, plain, remainder
+from casegrain.llm.shared import column, mounted_folder, partitions, plain, remainder
 from casegrain.workspace import written
 
 ORDER = 2
 #: Marks no word can equal, as words hold no blanks.
-END = xxh64_intdigest(b" ")
-BEGIN = xxh64_intdigest(b"  ")
-#: Tokens a task counts or scores at a time, and tokens per shard.
-AT_ONCE = 1 << 21
-PER_SHARD = 1 << 21
+END = np.uint64(xxh64_intdigest(b" "))
+BEGIN = np.uint64(xxh64_intdigest(b"  "))
+#: Bytes of text a task hashes or scores at a time, tokens it counts together, and tokens per shard.
+BYTES_AT_ONCE = 3 << 20
+COUNTED_TOGETHER = 1 << 21
+PER_SHARD = 1 << 20
+#: Words are told apart by 48 bits inside n-grams; single words' own counts keep all 64.
+WORD_BYTES = 6
+WORD_MASK = np.uint64((1 << 8 * WORD_BYTES) - 1)
+#: An n-gram's hash begins with bits of its last word, then of the words before: a context's n-grams
+#: lie in few shards, and a frequent context still in several.
+LAST_BITS, CONTEXT_BITS = 3, 13
 
 BLOCK = pa.schema([
     ("kind", pa.string()), ("level", pa.int32()), ("shard", pa.int32()),
@@ -52,43 +62,51 @@ def gram_hash(words: list[np.ndarray]) -> np.ndarray:
     """One hash for each row of word hashes; different for different lengths."""
     found = np.full(len(words[0]), len(words), np.uint64)
     for hashes in words:
-        found = _mix(found * np.uint64(0x9E3779B97F4A7C15) + hashes)
-    return found
-
-
-def word_hashes(text: bytes) -> list[int]:
-    """A-Z lower-cased words between ASCII blanks, then the end."""
-    return [*map(xxh64_intdigest, text.lower().split()), END]
+        before, found = found, _mix(found * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    if len(words) == 1:
+        return found
+    rest = 64 - LAST_BITS - CONTEXT_BITS
+    last = _mix(words[-1]) >> np.uint64(64 - LAST_BITS) << np.uint64(64 - LAST_BITS)
+    context = before >> np.uint64(64 - CONTEXT_BITS) << np.uint64(rest)
+    return last | context | found & np.uint64((1 << rest) - 1)
 
 
 @dataclass
 class Tokens:
-    """The tokens of some documents: each with its ``order - 1`` predecessors, and its document's place."""
+    """The tokens of some documents: words (A-Z lower-cased, between ASCII blanks), then an end each.
 
+    ``words`` are full hashes; ``grams`` the shorter ones of each token and its ``order - 1``
+    predecessors; ``starts`` says where each document's tokens begin.
+    """
+
+    words: np.ndarray
     grams: list[np.ndarray]
     starts: np.ndarray
 
     @classmethod
     def of(cls, texts: list[bytes], order: int) -> Tokens:
-        hashes, sizes = [], []
-        for text in texts:
-            words = word_hashes(text)
-            sizes.append(len(words))
-            hashes += [BEGIN] * (order - 1) + words
-        sizes = np.array(sizes, np.int64)
-        flat = np.array(hashes, np.uint64)
+        lists = [text.lower().split() for text in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        token = np.arange(starts[-1]) + np.repeat((np.arange(len(sizes)) + 1) * (order - 1), sizes)
-        return cls([flat[token - back] for back in range(order - 1, -1, -1)], starts)
+        words = np.empty(starts[-1], np.uint64)
+        ends = np.zeros(len(words), bool)
+        ends[starts[1:] - 1] = True
+        words[ends] = END
+        words[~ends] = np.fromiter(
+            map(xxh64_intdigest, chain.from_iterable(lists)), np.uint64, len(words) - len(lists))
+        marked = np.full(len(words) + len(lists) * (order - 1), BEGIN & WORD_MASK)
+        token = np.arange(len(words)) + np.repeat((np.arange(len(lists)) + 1) * (order - 1), sizes)
+        marked[token] = words & WORD_MASK
+        return cls(words, [marked[token - back] for back in range(order - 1, -1, -1)], starts)
 
 
 def portions(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches of some ``AT_ONCE`` tokens (by bytes), with their texts."""
+    """Slices of the batches of some ``BYTES_AT_ONCE``, with their texts."""
     for batch in batches:
         texts = batch.column(place).cast(pa.binary()).to_pylist()
         a, held = 0, 0
         for b, text in enumerate(texts):
-            if held and held + len(text) > 6 * AT_ONCE:
+            if held and held + len(text) > BYTES_AT_ONCE:
                 yield batch.slice(a, b - a), texts[a:b]
                 a, held = b, 0
             held += len(text)
@@ -110,7 +128,31 @@ def _distinct(words: list[np.ndarray], weights: np.ndarray | None) -> tuple[np.n
 
 
 def _shards_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(63) >> np.uint64(1 - bits) if bits < 2 else hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed(words: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each hash, compressed."""
+    return ZstdCompressor(1).compress(words.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    parts = np.frombuffer(ZstdDecompressor().decompress(data), np.uint8).reshape(-1, width)
+    words = np.zeros((len(parts), 8), np.uint8)
+    words[:, :width] = parts
+    return words.view(np.uint64).ravel()
+
+
+def _numbers(counts: np.ndarray) -> bytes:
+    return ZstdCompressor(1).compress(counts.astype("<i8").tobytes())
+
+
+def _as_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(ZstdDecompressor().decompress(data), "<i8")
+
+
+def _width(kind: str) -> int:
+    return WORD_BYTES if kind == "gram" else 8
 
 
 def _blocks(kind: str, level: int, words: list[np.ndarray], counts: np.ndarray, bits: int) -> list[tuple]:
@@ -122,7 +164,8 @@ def _blocks(kind: str, level: int, words: list[np.ndarray], counts: np.ndarray,
     cuts = np.flatnonzero(np.diff(shard)) + 1
     edges = [0, *cuts.tolist(), len(shard)] if len(shard) else [0]
     return [
-        (kind, level, int(shard[a]), [w[a:b].tobytes() for w in words], counts[a:b].tobytes())
+        (kind, level, int(shard[a]), [_packed(w[a:b], _width(kind)) for w in words],
+         _numbers(counts[a:b]))
         for a, b in zip(edges, edges[1:])
     ]
 
@@ -134,21 +177,20 @@ def _batch(rows: list[tuple]) -> pa.Table:
 
 def _count(order: int, bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            grams = Tokens.of(held, order).grams
-            rows = []
-            for kind, words in (("raw", grams[-1:]), ("gram", grams)):
+            single, *grams = map(np.concatenate, zip(*held))
+            for kind, words in (("raw", [single]), ("gram", grams)):
                 _, words, counts = _distinct(words, None)
-                rows += _blocks(kind, len(words), words, counts.astype(np.int64), bits)
-            yield from _batch(rows).to_batches()
+                yield from _batch(_blocks(kind, len(words), words, counts, bits)).to_batches()
 
         for _, texts in portions(batches, 0):
-            held += texts
-            size += sum(map(len, texts))
-            if size >= 6 * AT_ONCE:
+            tokens = Tokens.of(texts, order)
+            held.append([tokens.words, *tokens.grams])
+            size += len(tokens.words)
+            if size >= COUNTED_TOGETHER:
                 yield from counted()
                 held, size = [], 0
         if held:
@@ -157,16 +199,64 @@ def _count(order: int, bits: int):
     return count
 
 
-def _save(folder: str, name: str, shard: int, keys: np.ndarray, values: np.ndarray) -> None:
-    """Two arrays under final names at once, so that a repeated task does no harm."""
-    if values.max() < 1 << 32:
-        values = values.astype(np.uint32)
-    for part, array in (("keys", keys), ("values", values)):
+def _smallest_type(most: int) -> str:
+    """The smallest unsigned type that holds a number."""
+    return next(t for t in ("u1", "u2", "u4", "u8") if most <= np.iinfo(t).max)
+
+
+def _save(folder: str, name: str, shard: int, keys: np.ndarray, values: np.ndarray) -> tuple:
+    """Saves two arrays of a shard, each under its final name at once, so that a repeated task does
+    no harm; gives the row that says so: name, shard, number of keys, largest value."""
+    most = int(values.max())
+    for part, array in (("keys", keys), ("values", values.astype(_smallest_type(most)))):
         final = f"{folder}/{name}-{shard:06d}-{part}.npy"
         attempt = f"{final}.{os.getpid()}"
         with open(attempt, "wb") as out:
             np.save(out, array)
         os.replace(attempt, final)
+    return ("saved", 0, shard, [name.encode()], _numbers(np.array([len(keys), most])))
+
+
+def _place(folder: str):
+    """Copies shards' arrays to their places in one file per name, and removes them."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                source = f"{folder}/{row['name']}-{row['shard']:06d}-{row['part']}.npy"
+                # Removed only when its copy is safe: a repeated task finds nothing left to do.
+                if os.path.exists(source):
+                    array = np.load(source, mmap_mode="r").astype(row["type"])
+                    with open(f"{folder}/{row['name']}-{row['part']}", "r+b") as out:
+                        out.seek(row["at"] * array.itemsize)
+                        array.tofile(out)
+                        out.flush()
+                        os.fsync(out.fileno())
+                    os.remove(source)
+            yield batch.select(["shard"])
+
+    return place
+
+
+def _joined(spark: SparkSession, folder: str, saved: list[tuple[str, int, int, int]]) -> dict[str, str]:
+    """One sorted array of keys and one of values per name; gives the values' types by name."""
+    types, places = {}, []
+    for name in sorted({s[0] for s in saved}):
+        shards = sorted(s[1:] for s in saved if s[0] == name)
+        width = 4 if name.startswith("context") else 1
+        types[name] = _smallest_type(max(most for _, _, most in shards))
+        at = 0
+        for shard, n, _ in shards:
+            places.append((name, shard, "keys", "u8", at))
+            places.append((name, shard, "values", types[name], at * width))
+            at += n
+        for part, size in (("keys", 8), ("values", width * np.dtype(types[name]).itemsize)):
+            with open(f"{folder}/{name}-{part}", "wb") as out:
+                out.truncate(at * size)
+    if places:
+        rows = spark.createDataFrame(places, "name string, shard int, part string, type string, at long")
+        rows.repartition(partitions(spark)).mapInArrow(_place(folder), "shard int").count()
+    return types
 
 
 def _merge(folder: str, bits: int):
@@ -176,23 +266,22 @@ def _merge(folder: str, bits: int):
         kind, level, shard = (k.as_py() for k in key)
         width = 1 if kind == "context" else level
         words = [
-            np.concatenate([np.frombuffer(w[i], np.uint64) for w in table["words"].to_pylist()])
+            np.concatenate([_unpacked(w[i].as_py(), _width(kind)) for w in table["words"]])
             for i in range(width)
         ]
-        counts = np.concatenate([np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()])
+        counts = np.concatenate([_as_numbers(c.as_py()) for c in table["counts"]])
         if kind == "context":
             # A context's row: total, and how many n-grams follow once, twice, more often.
             order = np.argsort(words[0], kind="stable")
             sorted_ = words[0][order]
             first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            _save(folder, f"context{level}", shard, sorted_[first],
-                  np.add.reduceat(counts.reshape(-1, 4)[order], first, axis=0))
-            return _batch([])
+            sums = np.add.reduceat(counts.reshape(-1, 4)[order], first, axis=0)
+            return _batch([_save(folder, f"context{level}", shard, sorted_[first], sums)])
         hashes, words, counts = _distinct(words, counts)
-        _save(folder, f"{kind}{level}", shard, hashes, counts)
+        saved = _save(folder, f"{kind}{level}", shard, hashes, counts)
         seen = [int((counts == n).sum()) for n in (1, 2, 3, 4)]
-        rows = [("stats", level, 0, [kind.encode()],
-                 np.array([*seen, counts.sum(), len(counts)], np.int64).tobytes())]
+        rows = [saved, ("stats", level, 0, [kind.encode()],
+                 _numbers(np.array([*seen, counts.sum(), len(counts)])))]
         if kind == "gram" and level > 1:
             followed = np.stack([counts, counts == 1, counts == 2, counts > 2], axis=1).astype(np.int64)
             context = gram_hash(words[:-1])
@@ -210,7 +299,7 @@ def _merge(folder: str, bits: int):
 def _context_blocks(level: int, contexts: np.ndarray, sums: np.ndarray, bits: int) -> list[tuple]:
     shard = _shards_of(contexts, bits)
     edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-    return [("context", level, int(shard[a]), [contexts[a:b].tobytes()], sums[a:b].tobytes())
+    return [("context", level, int(shard[a]), [_packed(contexts[a:b], 8)], _numbers(sums[a:b]))
             for a, b in zip(edges, edges[1:])]
 
 
@@ -235,7 +324,7 @@ class Model:
 
     folder: str
     order: int
-    bits: int
+    types: dict[str, str]
     tokens: int
     distinct: int
     stats: dict[int, list[int]]
@@ -244,16 +333,11 @@ class Model:
         """The values saved for each hash, zeros for unknown ones."""
         wanted, place = np.unique(hashes, return_inverse=True)
         found = np.zeros((len(wanted), width), np.int64)
-        shard = _shards_of(wanted, self.bits)
-        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(wanted)] if len(wanted) else [0]
-        for a, b in zip(edges, edges[1:]):
-            arrays = _mapped(f"{self.folder}/{name}-{shard[a]:06d}")
-            if arrays is None:
-                continue
-            keys, values = arrays
-            at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == wanted[a:b])
-            found[a + hit] = values.reshape(len(keys), width)[at[hit]]
+        if name in self.types:
+            keys, values = _mapped(self.folder, name, self.types[name], width)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == wanted)
+            found[hit] = values[at[hit]]
         return found[place]
 
     def probabilities(self, grams: list[np.ndarray]) -> np.ndarray:
@@ -281,12 +365,10 @@ class Model:
         return p
 
 
-@lru_cache(maxsize=4096)
-def _mapped(path: str) -> tuple[np.ndarray, np.ndarray] | None:
-    try:
-        return np.load(f"{path}-keys.npy", mmap_mode="r"), np.load(f"{path}-values.npy", mmap_mode="r")
-    except FileNotFoundError:
-        return None
+@lru_cache(maxsize=16)
+def _mapped(folder: str, name: str, kind: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.memmap(f"{folder}/{name}-keys", "u8", "r")
+    return keys, np.memmap(f"{folder}/{name}-values", kind, "r", shape=(len(keys), width))
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
@@ -294,20 +376,25 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(column(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(3, (size // (6 * PER_SHARD)).bit_length())
+    bits = max(LAST_BITS, (size // (6 * PER_SHARD)).bit_length())
     _, folder = mounted_folder(spark, "kneser-ney")
     stats: dict[tuple[str, int], np.ndarray] = {}
+    saved = []
     blocks = texts.mapInArrow(_count(order, bits), BLOCK_DDL)
     for _ in range(order):
         merged = written(
             blocks.groupBy("kind", "level", "shard").applyInArrow(_merge(folder, bits), BLOCK_DDL), "ngrams")
-        # One short row per shard comes back.
-        for row in merged.where("kind = 'stats'").collect():
-            key = (bytes(row["words"][0]).decode(), row["level"])
-            stats[key] = stats.get(key, 0) + np.frombuffer(bytes(row["counts"]), np.int64)
-        blocks = merged.where("kind <> 'stats'")
+        # Two short rows per shard come back.
+        for row in merged.where("kind IN ('stats', 'saved')").collect():
+            name, numbers = bytes(row["words"][0]).decode(), _as_numbers(bytes(row["counts"]))
+            if row["kind"] == "saved":
+                saved.append((name, row["shard"], *map(int, numbers)))
+            else:
+                stats[name, row["level"]] = stats.get((name, row["level"]), 0) + numbers
+        blocks = merged.where("kind NOT IN ('stats', 'saved')")
+    types = _joined(spark, folder, saved)
     raw = stats.get(("raw", 1), np.zeros(6, np.int64))
-    return Model(folder, order, bits, int(raw[4]), int(raw[5]),
+    return Model(folder, order, types, int(raw[4]), int(raw[5]),
                  {level: found.tolist() for (kind, level), found in stats.items() if kind == "gram"})
 
 
@@ -324,7 +411,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches, 1):
             tokens = Tokens.of(texts, model.order)
-            raw = model.lookup("raw1", gram_hash(tokens.grams[-1:]))[:, 0]
+            raw = model.lookup("raw1", gram_hash([tokens.words]))[:, 0]
             base = np.log10((raw + 1) / (model.tokens + model.distinct + 1))
             full = np.log10(model.probabilities(tokens.grams))
             first = tokens.starts[:-1]
