@@ -40,23 +40,25 @@ def remainder(id_column: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def mounted(uri: str) -> str:
-    """The path under which tasks open a shared folder's files themselves."""
+def mounted(uri: str, default_store: str = "file:///") -> str:
+    """The path under which tasks open a shared folder's files themselves.
+
+    An address without a scheme lies in the default store.
+    """
     parsed = urlparse(uri)
-    if parsed.scheme == "":
-        return uri
-    if parsed.scheme != "file":
+    scheme = parsed.scheme or urlparse(default_store).scheme or "file"
+    if scheme != "file":
         raise RuntimeError(
             f"{uri}: tasks open these files themselves, so spark.checkpoint.dir has to be a "
             "folder that every executor mounts"
         )
-    return unquote(parsed.path)
+    return unquote(parsed.path) if parsed.scheme else uri
 
 
 def mounted_folder(spark: SparkSession, name: str) -> tuple[str, str]:
     """A new shared folder: its address for Spark and its path for tasks."""
     uri = fresh_path(spark, name)
-    path = mounted(uri)
+    path = mounted(uri, spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///"))
     os.makedirs(path, exist_ok=True)
     return uri, path
 
