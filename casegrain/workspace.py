@@ -33,8 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder(sc.applicationId)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/casegrain-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that still read them are lost.
+
+    A result is lazy and may read them at any later time, so only the caller knows when.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -108,3 +108,14 @@ def test_written_table_cuts_the_lineage(spark):
     df = workspace.written(spark.range(10).selectExpr("id * 2 as x"), "test")
     assert "Range" not in df._jdf.queryExecution().toString()
     assert df.count() == 10
+
+
+def test_intermediate_tables_are_removed_together(tmp_path, spark, monkeypatch):
+    from casegrain import workspace
+
+    monkeypatch.setattr(workspace, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    kept = workspace.written(spark.range(3), "numbers")
+    assert kept.count() == 3 and len(list((tmp_path / "shared").iterdir())) == 1
+    workspace.remove_intermediate(spark)
+    assert not list((tmp_path / "shared").iterdir())
+    workspace.remove_intermediate(spark)
