@@ -36,7 +36,7 @@ END = np.uint64(xxh64_intdigest(b" "))
 BEGIN = np.uint64(xxh64_intdigest(b"  "))
 #: Bytes of text a task hashes or scores at a time, tokens it counts together, and tokens per shard.
 BYTES_AT_ONCE = 3 << 20
-COUNTED_TOGETHER = 1 << 21
+COUNTED_TOGETHER = 1 << 20
 PER_SHARD = 1 << 20
 #: Words are told apart by 48 bits inside n-grams; single words' own counts keep all 64.
 WORD_BYTES = 6
