@@ -155,9 +155,11 @@ def judged(
     )
     # A node without scheme is judged like its URL: a blocked target need not be a page here.
     as_url = F.concat(F.lit("://"), F.col("node"))
-    blocked = (
+    # Written, so that Spark can split a class with very many nodes in the join.
+    blocked = written(
         classes.where(fitting_rule(host_of(as_url), path_of(as_url), rules)["verdict"] == "block")
-        .select("component").distinct().withColumn("carried", F.lit(True))
+        .select("component").distinct().withColumn("carried", F.lit(True)),
+        "blocked-classes",
     )
     known = written(classes.join(blocked, "component", "left"), "alias-verdicts")
     url = column(url_col)
