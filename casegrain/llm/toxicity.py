@@ -225,13 +225,15 @@ def train(
 ) -> Model:
     """Fit the model on the labelled rows of ``docs`` that :func:`training_ids` chooses.
 
-    At most ``2 * most_rows`` ids are broadcast and as many rows of hashes come to the driver.
+    At most ``2 * most_rows`` ids are broadcast and as many rows of hashes come to the driver:
+    of documents that share an id the one with the smallest text.
     """
     ids = training_ids(labels, most_rows)
     rows = (
         docs.select(column(id_col).cast("long").alias("doc_id"),
                     F.coalesce(column(text_col), F.lit("")).alias("text"))
-        .join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
+        .join(F.broadcast(ids), "doc_id").groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
         .mapInArrow(_featured(swaps(terms)), "doc_id long, toxic int, features array<int>, swapped array<int>")
     )
     table = rows.toArrow()

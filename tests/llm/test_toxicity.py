@@ -85,3 +85,17 @@ def test_counterfactuals_swap_inside_a_kind():
     assert pairs["women"] == "men" and pairs["men"] == "women"
     assert all(pairs[t] in kind for kind in TERMS for t in kind)
     assert len(pairs) == sum(map(len, TERMS))
+
+
+def test_repeated_ids_do_not_lift_the_bound(spark, monkeypatch):
+    seen = []
+    whole = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda lists, *rest, **more: seen.append(len(lists)) or whole(lists, *rest, **more))
+    rows = corpus(300)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    ids = [r[0] for r in toxicity.training_ids(labels, 20).collect()]
+    repeated = spark.createDataFrame([(ids[0], f"~ text {i}") for i in range(500)], "doc_id long, text string")
+    once = toxicity.train(docs, labels, most_rows=20)
+    assert toxicity.train(docs.unionByName(repeated), labels, most_rows=20) == once
+    assert seen == [len(ids)] * 2 and len(ids) <= 40
