@@ -98,14 +98,14 @@ KINDS = (
          _listed(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))", r"^0")),
     Kind("phone_part", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
          _phone, _listed(r"^\+(?:1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[^0-9]", r"^\+0"), needs="+"),
-    Kind("masked_email", r"(?i)(?<![\w.-])[\w.-]{1,64}+\x20?[(\[]at[)\]]\x20?[a-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z0-9]++)++",
+    Kind("masked_email", r"(?i)(?<![\w.-])[\w.-]++\x20?[(\[]at[)\]]\x20?[a-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z0-9]++)++",
          lambda m: m.rlike(r"(?i)[a-z]{2,}$"), _listed(r"(?i)(?:com|org|net|edu|de|fr|es)$")),
     Kind("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
          lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), _listed("^[0-7]", "^9"), needs="-"),
     Kind("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
          lambda m: F.length(F.regexp_replace(m, " ", "")).between(15, 34),
          _listed("^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)")),
-    Kind("secret", r"""(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?["']?[^\s"']{8,256})""",
+    Kind("secret", r"""(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?["']?[^\s"']{8,}+)""",
          lambda m: m.rlike("[0-9]"), _listed("^AKIA|[0-9a-f]{16}", r"(?i)x{4}|\*{4}")),
 )
 BASE = tuple(k.name for k in KINDS if k.base)

@@ -141,3 +141,13 @@ def test_no_python_on_the_path(spark, data):
     plan = pii.digest(pii.found_spans(docs))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.candidates(docs).select(F.size("candidates")).count() == docs.count()
+
+
+def test_long_values_are_found_whole(spark):
+    token, local = "a1b2c3d4" * 80, "long.name" * 9
+    docs = spark.createDataFrame(
+        [(1, f"set token={token} here"), (2, f"write {local} [at] example [dot] com now")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["candidates"] for r in pii.candidates(docs).collect()}
+    found = {i: {c["kind"]: c["text"] for c in cs} for i, cs in rows.items()}
+    assert found[1]["secret"] == f"token={token}"
+    assert found[2]["masked_email"] == f"{local} [at] example [dot] com"
