@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casegrain.llm import (
-    edit_counts, exact_dedup, kneser_ney, mixing, packing, phrase_parsing, pii, simhash, toxicity, url_rules,
+    collocations, edit_counts, exact_dedup, kneser_ney, mixing, packing, phrase_parsing, pii, rule_ensemble, simhash,
+    spelling_variants, toxicity, url_rules,
 )
-from casegrain.workspace import read_table
+from casegrain.workspace import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,6 +182,111 @@ def op10_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.equal_texts(read_table(spark, sf, "documents"))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@registered(rf"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), counts AS (
+  SELECT lang, size, phrase, count(*)::BIGINT AS f FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2),
+             lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS size))
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND f >= 30
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest(list_transform(range(1, size - part + 2),
+             lambda i: array_to_string(words[i:i + part - 1], ' '))) AS phrase
+    FROM candidates, (SELECT unnest([2, 3]) AS part) WHERE part < size)
+  GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, array_to_string(words[1:k], ' ') AS first,
+         array_to_string(words[k + 1:], ' ') AS rest
+  FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase,
+       (SELECT unnest([1, 2, 3]) AS k)
+  WHERE k < size AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * c.a)
+), lowest AS (
+  SELECT lang, phrase, a, unnest(min({{'score': score, 'k': k, 'l': l, 'r': r}})) FROM (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first
+    JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest)
+  GROUP BY lang, phrase, a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf, "documents"))
+
+
+def _crc_table() -> list[int]:
+    """The crc32 of each byte, by its rule."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+@registered(f"""
+WITH runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT]
+                  ELSE [(192 + (unicode(s) >> 6))::BIGINT, (128 + (unicode(s) & 63))::BIGINT] END))),
+      lambda x, y: xor(x >> 8, list_extract({_crc_table()}, (xor(x, y) & 255) + 1)))) AS h
+  FROM runs
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT)
+                ELSE run END AS word, c FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), gaps AS (
+  SELECT word, p, substr(word, 1, p - 1) AS head, substr(word, p + 1) AS tail
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)
+), shorter AS (
+  SELECT DISTINCT g.word, w.word AS other FROM gaps g JOIN words w ON w.word = g.head || g.tail
+), near AS (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION ALL SELECT word, other FROM shorter UNION ALL SELECT other, word FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(other, (-n, other)) AS best
+  FROM (SELECT near.word, other, n FROM near JOIN words ON words.word = other) GROUP BY word
+), formed AS (
+  SELECT words.word, n, CASE WHEN best_n >= 2 * n THEN best END AS form, coalesce(n_near, 0) AS n_near,
+         CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chains AS (
+  WITH RECURSIVE steps AS (
+    SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT steps.word, formed.form FROM steps JOIN formed ON formed.word = root WHERE formed.form IS NOT NULL
+  ) SELECT word, arg_max(root, n) AS root FROM (SELECT steps.word, root, n FROM steps JOIN words ON words.word = root)
+  GROUP BY word
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN chains USING (word)""")
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling_variants.vocabulary(read_table(spark, sf, "documents"), erased=spelling_variants.ERASED)
+    return spelling_variants.variant_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@registered()
+def op13_rule_ensemble_quality(spark: SparkSession, sf: str) -> DataFrame:
+    stats = written(rule_ensemble.statistics(read_table(spark, sf, "documents")), "text-statistics")
+    return rule_ensemble.scored(stats, rule_ensemble.train(stats, read_table(spark, sf, "labels")))
+
+
 @registered(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
