@@ -14,13 +14,13 @@ to the tasks as a bitmap of fixed size: what it lets through too much costs time
 from __future__ import annotations
 
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from heapq import merge
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -59,141 +59,200 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 
 SCHEMA = ("range int, symbols array<binary>, starts array<int>, labels array<int>, targets array<int>, "
           "final array<boolean>, weights array<long>")
+_NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
+
+
+@dataclass(frozen=True)
+class Counted:
+    """Phrases and counts as arrays: row i has the symbols ``places[i]``, -1 after its end.
+
+    Rows are sorted by symbol, a phrase before those it begins; ``symbols`` is sorted too.
+    """
+
+    symbols: pa.Array
+    places: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, counted: Iterable[tuple[Phrase, int]]) -> Counted:
+        rows = sorted(counted)
+        symbols = sorted({symbol for phrase, _ in rows for symbol in phrase})
+        number = {symbol: i for i, symbol in enumerate(symbols)}
+        width = max((len(phrase) for phrase, _ in rows), default=0)
+        places = np.full((len(rows), width), -1, np.int64)
+        for i, (phrase, _) in enumerate(rows):
+            places[i, : len(phrase)] = [number[symbol] for symbol in phrase]
+        return cls(pa.array(symbols, pa.binary()), places, np.array([n for _, n in rows], np.int64))
+
+    def phrase(self, i: int) -> Phrase:
+        return tuple(self.symbols[x].as_py() for x in self.places[i].tolist() if x >= 0)
+
+    def items(self) -> list[tuple[Phrase, int]]:
+        names = self.symbols.to_pylist()
+        return [(tuple(names[x] for x in row if x >= 0), n)
+                for row, n in zip(self.places.tolist(), self.counts.tolist())]
+
+    def part(self, start: int, end: int) -> Counted:
+        """Some of the rows, with the symbols they need."""
+        places = self.places[start:end]
+        used = np.unique(places[places >= 0])
+        place = np.full(len(self.symbols) + 1, -1, np.int64)
+        place[used] = np.arange(len(used))
+        return Counted(self.symbols.take(pa.array(used)), place[places], self.counts[start:end])
 
 
 @dataclass(frozen=True)
 class CountTransducer:
     """A minimal acyclic automaton; the i-th phrase it accepts, in sorted order, has ``weights[i]``.
 
-    State s has the arcs ``starts[s]`` to ``starts[s + 1]``, in order of their symbols; the
-    last state is the start. Equal endings are one state, whatever their counts are.
+    State s has the arcs ``starts[s]`` to ``starts[s + 1]``, in order of their symbols; its
+    targets have lower numbers, and the last state is the start. Equal endings are one state,
+    whatever their counts are.
     """
 
-    symbols: list[bytes]
-    starts: list[int]
-    labels: list[int]
-    targets: list[int]
-    final: list[bool]
-    weights: list[int]
+    symbols: pa.Array
+    starts: np.ndarray
+    labels: np.ndarray
+    targets: np.ndarray
+    final: np.ndarray
+    weights: np.ndarray
 
     @classmethod
-    def of(cls, counted: Iterable[tuple[Phrase, int]]) -> CountTransducer:
-        """Built incrementally: a state that no later phrase can change is replaced by its equal."""
-        known: dict[tuple, int] = {}
-        open_: list[list] = [[False, []]]
-        last: Phrase = ()
-        weights: list[int] = []
-
-        def close(depth: int) -> None:
-            while len(open_) - 1 > depth:
-                final, arcs = open_.pop()
-                state = (final, tuple(arcs))
-                open_[-1][1].append((last[len(open_) - 1], known.setdefault(state, len(known))))
-
-        for phrase, weight in counted:
-            shared = 0
-            for one, other in zip(last, phrase):
-                if one != other:
-                    break
-                shared += 1
-            close(shared)
-            open_.extend([False, []] for _ in phrase[shared:])
-            open_[-1][0] = True
-            weights.append(weight)
-            last = phrase
-        close(0)
-        states = [*known, (open_[0][0], tuple(open_[0][1]))]
-        arcs = [arcs for _, arcs in states]
-        symbols = sorted({symbol for s in arcs for symbol, _ in s})
-        number = {symbol: i for i, symbol in enumerate(symbols)}
-        starts = [0]
-        for s in arcs:
-            starts.append(starts[-1] + len(s))
-        return cls(symbols, starts, [number[a] for s in arcs for a, _ in s], [t for s in arcs for _, t in s],
-                   [final for final, _ in states], weights)
-
-    def items(self) -> Iterator[tuple[Phrase, int]]:
-        """Phrases and counts in sorted order."""
-        symbols, starts, labels, targets, final = self.symbols, self.starts, self.labels, self.targets, self.final
-        weights = iter(self.weights)
-        todo: list[tuple[int, Phrase]] = [(len(final) - 1, ())]
-        while todo:
-            state, phrase = todo.pop()
-            if final[state]:
-                yield phrase, next(weights)
-            for arc in range(starts[state + 1] - 1, starts[state] - 1, -1):
-                todo.append((targets[arc], (*phrase, symbols[labels[arc]])))
-
-    def accepted(self) -> list[int]:
-        """Phrases accepted from each state; a state's targets come before it."""
+    def of(cls, counted: Counted) -> CountTransducer:
+        """Built from sorted phrases: a prefix whose last phrase is in becomes a state, or the one equal to it."""
+        places, (rows, width) = counted.places, counted.places.shape
+        sizes = (places >= 0).sum(axis=1)
+        # The first place in which a row differs from the one before it opens its new prefixes.
+        differs = np.argmax(np.concatenate([np.ones((min(rows, 1), width + 1), bool), np.concatenate(
+            [places[1:] != places[:-1], np.ones((max(rows - 1, 0), 1), bool)], axis=1)]), axis=1)
+        known: dict[tuple[bool, bytes, bytes], int] = {}
+        arcs: list[tuple[np.ndarray, np.ndarray]] = []
+        none = np.zeros(0, np.int32)
+
+        def state(final: bool, labels: np.ndarray, targets: np.ndarray) -> int:
+            key = final, labels.tobytes(), targets.tobytes()
+            if (found := known.get(key)) is None:
+                found = known[key] = len(arcs)
+                arcs.append((labels, targets))
+            return found
+
+        below, below_states = np.zeros(0, np.int64), none
+        for depth in range(width, -1, -1):
+            opened = np.flatnonzero((differs < depth) & (sizes >= depth)) if depth else np.zeros(1, np.int64)
+            final = sizes[opened] == depth if rows else np.zeros(1, bool)
+            states = np.full(len(opened), -1, np.int32)
+            edges = np.append(np.searchsorted(below, opened), len(below))
+            ends = edges[:-1] == edges[1:]
+            if ends.any():
+                states[ends] = state(True, none, none) if rows else state(False, none, none)
+            labels = places[below, depth].astype(np.int32) if len(below) else none
+            for i in np.flatnonzero(~ends).tolist():
+                one, end = edges[i], edges[i + 1]
+                states[i] = state(bool(final[i]), labels[one:end], below_states[one:end])
+            below, below_states = opened, states
+        starts = np.cumsum([0, *(len(labels) for labels, _ in arcs)]).astype(np.int32)
+        join = lambda i: np.concatenate([none, *(a[i] for a in arcs)])
+        return cls(counted.symbols, starts, join(0), join(1), np.array([k[0] for k in known]), counted.counts)
+
+    def accepted(self) -> np.ndarray:
+        """Phrases accepted from each state."""
         out: list[int] = []
-        for state, final in enumerate(self.final):
-            out.append(final + sum(out[t] for t in self.targets[self.starts[state]: self.starts[state + 1]]))
-        return out
+        starts, targets = self.starts.tolist(), self.targets.tolist()
+        for state, final in enumerate(self.final.tolist()):
+            out.append(final + sum(map(out.__getitem__, targets[starts[state]: starts[state + 1]])))
+        return np.array(out, np.int64)
+
+    def _before(self) -> np.ndarray:
+        """For each arc, the phrases of its state that come before those through the arc."""
+        below = np.append(0, np.cumsum(self.accepted()[self.targets]))
+        state = np.repeat(np.arange(len(self.final)), np.diff(self.starts))
+        return below[:-1] - below[self.starts[state]] + self.final[state]
+
+    def counted(self) -> Counted:
+        """All phrases with their counts; all paths grow by a symbol at a time."""
+        before = self._before()
+        state, at = np.array([len(self.final) - 1]), np.zeros(1, np.int64)
+        places = np.zeros((1, 0), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(state):
+            ends = self.final[state]
+            found.append((at[ends], places[ends]))
+            first, n = self.starts[state], self.starts[state + 1] - self.starts[state]
+            row = np.repeat(np.arange(len(state)), n)
+            arc = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
+            state, at = self.targets[arc], at[row] + before[arc]
+            places = np.concatenate([places[row], self.labels[arc][:, None]], axis=1)
+        width = max(p.shape[1] for _, p in found)
+        out = np.full((len(self.weights), width), -1, np.int64)
+        for at, places in found:
+            out[at, : places.shape[1]] = places
+        return Counted(self.symbols, out, self.weights)
 
     def composed(self, other: CountTransducer) -> Iterator[tuple[Phrase, int]]:
         """Phrases both accept, with the count that ``other`` has; both are walked in step."""
-        below = other.accepted()
+        before, mine_of, names = other._before(), self.symbols.to_pylist(), other.symbols.to_pylist()
+        number = {symbol: i for i, symbol in enumerate(mine_of)}
+        theirs_to_mine = [number.get(symbol, -1) for symbol in names]
         todo = [(len(self.final) - 1, len(other.final) - 1, 0, ())]
         while todo:
             mine, theirs, at, phrase = todo.pop()
-            if other.final[theirs]:
-                if self.final[mine]:
-                    yield phrase, other.weights[at]
-                at += 1
-            arc, end = self.starts[mine], self.starts[mine + 1]
-            for their_arc in range(other.starts[theirs], other.starts[theirs + 1]):
-                symbol, target = other.symbols[other.labels[their_arc]], other.targets[their_arc]
-                while arc < end and self.symbols[self.labels[arc]] < symbol:
-                    arc += 1
-                if arc == end:
-                    break
-                if self.symbols[self.labels[arc]] == symbol:
-                    todo.append((self.targets[arc], target, at, (*phrase, symbol)))
-                at += below[target]
-
-    def row(self, range_: int) -> tuple:
-        return range_, self.symbols, self.starts, self.labels, self.targets, self.final, self.weights
-
-
-def united(transducers: Sequence[CountTransducer]) -> Iterator[tuple[Phrase, int]]:
-    """The union's phrases in sorted order, with the sums of their counts."""
-    last, total = None, 0
-    for phrase, weight in merge(*(t.items() for t in transducers)):
-        if phrase == last:
-            total += weight
-            continue
-        if last is not None:
-            yield last, total
-        last, total = phrase, weight
-    if last is not None:
-        yield last, total
-
-
-def _packed(rows: Sequence[tuple]) -> pa.RecordBatch:
+            if other.final[theirs] and self.final[mine]:
+                yield phrase, int(other.weights[at])
+            one, end = self.starts[mine], self.starts[mine + 1]
+            arcs = dict(zip(self.labels[one:end].tolist(), self.targets[one:end].tolist()))
+            for arc in range(other.starts[theirs], other.starts[theirs + 1]) if arcs else ():
+                label = other.labels[arc]
+                target = arcs.get(theirs_to_mine[label])
+                if target is not None:
+                    todo.append((target, other.targets[arc], at + int(before[arc]), (*phrase, names[label])))
+
+
+def united(transducers: Sequence[CountTransducer], least: int = 1) -> Counted:
+    """The union's phrases with the sums of their counts, without those that are too rare."""
+    parts = [t.counted() for t in transducers]
+    symbols = pc.unique(pa.chunked_array([p.symbols for p in parts], pa.binary()))
+    symbols = symbols.take(pc.sort_indices(symbols))
+    width = max(p.places.shape[1] for p in parts)
+    places = np.full((sum(len(p.counts) for p in parts), width), -1, np.int64)
+    at = 0
+    for p in parts:
+        place = np.append(pc.index_in(p.symbols, value_set=symbols).to_numpy(zero_copy_only=False), -1).astype(np.int64)
+        places[at: at + len(p.counts), : p.places.shape[1]] = place[p.places]
+        at += len(p.counts)
+    order = np.lexsort(places.T[::-1]) if width else np.arange(len(places))
+    places, counts = places[order], np.concatenate([p.counts for p in parts])[order]
+    first = np.flatnonzero(np.append(True, (places[1:] != places[:-1]).any(axis=1))) if len(places) else order
+    sums = np.add.reduceat(counts, first) if len(first) else counts
+    kept = sums >= least
+    return Counted(symbols, places[first[kept]], sums[kept]).part(0, int(kept.sum()))
+
+
+def _packed(range_: int, t: CountTransducer) -> pa.RecordBatch:
     ints = pa.list_(pa.int32())
     kinds = (pa.int32(), pa.list_(pa.binary()), ints, ints, ints, pa.list_(pa.bool_()), pa.list_(pa.int64()))
-    names = [field.split()[0] for field in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+    values = (range_, t.symbols.to_pylist(), t.starts, t.labels, t.targets, t.final, t.weights)
+    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], _NAMES)
 
 
 def _transducers(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, CountTransducer]]:
-    for row in batch.select([field.split()[0] for field in SCHEMA.split(", ")]).to_pylist():
-        range_ = row.pop("range")
-        yield range_, CountTransducer(**row)
-
-
-def _by_range(counted: Iterable[tuple[Phrase, int]], bounds: Sequence[Phrase]) -> Iterator[tuple]:
-    """Sorted phrases as one transducer per range."""
-    range_, held = 0, []
-    for phrase, weight in counted:
-        if range_ < len(bounds) and phrase >= bounds[range_]:
-            if held:
-                yield CountTransducer.of(held).row(range_)
-            range_, held = bisect_right(bounds, phrase), []
-        held.append((phrase, weight))
-    if held:
-        yield CountTransducer.of(held).row(range_)
+    columns = [batch.column(name) for name in _NAMES]
+    for i in range(batch.num_rows):
+        range_, symbols, *arrays = (c[i] for c in columns)
+        yield range_.as_py(), CountTransducer(
+            symbols.values.cast(pa.binary()), *(a.values.to_numpy(zero_copy_only=False) for a in arrays))
+
+
+def _by_range(counted: Counted, bounds: Sequence[Phrase]) -> Iterator[pa.RecordBatch]:
+    """The phrases of one language as one transducer per range."""
+    if not len(counted.counts):
+        return
+    rows = range(len(counted.counts))
+    range_, start = bisect_right(bounds, counted.phrase(0)), 0
+    while start < len(rows):
+        end = bisect_left(rows, bounds[range_], lo=start, key=counted.phrase) if range_ < len(bounds) else len(rows)
+        if end > start:
+            yield _packed(range_, CountTransducer.of(counted.part(start, end)))
+        range_, start = range_ + 1, end
 
 
 # --- Counting ---------------------------------------------------------------------
@@ -223,61 +282,71 @@ class _Shard:
         self.size += len(ids) - before
 
     def ranked(self) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
-        """Per language its sorted words and all places as ranks among them."""
+        """Per language its sorted symbols, itself among them, and all words' places in that list."""
         for lang in sorted(self.ids):
-            words = sorted(self.numbers[lang])
-            rank = np.empty(len(words) + 1, np.int64)
-            rank[[self.numbers[lang][w] for w in words]] = np.arange(len(words))
-            rank[-1] = -1
-            yield lang, words, rank[np.frombuffer(self.ids[lang], np.int32)]
+            numbers = self.numbers[lang]
+            symbols = sorted({lang, *numbers})
+            place = np.full(len(numbers) + 1, -1, np.int64)
+            at = {symbol: i for i, symbol in enumerate(symbols)}
+            place[: len(numbers)] = [at[w] for w in numbers]
+            yield lang, symbols, place[np.frombuffer(self.ids[lang], np.int32)]
+
 
+def _phrases(lang: bytes, symbols: list[bytes], columns: Sequence[np.ndarray], counts: np.ndarray) -> Counted:
+    places = np.stack([np.full(len(counts), symbols.index(lang)), *columns], axis=1)
+    return Counted(pa.array(symbols, pa.binary()), places, counts.astype(np.int64))
 
-def _words(shard: _Shard, frequent) -> Iterator[tuple[Phrase, int]]:
+
+def _words(shard: _Shard, frequent) -> Iterator[Counted]:
     """Words, and as the phrase of the language alone the number of all words."""
-    for lang, words, places in shard.ranked():
-        counts = np.bincount(places[places >= 0], minlength=len(words)).tolist()
-        yield (lang,), sum(counts)
-        for word, n in zip(words, counts):
-            yield (lang, word), n
+    for lang, symbols, places in shard.ranked():
+        counts = np.bincount(places[places >= 0], minlength=len(symbols))
+        found = np.flatnonzero(counts)
+        yield _phrases(lang, symbols, [np.append(-1, found)], np.append(counts.sum(), counts[found]))
 
 
-def _pairs(shard: _Shard, frequent) -> Iterator[tuple[Phrase, int]]:
+def _pairs(shard: _Shard, frequent) -> Iterator[Counted]:
     """Pairs of frequent words."""
-    for lang, words, places in shard.ranked():
-        good = np.array([frequent(lang, w) for w in words] + [False])
+    for lang, symbols, places in shard.ranked():
+        good = np.array([frequent(lang, w) for w in symbols] + [False])
         places = np.where(good[places], places, -1)
-        key = (places[:-1] << 32 | places[1:])[(places[:-1] >= 0) & (places[1:] >= 0)]
-        keys, counts = np.unique(key, return_counts=True)
-        for one, other, n in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), counts.tolist()):
-            yield (lang, words[one], words[other]), n
+        keys, counts = np.unique(
+            (places[:-1] << 32 | places[1:])[(places[:-1] >= 0) & (places[1:] >= 0)], return_counts=True)
+        yield _phrases(lang, symbols, [keys >> 32, keys & 0xFFFFFFFF], counts)
 
 
-def _longer(shard: _Shard, frequent) -> Iterator[tuple[Phrase, int]]:
+def _longer(shard: _Shard, frequent) -> Iterator[Counted]:
     """Longer phrases all of whose pairs are frequent."""
-    for lang, words, places in shard.ranked():
+    for lang, symbols, places in shard.ranked():
+        good = np.array([frequent(lang, w) for w in symbols] + [False])
+        places = np.where(good[places], places, -1)
         start = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
         keys, number = np.unique(places[start] << 32 | places[start + 1], return_inverse=True)
-        phrases: list[Phrase] = [(words[k >> 32], words[k & 0xFFFFFFFF]) for k in keys.tolist()]
-        good = np.zeros(len(places) + 1, bool)
-        good[start] = np.array([frequent(lang, b" ".join(p)) for p in phrases], bool)[number]
-        # The phrase that starts at a place, by its number; it grows by the word after it.
+        pairs = zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist())
+        known = np.array([frequent(lang, symbols[a] + b" " + symbols[b]) for a, b in pairs], bool)
+        pair_good = np.zeros(len(places) + LONGEST, bool)
+        pair_good[start] = known[number]
+        # The phrase that starts at a place, by its row in ``phrases``; it grows by the word after it.
         phrase_at = np.zeros(len(places), np.int64)
         phrase_at[start] = number
-        start = start[good[start]]
-        found: list[tuple[Phrase, int]] = []
+        phrases = np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1)
+        start = start[pair_good[start]]
+        rows, sums = [], []
         for size in range(3, LONGEST + 1):
-            start = start[good[start + size - 2]]
+            start = start[pair_good[start + size - 2]]
             keys, number, counts = np.unique(
                 phrase_at[start] << 32 | places[start + size - 1], return_inverse=True, return_counts=True)
-            phrases = [(*phrases[k >> 32], words[k & 0xFFFFFFFF]) for k in keys.tolist()]
+            phrases = np.concatenate([phrases[keys >> 32], (keys & 0xFFFFFFFF)[:, None]], axis=1)
             phrase_at[start] = number
-            found += zip(phrases, counts.tolist())
-        for phrase, n in sorted(found):
-            yield (lang, *phrase), n
+            rows.append(np.pad(phrases, ((0, 0), (0, LONGEST - size)), constant_values=-1))
+            sums.append(counts)
+        found, counts = np.concatenate(rows), np.concatenate(sums)
+        order = np.lexsort(found.T[::-1])
+        yield _phrases(lang, symbols, list(found[order].T), counts[order])
 
 
 def _shards(count, bounds: Sequence[Phrase], bitmap, shard_words: int):
-    """Texts in; one transducer per shard and range out."""
+    """Texts in; one transducer per shard, language and range out."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value if bitmap is not None else b""
@@ -291,11 +360,11 @@ def _shards(count, bounds: Sequence[Phrase], bitmap, shard_words: int):
             for lang, text in zip(batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())):
                 shard.add(lang.as_py(), text.as_py())
                 if shard.size >= shard_words:
-                    for row in _by_range(count(shard, frequent), bounds):
-                        yield _packed([row])
+                    for counted in count(shard, frequent):
+                        yield from _by_range(counted, bounds)
                     shard = _Shard()
-        for row in _by_range(count(shard, frequent), bounds):
-            yield _packed([row])
+        for counted in count(shard, frequent):
+            yield from _by_range(counted, bounds)
 
     return shards
 
@@ -307,9 +376,8 @@ def _unions(least: int, held_counts: int):
         now, held, counts = None, [], 0
 
         def closed() -> Iterator[pa.RecordBatch]:
-            kept = CountTransducer.of((p, n) for p, n in united(held) if n >= least)
-            if kept.weights:
-                yield _packed([kept.row(now)])
+            if held and len((kept := united(held, least)).counts):
+                yield _packed(now, CountTransducer.of(kept))
 
         for batch in batches:
             for range_, transducer in _transducers(batch):
@@ -339,7 +407,7 @@ def _counted(rows: DataFrame, count, bounds, bitmap, least: int, shard_words: in
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, transducer in _transducers(batch):
-            found = list(transducer.items())
+            found = transducer.counted().items()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p, _ in found], pa.binary()).cast(pa.string()),
                  pa.array([b" ".join(p[1:]) for p, _ in found], pa.binary()).cast(pa.string()),
@@ -402,7 +470,7 @@ def frequent_phrases(
     limits = (least, shard_words, held_counts)
     words = _counted(rows, _words, bounds, None, *limits)
     pairs = _counted(rows, _pairs, bounds, _bitmap(listed(words).where("size = 1"), filter_bits), *limits)
-    longer = _counted(rows, _longer, bounds, _bitmap(listed(pairs), filter_bits), *limits)
+    longer = _counted(rows, _longer, bounds, _bitmap(listed(words.unionByName(pairs)), filter_bits), *limits)
     return words.unionByName(pairs).unionByName(longer), bounds
 
 
@@ -423,7 +491,7 @@ def _in_ranges(bounds: Sequence[Phrase]):
 def _looked_up(asked: pa.Table, counted: pa.Table) -> pa.Table:
     """The parts asked for in a range, composed with its counts."""
     keys = zip(*(asked[c].cast(pa.binary()).to_pylist() for c in ("lang", "part")))
-    acceptor = CountTransducer.of((phrase, 0) for phrase in sorted((lang, *part.split(b" ")) for lang, part in keys))
+    acceptor = CountTransducer.of(Counted.of(((lang, *part.split(b" ")), 0) for lang, part in keys))
     found = [x for _, transducer in _transducers(counted) for x in acceptor.composed(transducer)]
     return pa.table({
         "lang": pa.array([p[0] for p, _ in found], pa.binary()).cast(pa.string()),
