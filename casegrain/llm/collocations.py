@@ -45,14 +45,13 @@ Phrase = tuple[bytes, ...]
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(
-    _BREAKS + bytes(range(ord("A"), ord("Z") + 1)), b"\n" * len(_BREAKS) + bytes(range(ord("a"), ord("z") + 1)))
+    _BREAKS + b"\t" + bytes(range(ord("A"), ord("Z") + 1)),
+    b"\n" * len(_BREAKS) + b" " + bytes(range(ord("a"), ord("z") + 1)))
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece: A-Z lower-cased, no phrase crosses a mark or a line break."""
-    for piece in text.translate(_PLAIN).split(b"\n"):
-        if words := piece.split():
-            yield words
+def tokens(text: bytes) -> list[bytes]:
+    """Words, A-Z lower-cased, with a line break where a piece ends: no phrase crosses one. Empty ones mean nothing."""
+    return text.translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
 
 
 # --- Automata ---------------------------------------------------------------------
@@ -259,8 +258,13 @@ def _by_range(counted: Counted, bounds: Sequence[Phrase]) -> Iterator[pa.RecordB
 
 
 class _Numbers(dict):
+    """Words by number; a piece's end is -1, nothing is -2."""
+
+    def __init__(self):
+        super().__init__({b"\n": -1, b"": -2})
+
     def __missing__(self, word):
-        self[word] = number = len(self)
+        self[word] = number = len(self) - 2
         return number
 
 
@@ -275,21 +279,41 @@ class _Shard:
     def add(self, lang: bytes, text: bytes) -> None:
         if lang not in self.ids:
             self.numbers[lang], self.ids[lang] = _Numbers(), array("i")
-        number, ids, before = self.numbers[lang].__getitem__, self.ids[lang], len(self.ids[lang])
-        for words in pieces(text):
-            ids.extend(map(number, words))
-            ids.append(-1)
+        ids, before = self.ids[lang], len(self.ids[lang])
+        ids.extend(map(self.numbers[lang].__getitem__, tokens(text)))
+        ids.append(-1)
         self.size += len(ids) - before
 
     def ranked(self) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
         """Per language its sorted symbols, itself among them, and all words' places in that list."""
         for lang in sorted(self.ids):
             numbers = self.numbers[lang]
-            symbols = sorted({lang, *numbers})
-            place = np.full(len(numbers) + 1, -1, np.int64)
+            words = list(numbers)[2:]
+            symbols = sorted({lang, *words})
             at = {symbol: i for i, symbol in enumerate(symbols)}
-            place[: len(numbers)] = [at[w] for w in numbers]
-            yield lang, symbols, place[np.frombuffer(self.ids[lang], np.int32)]
+            place = np.array([*map(at.__getitem__, words), -1], np.int64)
+            ids = np.frombuffer(self.ids[lang], np.int32)
+            yield lang, symbols, place[ids[ids != -2]]
+
+
+class _Frequent:
+    """Frequent words and pairs as bits, by hashes that numpy combines; the bits may hold some others too."""
+
+    def __init__(self, bits: bytes):
+        self.bits = np.frombuffer(bits, np.uint8)
+
+    @staticmethod
+    def hashes(lang: bytes, words: Sequence[bytes]) -> np.ndarray:
+        return np.array([xxh64_intdigest(lang + b"\0" + w) for w in words], np.uint64)
+
+    @staticmethod
+    def of_pair(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        mixed = one * np.uint64(0x9E3779B97F4A7C15) + other
+        return mixed ^ (mixed >> np.uint64(29))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64(len(self.bits) * 8 - 1)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _phrases(lang: bytes, symbols: list[bytes], columns: Sequence[np.ndarray], counts: np.ndarray) -> Counted:
@@ -297,7 +321,7 @@ def _phrases(lang: bytes, symbols: list[bytes], columns: Sequence[np.ndarray], c
     return Counted(pa.array(symbols, pa.binary()), places, counts.astype(np.int64))
 
 
-def _words(shard: _Shard, frequent) -> Iterator[Counted]:
+def _words(shard: _Shard, frequent: _Frequent | None) -> Iterator[Counted]:
     """Words, and as the phrase of the language alone the number of all words."""
     for lang, symbols, places in shard.ranked():
         counts = np.bincount(places[places >= 0], minlength=len(symbols))
@@ -305,32 +329,30 @@ def _words(shard: _Shard, frequent) -> Iterator[Counted]:
         yield _phrases(lang, symbols, [np.append(-1, found)], np.append(counts.sum(), counts[found]))
 
 
-def _pairs(shard: _Shard, frequent) -> Iterator[Counted]:
+def _pairs(shard: _Shard, frequent: _Frequent) -> Iterator[Counted]:
     """Pairs of frequent words."""
     for lang, symbols, places in shard.ranked():
-        good = np.array([frequent(lang, w) for w in symbols] + [False])
+        good = np.append(frequent.holds(frequent.hashes(lang, symbols)), False)
         places = np.where(good[places], places, -1)
         keys, counts = np.unique(
             (places[:-1] << 32 | places[1:])[(places[:-1] >= 0) & (places[1:] >= 0)], return_counts=True)
         yield _phrases(lang, symbols, [keys >> 32, keys & 0xFFFFFFFF], counts)
 
 
-def _longer(shard: _Shard, frequent) -> Iterator[Counted]:
+def _longer(shard: _Shard, frequent: _Frequent) -> Iterator[Counted]:
     """Longer phrases all of whose pairs are frequent."""
     for lang, symbols, places in shard.ranked():
-        good = np.array([frequent(lang, w) for w in symbols] + [False])
-        places = np.where(good[places], places, -1)
-        start = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
-        keys, number = np.unique(places[start] << 32 | places[start + 1], return_inverse=True)
-        pairs = zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist())
-        known = np.array([frequent(lang, symbols[a] + b" " + symbols[b]) for a, b in pairs], bool)
+        hashes = frequent.hashes(lang, symbols)
+        places = np.where(np.append(frequent.holds(hashes), False)[places], places, -1)
+        both = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
         pair_good = np.zeros(len(places) + LONGEST, bool)
-        pair_good[start] = known[number]
+        pair_good[both] = frequent.holds(frequent.of_pair(hashes[places[both]], hashes[places[both + 1]]))
         # The phrase that starts at a place, by its row in ``phrases``; it grows by the word after it.
+        start = np.flatnonzero(pair_good[:-1] & pair_good[1:])
+        keys, number = np.unique(places[start] << 32 | places[start + 1], return_inverse=True)
+        phrases = np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1)
         phrase_at = np.zeros(len(places), np.int64)
         phrase_at[start] = number
-        phrases = np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1)
-        start = start[pair_good[start]]
         rows, sums = [], []
         for size in range(3, LONGEST + 1):
             start = start[pair_good[start + size - 2]]
@@ -349,12 +371,7 @@ def _shards(count, bounds: Sequence[Phrase], bitmap, shard_words: int):
     """Texts in; one transducer per shard, language and range out."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value if bitmap is not None else b""
-
-        def frequent(lang: bytes, phrase: bytes) -> bool:
-            at = xxh64_intdigest(lang + b"\0" + phrase, 42) & (len(bits) * 8 - 1)
-            return bool(bits[at >> 3] >> (at & 7) & 1)
-
+        frequent = _Frequent(bitmap.value) if bitmap is not None else None
         shard = _Shard()
         for batch in batches:
             for lang, text in zip(batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())):
@@ -420,13 +437,28 @@ def listed(counted: DataFrame) -> DataFrame:
     return counted.mapInArrow(_listed, "lang string, phrase string, size int, f long")
 
 
+def _bit_places(bits: int):
+    """Phrases of one or two words in, the bits that stand for them out."""
+
+    def bit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, phrase in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns)):
+                hashes = _Frequent.hashes(lang, phrase.split(b" "))
+                found.append(hashes if len(hashes) == 1 else _Frequent.of_pair(hashes[:1], hashes[1:]))
+            at = np.concatenate([np.zeros(0, np.uint64), *found]) & np.uint64(bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+
+    return bit_places
+
+
 def _bitmap(phrases: DataFrame, bits: int):
-    """One bit per hash of ``(lang, phrase)``, broadcast: at most ``bits / 8`` bytes."""
+    """One bit per hash of a frequent word or pair, broadcast: ``bits / 8`` bytes, however many there are."""
     spark = phrases.sparkSession
-    at = F.xxhash64(F.concat("lang", F.lit("\0"), "phrase")).bitwiseAND(F.lit(bits - 1))
     width = min(bits, 1 << 15)
     found = (
-        phrases.select(at.alias("at")).groupBy(F.expr(f"at div {width}").alias("part"))
+        phrases.where("size > 0").select("lang", "phrase").mapInArrow(_bit_places(bits), "at long")
+        .groupBy(F.expr(f"at div {width}").alias("part"))
         .agg(F.bitmap_construct_agg(F.col("at") % width).alias("bits")).collect()
     )
     out = bytearray(bits // 8)
@@ -440,7 +472,7 @@ def _some_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         found: list[Phrase] = []
         for lang, text in zip(batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())):
-            words = [w for piece in pieces(text.as_py()) for w in piece]
+            words = [w for w in tokens(text.as_py()) if w not in (b"", b"\n")]
             for i in range(0, len(words), max(1, len(words) // PER_DOCUMENT)):
                 found.append((lang.as_py(), *words[i: i + 2]))
         yield pa.RecordBatch.from_arrays(
@@ -469,7 +501,7 @@ def frequent_phrases(
     bounds = _bounds(rows, partitions(docs.sparkSession))
     limits = (least, shard_words, held_counts)
     words = _counted(rows, _words, bounds, None, *limits)
-    pairs = _counted(rows, _pairs, bounds, _bitmap(listed(words).where("size = 1"), filter_bits), *limits)
+    pairs = _counted(rows, _pairs, bounds, _bitmap(listed(words), filter_bits), *limits)
     longer = _counted(rows, _longer, bounds, _bitmap(listed(words.unionByName(pairs)), filter_bits), *limits)
     return words.unionByName(pairs).unionByName(longer), bounds
 
