@@ -98,7 +98,7 @@ ROUTES = [
 ]
 
 
-@registered("""
+@registered(f"""
 WITH hits AS (
   SELECT 0 AS route, doc_id, text FROM documents
   WHERE regexp_matches(source, '(?i)src1') OR regexp_matches(lang, '(?i)fr|de')
@@ -109,9 +109,9 @@ WITH hits AS (
 SELECT ['Rule A', 'Rule B', 'Rule C'][route + 1] AS source,
        ['first', 'second', 'third'][route + 1] AS primary_category, doc_id
 FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY doc_id) AS r FROM hits)
-WHERE r <= 600""")
+WHERE r <= {fixed.REGULATOR_CAP}""")
 def route_labels(spark, sf):
-    copies = records.routed(documents(spark, sf), ROUTES, ["doc_id"])
+    copies = records.routed(documents(spark, sf), ROUTES, ["doc_id"], cap=fixed.REGULATOR_CAP)
     return copies.select("source", "primary_category", "doc_id")
 
 
