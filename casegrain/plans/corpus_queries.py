@@ -567,12 +567,10 @@ def judgments_same_category(spark, sf):
     return same_category(keys(spark, sf), test_queries(spark, sf))
 
 
-#: Fewer than the test rows of the smallest table, so that the sample is one.
-GRADED_ASKED = 20
 GRADED_QUERIES = f"""
 {q.SPLIT},
 asked AS (SELECT complaint_id, primary_category, original_issue FROM split WHERE split = 'test'
-          ORDER BY md5('42|' || complaint_id), complaint_id LIMIT {GRADED_ASKED})"""
+          ORDER BY md5('42|' || complaint_id), complaint_id LIMIT {fixed.GRADED_QUERIES})"""
 GRADED_SQL = """
 qrels AS (
   SELECT a.complaint_id AS qid, k.complaint_id AS doc_id, CAST(2 AS BIGINT) AS rel
@@ -590,7 +588,7 @@ qrels AS (
 @registered(f"WITH {GRADED_QUERIES}, {GRADED_SQL} SELECT qid, doc_id, rel FROM qrels")
 def judgments_graded(spark, sf):
     test = split_keys(spark, sf).where("split = 'test'")
-    return graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", GRADED_ASKED))
+    return graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", fixed.GRADED_QUERIES))
 
 
 def _benchmark_sql(part: str) -> str:
@@ -623,7 +621,7 @@ UNION ALL SELECT 'judgment', qid, NULL, doc_id, rel FROM qrels""")
 def benchmark_build_graded(spark, sf):
     master = kept_corpus(spark, sf)
     test = stratified_split(master).where("split = 'test'")
-    return _benchmark_frame(build_graded_benchmark(master, test, GRADED_ASKED))
+    return _benchmark_frame(build_graded_benchmark(master, test))
 
 
 def _benchmark_frame(benchmark):
@@ -648,7 +646,7 @@ SELECT count(*) AS queries, sum(n)::BIGINT AS judgments, round(avg(n), 6) AS mea
 FROM (SELECT count(*) AS n FROM qrels GROUP BY qid)""")
 def judgments_per_query(spark, sf):
     test = split_keys(spark, sf).where("split = 'test'")
-    qrels = graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", GRADED_ASKED))
+    qrels = graded(keys(spark, sf), ranking.sample_rows(test, "complaint_id", fixed.GRADED_QUERIES))
     return audit.judgment_summary(qrels)
 
 

@@ -9,7 +9,7 @@ from casegrain.operators.benchmark import Benchmark, graded, same_category
 from casegrain.operators.ranking import sample_rows
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
-from casegrain.plans.corpus_queries import GRADED_ASKED, GRADED_QUERIES, GRADED_SQL
+from casegrain.plans.corpus_queries import GRADED_QUERIES, GRADED_SQL
 from casegrain.plans.standins import corpus, documents, keys, split_keys, test_queries
 from casegrain.sources import readers, writers
 from casegrain.sources.vectors import cached_vectors, ids_to_encode
@@ -80,7 +80,7 @@ def search_documents(spark, sf):
 
 def _graded(spark, sf):
     test = split_keys(spark, sf).where("split = 'test'")
-    return graded(keys(spark, sf), sample_rows(test, "complaint_id", GRADED_ASKED))
+    return graded(keys(spark, sf), sample_rows(test, "complaint_id", fixed.GRADED_QUERIES))
 
 
 @registered(f"WITH {GRADED_QUERIES}, {GRADED_SQL} SELECT qid, doc_id, CAST(rel AS INTEGER) AS rel FROM qrels")
@@ -90,13 +90,17 @@ def scan_judgments(spark, sf):
     return readers.read_qrels(spark, path)
 
 
-@registered(f"WITH {GRADED_QUERIES}, {GRADED_SQL} SELECT qid, doc_id, CAST(rel AS INTEGER) AS rel FROM qrels")
+@registered(f"WITH {q.TEST_QUERIES}, {q.SAME_CATEGORY} SELECT qid, doc_id, CAST(rel AS INTEGER) AS rel FROM qrels")
 def scan_judgment_object(spark, sf):
-    """The same judgments, written and read as one JSON object over many lines."""
+    """Judgments of one category, written and read as one JSON object over many lines.
+
+    That form is one value in one task, so it is for judgments whose number is bounded: a sample
+    of queries per class, a cap per query. The graded ones, without a cap, keep to lines.
+    """
     path = fresh_path(spark, "qrels-object")
     docs = F.map_from_entries(F.collect_list(F.struct("doc_id", "rel")))
-    per_query = _graded(spark, sf).groupBy("qid").agg(docs.alias("docs"))
-    # As large as the queries of one benchmark, which is what that form is for.
+    judgments = same_category(keys(spark, sf), test_queries(spark, sf))
+    per_query = judgments.groupBy("qid").agg(docs.alias("docs"))
     whole = per_query.agg(F.map_from_entries(F.collect_list(F.struct("qid", "docs"))).alias("judged"))
     pretty = F.regexp_replace(F.to_json("judged"), r"\},", "},\n")
     whole.select(pretty).coalesce(1).write.text(path)
