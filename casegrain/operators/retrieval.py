@@ -8,8 +8,10 @@ summation was.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
@@ -23,62 +25,66 @@ from casegrain.operators.features import (
     unit_vectors,
     word_table,
 )
+from casegrain.operators.inverted import Layout, Search, opened, planned, save_blocks, write_blocks
 from casegrain.operators.ranking import first_per_group
 from casegrain.operators.ranking import top_k as ranked_top_k
-from casegrain.operators.scaling import is_small, join_hot
 from casegrain.operators.terms import exploded, with_term_counts
 from casegrain.workspace import fresh_path, written
 
 SCORE_DIGITS = 6
 
 
-#: Folders an index is cut into by term, and files a folder's postings are cut into by document.
-TERM_BUCKETS, BUCKET_SLICES = 64, 2
-
-
 @dataclass(frozen=True)
 class Bm25Index:
-    """An inverted index: ``inverted(bucket, term, doc_id, tf, len)``.
+    """An inverted index: ``docs(doc_id, len)``, ``terms(term, df, idf, top)``, ``blocks`` and ``stats``.
 
-    It is laid out by ``bucket``, a hash of the term, and sorted by term inside
-    a file, so that a search opens the folders of its terms only. ``docs(doc_id,
-    len)`` has one row per document, empty ones included, and ``terms(term, df,
-    idf, term_no, bucket)`` one per term.
+    ``docs`` has one row per document, empty ones included. ``top`` is the largest impact of a
+    term's postings, for the constants that ``stats`` (one row) names along with the counts.
     """
 
     docs: DataFrame
     terms: DataFrame
-    inverted: DataFrame
+    blocks: DataFrame
+    stats_row: DataFrame
+
+    @cached_property
+    def known(self) -> dict:
+        """The stored statistics; no search scans the documents for them."""
+        return self.stats_row.first().asDict()
+
+    @property
+    def layout(self) -> Layout:
+        return Layout(self.known["slices"], self.known["folders"])
 
     def postings(self) -> DataFrame:
         """``(term, doc_id, tf)``."""
-        return self.inverted.select("term", "doc_id", "tf")
+        return _postings_of(self.blocks).select("term", "doc_id", "tf")
 
     def stats(self) -> DataFrame:
         """One row: number of documents and mean length."""
-        return corpus_stats(self.docs)
+        return self.stats_row.select("n_docs", "avg_len")
 
     def of_terms(self, asked: DataFrame) -> DataFrame:
-        """Postings in the buckets of some terms, at most one number per bucket on the driver."""
-        buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
-        return self.inverted.where(F.col("bucket").isin(buckets))
+        """Postings of some terms, from the folders that hold them."""
+        found = opened(self.blocks, self.layout, asked)
+        return _postings_of(found.join(asked.select("term").distinct(), "term", "left_semi"))
 
     def save(self, path: str) -> None:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        write_inverted(self.inverted, f"{path}/inverted")
+        self.stats_row.write.mode("overwrite").parquet(f"{path}/stats")
+        save_blocks(self.blocks, f"{path}/blocks")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
-        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("docs", "terms", "inverted")))
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("docs", "terms", "blocks", "stats")))
 
 
-def write_inverted(postings: DataFrame, path: str, slices: int = BUCKET_SLICES) -> None:
-    """One folder per bucket; the postings of a frequent term are spread by document."""
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(slices))
-    postings.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(path)
+def _postings_of(blocks: DataFrame) -> DataFrame:
+    posting = F.arrays_zip("docs", "values", "lens")
+    return exploded(blocks, ["term"], posting, "_p").select(
+        "term", F.col("_p.docs").alias("doc_id"), F.col("_p.values").cast("bigint").alias("tf"),
+        F.col("_p.lens").alias("len"))
 
 
 def document_terms(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -88,42 +94,49 @@ def document_terms(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return counted.select("doc_id", F.size("_tokens").cast("bigint").alias("len"), "terms")
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    return docs.agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        # A plain quotient of exact sums, the same in whatever order they come.
-        (F.sum("len") / F.count(F.lit(1))).alias("avg_len"),
-    )
+def saturation(k1: float, b: float, avg_len: float):
+    """The impact of a posting: what its term frequency and document length give, without the idf."""
+
+    def impact(tf, length):
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
+
+    return impact
+
 
+def idf_of(n_docs: int, df):
+    return F.ln(1 + (n_docs - df + 0.5) / (df + 0.5))
 
-def bm25_index(docs: DataFrame, text_column: str = "text", buckets: int = TERM_BUCKETS) -> Bm25Index:
+
+def bm25_index(
+    docs: DataFrame, text_column: str = "text", k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
+) -> Bm25Index:
     """Index ``(doc_id, text)``.
 
     Texts are tokenised once, into one row of counted terms per document. From
-    there document frequencies and the postings are one shuffle each. All parts
-    are written, since every search hangs off them and the numbers of the terms
-    must not change.
+    there document frequencies and the blocks are one shuffle each. All parts
+    are written, since every search hangs off them.
     """
-    spark = docs.sparkSession
-    in_bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    forward = written(document_terms(docs, text_column), "bm25-docs")
-    n_docs = forward.agg(F.count(F.lit(1))).scalar()
-    frequencies = (
-        exploded(forward, [], "terms.term", "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = frequencies.withColumn("idf", idf).withColumn(
-        "term_no", F.monotonically_increasing_id()
-    ).withColumn("bucket", in_bucket)
+    return index_of(written(document_terms(docs, text_column), "bm25-docs"), k1, b)
+
+
+def index_of(forward: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> Bm25Index:
+    """Index the written rows ``(doc_id, len, terms)`` of :func:`document_terms`."""
+    spark = forward.sparkSession
+    counts = forward.select("len", F.size("terms").alias("n"))
+    n_docs, words, n_postings = counts.agg(F.count(F.lit(1)), F.sum("len"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    avg_len = words / n_docs if n_docs else None
+    layout = Layout.of(n_docs, n_postings, spark.sparkContext.defaultParallelism)
+    impact = saturation(k1, b, avg_len or 1.0)
     postings = exploded(forward, ["doc_id", "len"], "terms", "_p").select(
-        F.col("_p.term").alias("term"), "doc_id", F.col("_p.tf").cast("bigint").alias("tf"), "len"
-    ).withColumn("bucket", in_bucket)
-    path = fresh_path(spark, "bm25-inverted")
-    write_inverted(postings, path)
-    inverted = spark.read.schema(postings.schema).parquet(path)
-    return Bm25Index(forward.select("doc_id", "len"), written(terms, "bm25-terms"), inverted)
+        F.col("_p.term").alias("term"), "doc_id", F.col("_p.tf").cast("double").alias("value"), "len",
+        impact(F.col("_p.tf"), F.col("len")).alias("impact"))
+    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("top"))
+    terms = frequencies.select("term", "df", idf_of(n_docs, F.col("df")).alias("idf"), "top")
+    blocks = write_blocks(postings, layout, fresh_path(spark, "bm25-blocks"))
+    stats = spark.createDataFrame(
+        [(n_docs, avg_len, k1, b, layout.slices, layout.folders)],
+        "n_docs long, avg_len double, k1 double, b double, slices int, folders int")
+    return Bm25Index(forward.select("doc_id", "len"), written(terms, "bm25-terms"), blocks, written(stats, "bm25-stats"))
 
 
 def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
@@ -134,113 +147,94 @@ def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
     )
 
 
-def dot_by_document(
-    doc_terms: DataFrame, asked: DataFrame, key: str, partial: Column, small: bool,
-) -> DataFrame:
-    """``(qid, doc_id, score)``: the sum of ``partial`` over shared terms.
-
-    ``doc_terms(doc_id, key, ...)`` holds terms that some query has and is
-    clustered by document, ``asked(qid, key, ...)`` is a written table. With
-    few query terms the sum needs no further shuffle: what moves is one narrow
-    row per (document, term), never one per (query, document).
-    """
-    if small:
-        matched = doc_terms.join(F.broadcast(asked), key)
-    else:
-        matched = join_hot(doc_terms, asked, key, "doc_id", small=False)
-    return matched.groupBy("doc_id", "qid").agg(F.round(F.sum(partial), SCORE_DIGITS).alias("score"))
-
-
-def bm25_scores(
-    queries: DataFrame, index: Bm25Index, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
-) -> DataFrame:
-    avg_len = corpus_stats(index.docs).select("avg_len").scalar()
+def bm25_plan(
+    queries: DataFrame, index: Bm25Index, k: int = 10, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
+    exclude_self: bool = False, **limits,
+) -> Search:
+    """The search with the tables that say what it opens; see :mod:`casegrain.operators.inverted`."""
+    known = index.known
+    weight = F.col("qtf") * F.col("idf")
+    # With other constants than the index was built for no impact reaches k1 + 1 either.
+    top = F.col("top") if (known["k1"], known["b"]) == (k1, b) else F.lit(k1 + 1.0)
     asked = written(
-        query_terms(queries).join(index.terms.select("term", "term_no", "idf", "bucket"), "term"),
+        query_terms(queries).join(index.terms, "term")
+        .select("qid", "term", weight.alias("weight"), (weight * top).alias("most"), "df"),
         "bm25-queries",
     )
-    norm = k1 * (1 - b + b * F.col("len") / avg_len)
-    doc_terms = index.of_terms(asked).select(
-        "doc_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("saturated")
-    )
-    asked = asked.drop("bucket")
-    small = is_small(asked)
-    # Cut to the terms asked for, which go by number from here on.
-    numbers = asked.select("term", "term_no").distinct()
-    relevant = join_hot(doc_terms, numbers, "term", "doc_id", small=small).drop("term")
-    return dot_by_document(
-        relevant.repartition("doc_id") if small else relevant,
-        asked.drop("term"), "term_no",
-        F.col("qtf") * F.col("idf") * F.col("saturated"), small,
-    )
+    impact = saturation(k1, b, known["avg_len"] or 1.0)
+    return planned(asked, index.blocks, index.layout, impact, k, exclude_self, **limits)
 
 
 def bm25_search(
     queries: DataFrame, index: Bm25Index, k: int = 10, k1: float = fixed.BM25_K1,
-    b: float = fixed.BM25_B, exclude_self: bool = False,
+    b: float = fixed.BM25_B, exclude_self: bool = False, **limits,
 ) -> DataFrame:
     """Top ``k`` documents per query ``(qid, text)``; only documents that match."""
-    return _ranked(bm25_scores(queries, index, k1, b), k, exclude_self)
+    return _ranked(bm25_plan(queries, index, k, k1, b, exclude_self, **limits).scores, k)
 
 
 @dataclass(frozen=True)
 class TfidfIndex:
-    """A fitted model and its documents' unit vectors, ``weights(bucket, term, doc_id, weight)``.
-
-    Laid out like the postings of :class:`Bm25Index`.
-    """
+    """A fitted model and its documents' unit vectors in blocks, with each term's largest weight."""
 
     model: TfidfModel
-    weights: DataFrame
+    terms: DataFrame
+    blocks: DataFrame
+    layout_row: DataFrame
+
+    @cached_property
+    def layout(self) -> Layout:
+        return Layout(*self.layout_row.first())
 
     def save(self, path: str) -> None:
         self.model.save(f"{path}/model")
-        write_inverted(self.weights, f"{path}/weights")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.layout_row.write.mode("overwrite").parquet(f"{path}/layout")
+        save_blocks(self.blocks, f"{path}/blocks")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfIndex:
-        return cls(TfidfModel.load(spark, f"{path}/model"), spark.read.parquet(f"{path}/weights"))
+        parts = (spark.read.parquet(f"{path}/{part}") for part in ("terms", "blocks", "layout"))
+        return cls(TfidfModel.load(spark, f"{path}/model"), *parts)
+
+
+def _as_is(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    return values
 
 
 def tfidf_index(
     docs: DataFrame, max_features: int = fixed.TFIDF_FEATURES,
-    stop_words=tuple(fixed.STOP_WORDS), buckets: int = TERM_BUCKETS,
+    stop_words=tuple(fixed.STOP_WORDS),
 ) -> TfidfIndex:
     """Fit on ``(doc_id, text)`` and keep the documents' vectors; texts are cut into words once."""
     spark = docs.sparkSession
     terms = counted_terms(written(word_table(docs, "text", ["doc_id"], stop_words), "tfidf-words"))
     model = fit_tfidf(terms, max_features=max_features, min_df=1, stop_words=stop_words)
-    weights = long_weights(unit_vectors(terms, model)).select(
-        "term", "doc_id", "weight", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    )
-    path = fresh_path(spark, "tfidf-inverted")
-    write_inverted(weights, path)
-    return TfidfIndex(model, spark.read.schema(weights.schema).parquet(path))
+    weights = written(long_weights(unit_vectors(terms, model)).select("term", "doc_id", "weight"), "tfidf-weights")
+    n_docs = terms.count()
+    sizes = written(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top")), "tfidf-terms")
+    n_postings = sizes.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    layout = Layout.of(n_docs, n_postings, spark.sparkContext.defaultParallelism)
+    postings = weights.select(
+        "term", "doc_id", F.col("weight").alias("value"), F.lit(0).cast("bigint").alias("len"),
+        F.col("weight").alias("impact"))
+    blocks = write_blocks(postings, layout, fresh_path(spark, "tfidf-blocks"))
+    row = spark.createDataFrame([(layout.slices, layout.folders)], "slices int, folders int")
+    return TfidfIndex(model, sizes, blocks, written(row, "tfidf-layout"))
 
 
 def tfidf_rank(
-    queries: DataFrame, index: TfidfIndex, k: int = 10, exclude_self: bool = False,
-    buckets: int = TERM_BUCKETS,
+    queries: DataFrame, index: TfidfIndex, k: int = 10, exclude_self: bool = False, **limits,
 ) -> DataFrame:
-    """Top ``k`` documents by cosine; a search opens the buckets of its terms only."""
+    """Top ``k`` documents by cosine; a search opens blocks of its terms only."""
     asked_terms = term_table(queries, "text", ["qid"], index.model.stop_words)
-    asked = long_weights(unit_vectors(asked_terms, index.model)).select(
-        "qid", "idx", "term", F.col("weight").alias("query_weight"),
-        F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"),
-    )
-    asked = written(asked, "tfidf-queries")
-    small = is_small(asked)
-    opened = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most ``buckets``
-    numbers = asked.select("term", "idx").distinct()
-    relevant = join_hot(
-        index.weights.where(F.col("bucket").isin(opened)).drop("bucket"), numbers, "term", "doc_id", small=small
-    ).select("doc_id", "idx", F.col("weight").alias("doc_weight"))
-    scores = dot_by_document(
-        relevant.repartition("doc_id") if small else relevant,
-        asked.select("qid", "idx", "query_weight"), "idx",
-        F.col("doc_weight") * F.col("query_weight"), small,
+    asked = written(
+        long_weights(unit_vectors(asked_terms, index.model)).join(index.terms, "term")
+        .select("qid", "term", "weight", (F.col("weight") * F.col("top")).alias("most"), "df"),
+        "tfidf-queries",
     )
-    return _ranked(scores.where("score > 0"), k, exclude_self)
+    search = planned(asked, index.blocks, index.layout, _as_is, k, exclude_self, **limits)
+    return _ranked(search.scores, k).where("score > 0")
 
 
 def tfidf_search(
@@ -252,10 +246,8 @@ def tfidf_search(
     return tfidf_rank(queries, tfidf_index(docs, max_features, stop_words), k, exclude_self)
 
 
-def _ranked(scores: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    if exclude_self:
-        scores = scores.where(F.col("qid").cast("string") != F.col("doc_id").cast("string"))
-    return ranked_top_k(scores, k)
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
+    return ranked_top_k(scores.withColumn("score", F.round("score", SCORE_DIGITS)), k)
 
 
 def fuse(

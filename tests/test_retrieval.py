@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casegrain.operators import retrieval, scaling
+from casegrain.operators import inverted, retrieval, scaling
 from casegrain.operators.dense import dense_search, with_unit_vectors
+from casegrain.operators.inverted import FOLDER_POSTINGS, SLICE_DOCS, Layout
 from casegrain.operators.retrieval import bm25_index, bm25_search, fuse, tfidf_search
 from casegrain.plans.triage import TriageEngine, case_lines
 from casegrain.streaming.triage_stream import (
@@ -79,13 +80,67 @@ def test_bm25_equals_brute_force(frames, k):
         assert [s for _, s in ranked] == pytest.approx([s for _, s in expected[q]], abs=2e-6)
 
 
-def test_bm25_with_many_queries_takes_the_salted_plan(frames, monkeypatch):
+def skewed_docs(n=3000, seed=4):
+    """Words of very different frequency: in every document, in a tenth, in a few."""
+    rng = random.Random(seed)
+    return [(i, " ".join(["of"] * rng.randint(1, 6) + ["city"] * (rng.random() < 0.1)
+                         + [f"r{rng.randrange(400)}" for _ in range(2)] + ["fill"] * rng.randint(0, 9)))
+            for i in range(n)]
+
+
+def test_bounded_search_opens_fewer_blocks(spark):
+    docs = skewed_docs()
+    asked = [(i, f"of r{7 * i} r{7 * i + 1} city") for i in range(20)] + [(99, "of city")]
+    queries = spark.createDataFrame(asked, "qid long, text string")
+    index = bm25_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    plan = retrieval.bm25_plan(queries, index, 3, lead_postings=40, open_at_once=0)
+    expected = {q: brute_bm25(docs, t, 3) for q, t in asked}
+    got = lists_of(retrieval._ranked(plan.scores, 3))
+    assert {q: [d for d, _ in r] for q, r in got.items()} == {q: [d for d, _ in r] for q, r in expected.items()}
+    for q, r in got.items():
+        assert [s for _, s in r] == pytest.approx([s for _, s in expected[q]], abs=2e-6)
+    # What all documents hold is left out at first, and opened in the slices still in question only.
+    assert plan.left_out.where("term = 'of'").count() >= 15
+    terms = retrieval.query_terms(queries).select("qid", "term")
+    all_ = index.blocks.join(terms, "term").count()
+    first = index.blocks.join(plan.essential.select("qid", "term"), "term").count()
+    assert first + plan.completing.count() < 0.8 * all_
+    assert plan.survivors.where("qid <> 99").count() < 20 * 3000 / 50
+
+
+@pytest.mark.parametrize("limits", [
+    {"lead_postings": 0, "open_at_once": 0}, {"lead_postings": 5, "asked_at_once": 2, "open_at_once": 0},
+    {"asked_at_once": 1}])
+def test_search_is_the_same_in_any_portions(frames, limits):
     _, df, queries = frames
-    expected = lists_of(bm25_search(queries, bm25_index(df), 5))
-    monkeypatch.setattr(retrieval, "is_small", lambda *a: False)
-    ranking = bm25_search(queries, bm25_index(df), 5)
-    assert "_salt" in ranking._jdf.queryExecution().toString()
-    assert lists_of(ranking) == expected
+    index = bm25_index(df)
+    expected = lists_of(bm25_search(queries, index, 5))
+    assert lists_of(bm25_search(queries, index, 5, **limits)) == expected
+
+
+def test_other_constants_than_the_index_was_built_for(frames):
+    docs, df, queries = frames
+    got = lists_of(bm25_search(queries, bm25_index(df), 4, k1=0.9, b=0.3))
+    for q, t in QUERIES:
+        expected = brute_bm25(docs, t, 4, 0.9, 0.3)
+        assert [d for d, _ in got.get(q, [])] == [d for d, _ in expected]
+
+
+def test_layout_follows_the_corpus():
+    assert Layout.of(0, 0, 8) == Layout(1, 1)
+    assert Layout.of(2_000, 200_000, 8) == Layout(3, 3)
+    assert Layout.of(10**9, 10**11, 8) == Layout(-(-10**9 // SLICE_DOCS), -(-10**11 // FOLDER_POSTINGS))
+
+
+def test_a_frequent_term_spreads_over_folders(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(inverted, "SLICES_TOGETHER", 1)
+    postings = spark.range(400).selectExpr(
+        "if(id % 4 = 0, 'rare', 'hot') AS term", "id AS doc_id", "1.0D AS value", "1L AS len", "1.0D AS impact")
+    layout = Layout(8, 16)
+    blocks = inverted.write_blocks(postings, layout, str(tmp_path / "blocks"))
+    assert blocks.where("term = 'hot'").select("bucket").distinct().count() == 8
+    found = inverted.opened(blocks, layout, spark.createDataFrame([("hot",)], "term string"))
+    assert found.where("term = 'hot'").agg(F.sum(F.size("docs"))).first()[0] == 300
 
 
 def test_salted_join_equals_plain_join(spark):
