@@ -5,6 +5,7 @@ from casegrain.plans import (  # noqa: F401
     learning_queries,
     retrieval_queries,
     source_queries,
+    statistics_queries,
     text_queries,
 )
 from casegrain.plans.catalog import ORACLES, QUERIES
