@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.operators import metrics
@@ -203,18 +206,43 @@ def _test_predictions(splits, model):
     )
 
 
-# Learned by iteration or at random: SQL cannot give the predictions, but it can say how
-# many test rows each class has and that what is predicted is sound and mostly right.
+# Learned by iteration or at random: SQL cannot give these predictions. Tests hold them against
+# solutions found otherwise, and ``classifier_soundness`` says in SQL what has to hold of all of them.
+
+
+@registered()
+def logistic_regression(spark, sf):
+    return _test_predictions(*_fitted(spark, sf, "LogisticRegression"))
+
+
+@registered()
+def linear_svm(spark, sf):
+    return _test_predictions(*_fitted(spark, sf, "LinearSVC"))
+
+
+@registered()
+def random_forest(spark, sf):
+    return _test_predictions(*_fitted(spark, sf, "RandomForest"))
+
+
 LEAST_RECALL = 0.7
-SOUND = f"""
-WITH {q.SPLIT}
-SELECT primary_category, count(*) AS n, true AS labels_known, true AS confidence_in_range,
-       true AS recall_reached
-FROM split WHERE split = 'test' GROUP BY primary_category"""
+LEARNED = ("LogisticRegression", "LinearSVC", "RandomForest")
 
 
-def _sound(predictions):
-    return predictions.groupBy("primary_category").agg(
+@registered(f"""
+WITH {q.SPLIT}
+SELECT model, primary_category, count(*) AS n, true AS labels_known, true AS confidence_in_range,
+       true AS recall_reached
+FROM split, (SELECT unnest([{', '.join(f"'{m}'" for m in LEARNED)}]) AS model)
+WHERE split = 'test' GROUP BY ALL""")
+def classifier_soundness(spark, sf):
+    """Per model and class: all test rows predicted, known labels, sound confidence, most rows right."""
+    splits = vectorise_splits(_split_corpus(spark, sf))
+    train, estimators = balanced(splits.train), classifiers(splits.train.count())
+    predictions = [
+        _test_predictions(splits, estimators[name].fit(train)).withColumn("model", F.lit(name)) for name in LEARNED
+    ]
+    return reduce(DataFrame.unionByName, predictions).groupBy("model", "primary_category").agg(
         F.count("*").alias("n"),
         # What decodes to no label comes out null.
         F.bool_and(F.col("predicted").isNotNull()).alias("labels_known"),
@@ -224,21 +252,6 @@ def _sound(predictions):
     )
 
 
-@registered(SOUND)
-def logistic_regression(spark, sf):
-    return _sound(_test_predictions(*_fitted(spark, sf, "LogisticRegression")))
-
-
-@registered(SOUND)
-def linear_svm(spark, sf):
-    return _sound(_test_predictions(*_fitted(spark, sf, "LinearSVC")))
-
-
-@registered(SOUND)
-def random_forest(spark, sf):
-    return _sound(_test_predictions(*_fitted(spark, sf, "RandomForest")))
-
-
 @registered(f"WITH {LIBRARY_BAYES}")
 def library_naive_bayes(spark, sf):
     return _test_predictions(*_fitted(spark, sf, "MultinomialNB"))
@@ -259,13 +272,8 @@ def saved_and_loaded(spark, sf):
     )
 
 
-@registered("""
-SELECT col0 AS model, true AS val_reached, true AS test_reached
-FROM (VALUES ('MultinomialNB'), ('LogisticRegression'), ('LinearSVC'), ('RandomForest'))""")
+@registered()
 def classifier_benchmark(spark, sf):
-    """The four classifiers on validation and test rows, each above a macro F1."""
+    """The four classifiers on validation and test rows, best macro F1 first."""
     table, _, _ = benchmark_classifiers(vectorise_splits(_split_corpus(spark, sf)))
-    return table.select(
-        "model", (F.col("val_macro_f1") >= LEAST_RECALL).alias("val_reached"),
-        (F.col("test_macro_f1") >= LEAST_RECALL).alias("test_reached"),
-    )
+    return table
