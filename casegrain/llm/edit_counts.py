@@ -170,7 +170,7 @@ def with_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, text, n_tokens`` and the tree (``chars``, ``tokens``) of every whole text.
 
     Null is the empty text, with no tokens. Repeated rows get a tree each. The table can be
-    saved; :func:`after_edits` reads it as it is.
+    saved; :func:`after_edits` reads it as it is. An empty table gives no rows.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

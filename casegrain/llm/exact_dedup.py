@@ -187,7 +187,10 @@ def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; see :func:`equal_texts`."""
+    """The documents that stay, with all their columns, whatever their names; see :func:`equal_texts`.
+
+    Null is the empty text; of rows equal in id and text one stays; an empty table stays empty.
+    """
     rows = _with_suspects(docs, text_col)
     suspects = written(
         rows.where("suspect").select(

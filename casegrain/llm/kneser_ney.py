@@ -372,7 +372,10 @@ def _mapped(folder: str, name: str, kind: str, width: int) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
-    """Count all whole texts of ``docs``; null is the empty text, whose only token is the end."""
+    """Count all whole texts of ``docs``; null is the empty text, whose only token is the end.
+
+    Only the text column is read, so other columns cannot clash. An empty table trains nothing.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(column(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -405,7 +408,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``doc_id, n_tokens, n_known, base_score, score`` (log10) per row, ``perplexity`` beside them.
 
     ``base_score`` adds one to every word's count; ``score`` is the model's. Null is the empty
-    text. Repeated rows score alike; with nothing trained every token has probability 1.
+    text. Repeated rows score alike; with nothing trained every token has probability 1. Other
+    columns stay behind; an empty table gives no rows.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -240,7 +240,8 @@ def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has its last third replaced by the beginning of the next document; the
     first follows the last. Rows that agree in their id are ordered by a hash of the text, a
-    null id comes last, null is the empty text. A single document is its own next one.
+    null id comes last, null is the empty text. A single document is its own next one, an
+    empty table gives no rows, and other columns stay behind.
     """
     spark = docs.sparkSession
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]

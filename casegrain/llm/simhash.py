@@ -190,7 +190,8 @@ def near_duplicates(
 
     Null is the empty text, with fingerprint zero like any text without words. The component
     is the smallest id reachable over links, the document's own included; null only where no
-    id is known. Equal fingerprints are one node, so copies are never compared.
+    id is known. Equal fingerprints are one node, so copies are never compared. An empty
+    table gives no rows.
     """
     prints = written(
         docs.select(
@@ -221,7 +222,10 @@ def _classes(prints: DataFrame, radius: int) -> DataFrame:
 def without_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS
 ) -> DataFrame:
-    """One document of each class stays: the smallest id, null last, of equal ids the first row."""
+    """One document of each class stays: the smallest id, null last, of equal ids the first row.
+
+    Null is the empty text. All columns ride along, whatever their names; an empty table stays empty.
+    """
     rows = written(
         docs.select(
             whole_row(docs).alias("row"), column(id_col).cast("long").alias("doc_id"),

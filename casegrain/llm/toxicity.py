@@ -265,7 +265,10 @@ def score(model: Model, text: Column) -> Column:
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
            threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` per row; null is the empty text; equal texts score alike."""
+    """``doc_id, held_out, score, predicted`` per row; null is the empty text; equal texts score alike.
+
+    An empty table gives no rows.
+    """
     doc_id = column(id_col).cast("long")
     return docs.select(
         doc_id.alias("doc_id"), (remainder(doc_id, 3) == 1).alias("held_out"),
@@ -275,6 +278,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
-    """The documents below the threshold, with all their columns."""
+    """The documents below the threshold, with all their columns, whatever their names.
+
+    Null is the empty text; repeated rows stay or go together; an empty table stays empty.
+    """
     rows = docs.select(whole_row(docs).alias("row"), score(model, column(text_col)).alias("score"))
     return rows.where(F.col("score") < threshold).select("row.*")

@@ -113,3 +113,66 @@ def test_odd_rows(spark):
     assert as_dict(one) == expected([rows[4]])
     repeated = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert parsing.compared_with_edits(repeated).count() == 3
+
+
+M64 = (1 << 64) - 1
+ODD = 0x9E3779B97F4A7C15
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_level(names):
+    """One level on whole numbers: runs, coin tosses, phrases between local minima."""
+    runs = []
+    for name in names:
+        if runs and runs[-1][0] == name:
+            runs[-1][1] += 1
+        else:
+            runs.append([name, 1])
+    names = [plain_mix(name + ODD * n & M64) if n > 1 else name for name, n in runs]
+    small = names
+    for _ in range(4):
+        tossed = [small[0] & 1]
+        for left, own in zip(small, small[1:]):
+            differing = left ^ own
+            bit = (differing & -differing).bit_length() - 1 if differing else 64
+            tossed.append(2 * bit + (own >> min(bit, 63) & 1))
+        small = tossed
+    phrases = [[names[0]]]
+    for i in range(1, len(names)):
+        lowest = small[i] < small[i - 1] and (i + 1 == len(names) or small[i] < small[i + 1])
+        if lowest and i > 1:
+            phrases.append([])
+        phrases[-1].append(names[i])
+    return [
+        plain_mix(sum(plain_mix(n + ODD * (i + 1) & M64) for i, n in enumerate(p)) + len(p) & M64) for p in phrases]
+
+
+def sketch_by_hand(text):
+    out = [0xFFFF] * 64
+    names = [plain_mix(ord(c) + ODD & M64) for c in text]
+    for level in range(1, 4):
+        names = plain_level(names) if names else []
+        for name in names if level > 1 else ():
+            name = plain_mix(name + level & M64)
+            value = min(plain_mix(name + 1 & M64) >> 48, 0xFFFE)
+            out[name % 64] = min(out[name % 64], value)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aab cé😀.", max_size=200))
+def test_sketch_equals_plain_whole_numbers(text):
+    assert plain_sketch(text).tolist() == sketch_by_hand(text)
+
+
+def test_sketches_of_the_given_texts(spark, data):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    for text, sketch in zip(texts[:60], parsing.sketches(texts[:60])):
+        assert sketch.tolist() == sketch_by_hand(text)

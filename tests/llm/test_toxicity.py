@@ -99,3 +99,51 @@ def test_repeated_ids_do_not_lift_the_bound(spark, monkeypatch):
     once = toxicity.train(docs, labels, most_rows=20)
     assert toxicity.train(docs.unionByName(repeated), labels, most_rows=20) == once
     assert seen == [len(ids)] * 2 and len(ids) <= 40
+
+
+def dense_fit(x, y, before, after, penalty, ridge, steps):
+    """The same objective and steps with whole matrices and derivatives written out anew."""
+    n, size = x.shape
+    share = y.mean()
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / n
+    w = np.zeros(size + 1)
+    one = lambda m: np.hstack([m, np.ones((len(m), 1))])
+    x, before, after = one(x), one(before), one(after)
+    rate = lambda m: 1 / (1 + np.exp(-m @ w))
+    first, second = np.zeros(size + 1), np.zeros(size + 1)
+    for step in range(1, steps + 1):
+        gradient = x.T @ (weight * (rate(x) - y))
+        gradient[:-1] += 2 * ridge * w[:-1]
+        if len(before):
+            p, q = rate(before), rate(after)
+            slope = (p * (1 - p))[:, None] * before - (q * (1 - q))[:, None] * after
+            slope[:, -1] = 0  # the swap does not move the bias
+            gradient += 2 * penalty * ((p - q)[:, None] * slope).mean(axis=0)
+        first = 0.9 * first + 0.1 * gradient
+        second = 0.99 * second + 0.01 * gradient**2
+        w -= 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+def test_fit_and_score_equal_a_dense_computation():
+    rng = np.random.default_rng(3)
+    lists, labels = [], []
+    for i in range(120):
+        toxic = int(rng.random() < 0.4)
+        own = [1, 2, 3] if toxic else [4, 5]
+        picked = [f for f in own if rng.random() < 0.8] + [f for f in range(6, 14) if rng.random() < 0.3]
+        lists.append(np.array(sorted(set(picked)), np.uint32))
+        labels.append(toxic)
+    labels = np.array(labels)
+    of = np.arange(0, 120, 7)
+    swapped = [np.setxor1d(lists[i], np.array([3, 5], np.uint32)) for i in of]
+    model = toxicity.fit(lists, labels, swapped, of, penalty=2.0, ridge=1e-3, steps=60)
+    chosen = np.array(sorted(model.weights), np.uint32)
+    assert {1, 2, 3} <= set(chosen.tolist())
+    matrix = lambda rows: np.array([np.isin(chosen, r) for r in rows], float).reshape(len(rows), -1)
+    w = dense_fit(matrix(lists), labels, matrix([lists[i] for i in of]), matrix(swapped), 2.0, 1e-3, 60)
+    assert np.allclose([model.weights[f] for f in chosen.tolist()], w[:-1], atol=1e-8)
+    assert abs(model.bias - w[-1]) < 1e-8
+    for row in lists[:20]:
+        z = w[-1] + sum(w[i] for i, f in enumerate(chosen) if f in row)
+        assert abs(model.score([f for f in row.tolist() if f in model.weights]) - 1 / (1 + np.exp(-z))) < 1e-9
