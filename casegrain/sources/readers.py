@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casegrain.sources.delimited import read_delimited
+
 # Quoted fields may span lines and keep their blanks; an empty field is null.
 CSV_OPTIONS = {
     "quote": '"',
@@ -31,8 +33,9 @@ QRELS_TYPE = T.MapType(T.StringType(), T.MapType(T.StringType(), T.IntegerType()
 
 def read_sms(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Headerless tab-separated ``label, text``; ``lines`` as for :func:`read_csv`."""
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", not lines)
-    return reader.csv(path, sep="\t", schema=SMS_SCHEMA)
+    if not lines:
+        return read_delimited(spark, path, SMS_SCHEMA, "\t")
+    return spark.read.options(**CSV_OPTIONS).option("multiLine", False).csv(path, sep="\t", schema=SMS_SCHEMA)
 
 
 def read_csv(
@@ -40,12 +43,15 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; every column is a string unless a schema is given.
 
-    Quoted fields may span lines, so a file is read by one task. ``lines`` says
-    that no field does: Spark then splits large files. Data with line breaks is
-    best read once and kept as Parquet, or delivered in many files.
+    Quoted fields may span lines, and a large file is read by many tasks all the same, in two
+    passes. ``lines`` says that no field does: then one pass is enough.
     """
-    reader = spark.read.options(**CSV_OPTIONS).option("header", True).option("multiLine", not lines)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    reader = spark.read.options(**CSV_OPTIONS).option("header", True)
+    if lines:
+        reader = reader.option("multiLine", False)
+        return (reader.schema(schema) if schema else reader).csv(path)
+    # Without a schema only the header is read here.
+    return read_delimited(spark, path, schema or reader.csv(path).schema, header=True)
 
 
 def read_json(
