@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.operators.scaling import join_hot
-from casegrain.sources.readers import CSV_OPTIONS, read_if_present
+from casegrain.sources.commits import CommitList
+from casegrain.sources.readers import CSV_OPTIONS
 from casegrain.workspace import written
 
 JUDGMENTS_PER_LINE = 1000
@@ -77,21 +80,24 @@ def upserted(existing: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest version of a result table, if there is one."""
-    versions = read_if_present(spark, path, lambda s, p: s.read.parquet(p))
-    if versions is None:
-        return None
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    _, content = CommitList(spark, path).newest()
+    return None if content is None else spark.read.parquet(f"{path}/tables/{content['table']}")
 
 
-def upsert_results(new: DataFrame, path: str, key: str = "model") -> None:
-    """Write the next version of a result table.
+def upsert_results(new: DataFrame, path: str, key: str = "model", tries: int = 20) -> int:
+    """Write the next version of a result table; gives its number.
 
-    A version is a new directory; readers take the newest, so a table is never
-    overwritten while it is read and a lost job leaves the old one in place.
+    A version is a table of its own and a commit that names it. Readers take the newest, so a
+    table is never overwritten while it is read and a lost job leaves the old one in place. Of
+    two writers at once the second finds the number taken, merges into what the first has
+    written and tries the next one, so no rows are lost.
     """
-    spark = new.sparkSession
-    versions = read_if_present(spark, path, lambda s, p: s.read.parquet(p))
-    last = versions.agg(F.max("version")).first()[0] if versions is not None else 0
-    table = upserted(read_results(spark, path), new, key)
-    table.write.parquet(f"{path}/version={last + 1}")
+    spark, commits = new.sparkSession, CommitList(new.sparkSession, path)
+    for _ in range(tries):
+        number, content = commits.newest()
+        existing = None if content is None else spark.read.parquet(f"{path}/tables/{content['table']}")
+        name = uuid.uuid4().hex
+        upserted(existing, new, key).write.parquet(f"{path}/tables/{name}")
+        if commits.create(number + 1, {"table": name}):
+            return number + 1
+    raise RuntimeError(f"{path}: other writers came first {tries} times")

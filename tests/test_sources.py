@@ -5,6 +5,7 @@ import pytest
 from casegrain import workspace
 from casegrain.operators.benchmark import Benchmark
 from casegrain.sources import readers, vectors, writers
+from casegrain.sources.commits import CommitList
 
 
 def test_tab_separated_fields_may_span_lines(spark, tmp_path):
@@ -119,3 +120,23 @@ def test_intermediate_tables_are_removed_together(tmp_path, spark, monkeypatch):
     workspace.remove_intermediate(spark)
     assert not list((tmp_path / "shared").iterdir())
     workspace.remove_intermediate(spark)
+
+
+def test_interleaved_upserts_lose_no_model(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    table = lambda *rows: spark.createDataFrame(list(rows), "model string, f1 double")
+    writers.upsert_results(table(("a", 0.1)), path)
+    newest, between = CommitList.newest, []
+
+    def interrupted(self):
+        """Another writer commits after this one has read."""
+        found = newest(self)
+        if not between:
+            between.append(True)
+            writers.upsert_results(table(("b", 0.2)), path)
+        return found
+
+    monkeypatch.setattr(CommitList, "newest", interrupted)
+    assert writers.upsert_results(table(("c", 0.3)), path) == 3
+    monkeypatch.setattr(CommitList, "newest", newest)
+    assert sorted(r.model for r in writers.read_results(spark, path).collect()) == ["a", "b", "c"]
