@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.operators.ranking import top_k
 
 SCORE_DIGITS = 6
-# Vector elements (8 bytes each) of the queries that one pass takes along.
-QUERY_CELLS = 4_000_000
+# Vector elements (8 bytes each) of the queries and of the documents that meet in a task.
+QUERY_CELLS, DOC_CELLS = 4_000_000, 8_000_000
 
 
 def with_unit_vectors(df: DataFrame, vector: str, out: str = "vector") -> DataFrame:
@@ -84,21 +82,21 @@ class _Best:
         return ordered.groupby("qid", sort=False).head(self.k)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy().reshape(len(vectors), -1)
 
 
 def dense_scores(
     queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False,
-    query_cells: int = QUERY_CELLS,
+    query_cells: int = QUERY_CELLS, doc_cells: int = DOC_CELLS,
 ) -> DataFrame:
     """Candidates ``(qid, doc_id, score)``, at most ``k`` per query and task.
 
-    Every query is scored against every document by block-wise matrix products
-    in Arrow batches; a task keeps ``k`` documents per query, and no pair
-    leaves it otherwise. The documents stay where they are and the queries go
-    to them, in blocks of some ``query_cells`` elements by hash: a narrow pass
-    over the documents per block, and no shuffle of vectors.
+    Every query is scored against every document by block-wise matrix products.
+    Both sides are cut into blocks of a bounded number of elements by hash, and
+    each block of queries meets each block of documents in a task of its own:
+    queries are sent once per block of documents and the other way round, no
+    vector passes the driver, and a task gives ``k`` documents per query.
     """
     schema = _score_schema(queries, docs)
     asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"))
@@ -106,30 +104,29 @@ def dense_scores(
     n_queries, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if n_queries == 0:
         return queries.sparkSession.createDataFrame([], schema)
+    n_docs = held.agg(F.count(F.lit(1))).first()[0]
+    cores = queries.sparkSession.sparkContext.defaultParallelism
     blocks = -(-n_queries * width // query_cells)
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    passes = [
-        held.mapInPandas(_scorer(numbered.where(F.col("_block") == i), k, exclude_self), schema)
-        for i in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, passes)
-
-
-def _scorer(asked: DataFrame, k: int, exclude_self: bool):
-    """Scores batches of documents against one bounded block of queries."""
-    table = asked.toPandas()
-    if table.empty:
-        return lambda batches: iter(())
-    shared = asked.sparkSession.sparkContext.broadcast((table["qid"].to_numpy(), _matrix(table["vector"])))
-
-    def score_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(*shared.value, k, exclude_self)
-        for batch in batches:
-            if len(batch):
-                best.add(batch["doc_id"].to_numpy(), _matrix(batch["vector"]))
-        yield best.best()
-
-    return score_stream
+    parts = max(-(-n_docs * width // doc_cells), min(cores, n_docs), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of_hash = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = held.withColumn("_part", of_hash("doc_id", parts)).withColumn("_block", every(blocks))
+    right = asked.withColumn("_block", of_hash("qid", blocks)).withColumn("_part", every(parts))
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(
+        _scorer(k, exclude_self, queries.sparkSession.createDataFrame([], schema).toArrow().schema), schema)
+
+
+def _scorer(k: int, exclude_self: bool, schema: pa.Schema):
+    """Scores a block of documents against a block of queries."""
+
+    def scored(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        if not docs.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        best = _Best(asked["qid"].to_numpy(), _matrix(asked["vector"]), k, exclude_self)
+        best.add(docs["doc_id"].to_numpy(), _matrix(docs["vector"]))
+        return pa.Table.from_pandas(best.best(), schema, preserve_index=False)
+
+    return scored
 
 
 def _score_schema(queries: DataFrame, docs: DataFrame) -> str:

@@ -23,8 +23,9 @@ their slice, and there numpy adds them up; no row per (query, document) is made
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ def opened(blocks: DataFrame, layout: Layout, terms: DataFrame) -> DataFrame:
 class _Slice:
     """Blocks of one slice: documents by number, in order of their ids, and impacts by term."""
 
-    def __init__(self, blocks: pa.Table, impact: Impact):
+    def __init__(self, blocks: pa.Table, impact: Impact, barred: list[dict] = ()):
         docs = blocks["docs"].combine_chunks()
         flat = docs.flatten()
         coded = flat.dictionary_encode()
@@ -132,6 +133,10 @@ class _Slice:
         ends = np.cumsum(pc.list_value_length(docs).to_numpy())
         self.of_term = dict(zip(blocks["term"].to_pylist(), zip(np.append(0, ends)[:-1].tolist(), ends.tolist())))
         self._names = None
+        self.barred = np.zeros(0, np.int64)
+        if barred:
+            gone = pc.index_in(pa.array([r["doc_id"] for r in barred], self.ids.type), value_set=self.ids)
+            self.barred = gone.drop_null().to_numpy()
 
     def sums(self, asked: list[tuple[str, float]]) -> np.ndarray:
         total = np.zeros(len(self.ids))
@@ -139,6 +144,7 @@ class _Slice:
             if term in self.of_term:
                 start, end = self.of_term[term]
                 total[self.number[start:end]] += weight * self.impact[start:end]
+        total[self.barred] = 0.0
         return total
 
     def without(self, total: np.ndarray, qid) -> np.ndarray:
@@ -150,11 +156,12 @@ class _Slice:
         return total
 
 
-def _by_query(work: pa.Table) -> Iterator[tuple[object, list[dict]]]:
+def _by_query(work: pa.Table) -> dict[object, list[dict]]:
+    """The work's rows by query; those without one name documents that nothing finds."""
     rows: dict[object, list[dict]] = {}
     for row in work.to_pylist():
         rows.setdefault(row["qid"], []).append(row)
-    yield from rows.items()
+    return rows
 
 
 def _kth(total: np.ndarray, k: int) -> float:
@@ -168,8 +175,9 @@ def _thresholds(impact: Impact, k: int, exclude_self: bool, schema: pa.Schema):
     def thresholds(key, blocks: pa.Table, work: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if blocks.num_rows:
-            slice_ = _Slice(blocks, impact)
-            for qid, rows in _by_query(work):
+            asked = _by_query(work)
+            slice_ = _Slice(blocks, impact, asked.pop(None, ()))
+            for qid, rows in asked.items():
                 total = slice_.sums([(r["term"], r["weight"]) for r in rows])
                 if exclude_self:
                     total = slice_.without(total, qid)
@@ -186,8 +194,9 @@ def _survivors(impact: Impact, k: int, exclude_self: bool, schema: pa.Schema):
     def survivors(key, blocks: pa.Table, work: pa.Table) -> pa.Table:
         tables = []
         if blocks.num_rows:
-            slice_ = _Slice(blocks, impact)
-            for qid, rows in _by_query(work):
+            asked = _by_query(work)
+            slice_ = _Slice(blocks, impact, asked.pop(None, ()))
+            for qid, rows in asked.items():
                 total = slice_.sums([(r["term"], r["weight"]) for r in rows])
                 if exclude_self:
                     total = slice_.without(total, qid)
@@ -208,7 +217,9 @@ def _completed(impact: Impact, schema: pa.Schema):
     def completed(key, blocks: pa.Table, work: pa.Table) -> pa.Table:
         slice_ = _Slice(blocks, impact) if blocks.num_rows else None
         tables = []
-        for qid, rows in _by_query(work):
+        asked = _by_query(work)
+        asked.pop(None, None)
+        for qid, rows in asked.items():
             docs = [r for r in rows if r["term"] is None]
             ids = pa.array([r["doc_id"] for r in docs], schema.types[1])
             score = np.array([r["weight"] for r in docs], np.float64)
@@ -226,6 +237,15 @@ def _completed(impact: Impact, schema: pa.Schema):
 # --- Search -------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Part:
+    """Blocks in their layout, and documents ``(doc_id)`` of them that a search has to pass over."""
+
+    blocks: DataFrame
+    layout: Layout
+    barred: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Search:
     """A planned search: ``scores(qid, doc_id, score)`` and the tables that say what it opens, if it is bounded."""
@@ -240,12 +260,23 @@ class Search:
 class _Opened:
     """Blocks of the terms asked for, brought together with the work on their slice."""
 
-    def __init__(self, asked: DataFrame, blocks: DataFrame, layout: Layout, impact: Impact, groups: int):
-        self.layout, self.impact, self.groups = layout, impact, groups
-        self.blocks = opened(blocks, layout, asked).drop("top", "bucket")
+    def __init__(self, asked: DataFrame, parts: Sequence[Part], impact: Impact, groups: int):
+        self.impact, self.groups = impact, groups
         self.qid = asked.schema["qid"].dataType.simpleString()
-        self.doc = blocks.schema["docs"].dataType.elementType.simpleString()
+        self.doc = parts[0].blocks.schema["docs"].dataType.elementType.simpleString()
         self.spark = asked.sparkSession
+        blocks, barred, self.slices = [], [], 0
+        for part in parts:
+            # The slices of all parts are numbered through.
+            shifted = (F.col("slice") + self.slices).alias("slice")
+            found = opened(part.blocks, part.layout, asked)
+            blocks.append(found.select("term", shifted, "docs", "values", "lens"))
+            if part.barred is not None:
+                barred.append(part.barred.select(
+                    (part.layout.slice_of("doc_id") + self.slices).alias("slice"), "doc_id"))
+            self.slices += part.layout.slices
+        self.blocks = reduce(DataFrame.unionByName, blocks)
+        self.barred = reduce(DataFrame.unionByName, barred) if barred else None
 
     def schema(self, fields: str) -> tuple[str, pa.Schema]:
         text = fields.format(qid=f"qid {self.qid}", doc=f"doc_id {self.doc}")
@@ -255,10 +286,12 @@ class _Opened:
         """``function`` on each slice's needed blocks and its work, a bounded number of queries at a time."""
         schema, arrow = self.schema(fields)
         group = F.pmod(F.xxhash64("qid"), F.lit(self.groups)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1)))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("queries")
         left = self.blocks.join(needed.distinct(), needed.columns, "left_semi").select(
-            "slice", "term", "docs", "values", "lens", copies.alias("queries"))
+            "slice", "term", "docs", "values", "lens", copies)
         right = work.withColumn("queries", group)
+        if self.barred is not None:
+            right = right.unionByName(self.barred.select("slice", "doc_id", copies), allowMissingColumns=True)
         keys = ("slice", "queries")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
             function(self.impact, *options, arrow), schema)
@@ -268,19 +301,19 @@ _PARTIAL = "{qid}, slice int, {doc}, partial double"
 
 
 def planned(
-    asked: DataFrame, blocks: DataFrame, layout: Layout, impact: Impact, k: int, exclude_self: bool = False,
+    asked: DataFrame, parts: Sequence[Part], impact: Impact, k: int, exclude_self: bool = False,
     lead_postings: int = LEAD_POSTINGS, asked_at_once: int = ASKED_AT_ONCE, open_at_once: int = OPEN_AT_ONCE,
 ) -> Search:
-    """A search for ``asked(qid, term, weight, most, df)``, one row per query and term.
+    """A search for ``asked(qid, term, weight, most, df)``, one row per query and term; null is no query.
 
     ``most`` is what the term can add to a document's score at most, ``df`` its number of
     postings. ``asked`` is read several times and has to be a written table.
     """
     by_term = asked.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df"))
     n_asked, n_postings = by_term.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()
-    at = _Opened(asked, blocks, layout, impact, max(1, -(-n_asked // asked_at_once)))
+    at = _Opened(asked, parts, impact, max(1, -(-n_asked // asked_at_once)))
     if n_postings <= open_at_once:
-        everywhere = F.explode(F.sequence(F.lit(0), F.lit(layout.slices - 1))).alias("slice")
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(at.slices - 1))).alias("slice")
         work = asked.select("qid", "term", "weight", F.lit(0.0).alias("rest"), F.lit(0.0).alias("bound"), everywhere)
         found = at.applied(_survivors, _PARTIAL, asked.select("term"), work, k, exclude_self)
         return Search(found.select("qid", "doc_id", F.col("partial").alias("score")), asked)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casegrain.functions import text
 from casegrain.operators import metrics, ranking
+from casegrain.operators.approximate import VectorIndex
 from casegrain.operators.benchmark import graded, same_category
 from casegrain.operators.dense import dense_search, inner_product, with_unit_vectors
 from casegrain.operators.retrieval import (
@@ -15,6 +16,7 @@ from casegrain.operators.retrieval import (
     query_terms,
     tfidf_search,
 )
+from casegrain.operators.segments import SegmentedIndex
 from casegrain.operators.splitting import stratified_split
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
@@ -71,6 +73,27 @@ def search_bm25(spark, sf):
     return bm25_search(narratives(spark, sf), bm25_index(_docs(spark, sf)), 10)
 
 
+@registered(f"""
+WITH {q.CASES}, {ASKED}, {q.bm25('cases', 'asked', k=10)}
+SELECT qid, rank, doc_id, score FROM bm25""")
+def search_segments(spark, sf):
+    """The same search in an index that took the documents in bit by bit.
+
+    Two thirds come first, half of them in an outdated version; two runs of a stream bring the
+    right versions and the rest.
+    """
+    docs = written(_docs(spark, sf), "segment-docs")
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    index = SegmentedIndex(spark, fresh_path(spark, "segments"))
+    outdated = F.when(third == 1, F.concat(F.lit("outdated "), F.substring("text", 1, 200))).otherwise(F.col("text"))
+    index.add(docs.where(third < 2).select("doc_id", outdated.alias("text")))
+    arrivals, checkpoint = fresh_path(spark, "arrivals"), fresh_path(spark, "arrivals-checkpoint")
+    for part in (1, 2):
+        docs.where(third == part).write.mode("append").parquet(arrivals)
+        index.take_stream(narrative_stream(spark, arrivals, docs.schema), checkpoint).awaitTermination()
+    return index.search(narratives(spark, sf), 10)
+
+
 @registered(f"""
 WITH {q.CASES}, {ASKED}, {q.bm25('cases', 'asked')}
 SELECT qid, term, qtf, df, tf AS occurrences, round(idf, 6) AS idf
@@ -148,6 +171,12 @@ def search_dense_blocks(spark, sf):
     )
 
 
+@registered()
+def search_approximate(spark, sf):
+    """The same search by coarse cells and product codes; a test holds its recall to at least 0.9."""
+    return VectorIndex.build(_vectors(spark, sf)).search(_vector_queries(spark, sf), 20)
+
+
 @registered(f"""
 WITH {VECTORS}, centres AS (
   SELECT label, list(m ORDER BY i) AS centre FROM (
