@@ -8,13 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +26,7 @@ from casegrain.operators.features import (
     unit_vectors,
     word_table,
 )
+from casegrain.operators.squared_hinge import SquaredHingeSVC
 from casegrain.workspace import written
 
 
@@ -62,20 +57,20 @@ class TextPipeline:
         return counted_terms(self._words(df, keep))
 
     def fit(self, train: DataFrame) -> TextPipeline:
-        return self._fit(train, self._terms(train, []))
+        return self._fit(train, written(self._words(train, []), "pipeline-words"))
 
-    def _fit(self, train: DataFrame, terms: DataFrame) -> TextPipeline:
+    def _fit(self, train: DataFrame, words: DataFrame) -> TextPipeline:
         self.tfidf = fit_tfidf(
-            terms, self.max_features, self.min_df, stop_words=self.stop_words
+            words, self.max_features, self.min_df, stop_words=self.stop_words
         )
         self.codes = LabelCodes.fit(train, self.label)
         return self
 
     def fit_vectors(self, train: DataFrame, keep: list[str]) -> DataFrame:
         """Fit, and the vectors of the same rows; their texts are cut into words once."""
-        terms = counted_terms(written(self._words(train, keep), "pipeline-words"))
-        self._fit(train, terms)
-        return unit_vectors(terms, self.tfidf)
+        words = written(self._words(train, keep), "pipeline-words")
+        self._fit(train, words)
+        return unit_vectors(counted_terms(words), self.tfidf)
 
     def vectors(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns (a row key) and the sparse ``vector``."""
@@ -135,8 +130,8 @@ def vectorise_splits(
 def classifiers(n_train: int, seed: int = fixed.SEED) -> dict[str, Estimator]:
     """The four baseline classifiers by name.
 
-    Logistic regression and the linear SVM are balanced by a ``weight`` column;
-    their penalties are per-row means here, hence ``1 / (C * n)``.
+    Logistic regression is balanced by a ``weight`` column; its penalty is a
+    per-row mean here, hence ``1 / (C * n)``. The linear SVM balances itself.
     """
     columns = {"featuresCol": "features", "labelCol": "y"}
     weighted = {**columns, "weightCol": "weight"}
@@ -146,14 +141,7 @@ def classifiers(n_train: int, seed: int = fixed.SEED) -> dict[str, Estimator]:
             family="multinomial", regParam=1.0 / (2.0 * n_train), maxIter=1000,
             tol=TOLERANCE, standardization=False, **weighted,
         ),
-        "LinearSVC": OneVsRest(
-            classifier=LinearSVC(
-                regParam=1.0 / (1.0 * n_train), maxIter=2000, tol=TOLERANCE,
-                standardization=False,
-            ),
-            parallelism=8,
-            **weighted,
-        ),
+        "LinearSVC": SquaredHingeSVC(c=1.0, features="features", label="y"),
         "RandomForest": RandomForestClassifier(
             numTrees=150, maxDepth=30, maxMemoryInMB=1024, seed=seed, **columns
         ),

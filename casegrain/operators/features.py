@@ -17,6 +17,7 @@ from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.ranking import first_per_group
 from casegrain.operators.terms import exploded, with_term_counts
+from casegrain.operators.vocabulary import frequent_terms
 from casegrain.workspace import fresh_path, written
 
 
@@ -77,22 +78,17 @@ class TfidfModel:
 
 
 def fit_tfidf(
-    terms: DataFrame, max_features: int = fixed.TFIDF_FEATURES, min_df: int = fixed.TFIDF_MIN_DF,
+    words: DataFrame, max_features: int = fixed.TFIDF_FEATURES, min_df: int = fixed.TFIDF_MIN_DF,
     sublinear: bool = True, stop_words: Sequence[str] = tuple(fixed.STOP_WORDS),
     keep: bool = True,
 ) -> TfidfModel:
     """The most frequent terms with smoothed inverse document frequencies.
 
-    The cut is by corpus frequency, ties by term. Counting is the one shuffle,
-    combined in the map tasks; the cut keeps ``max_features`` rows per task.
+    ``words`` is a written word table. The cut is by corpus frequency, ties by term; see
+    :func:`casegrain.operators.vocabulary.frequent_terms` for what moves.
     """
-    n_docs = terms.agg(F.count(F.lit(1))).scalar()
-    counted = (
-        exploded(terms, [], "terms", "_t")
-        .groupBy(F.col("_t.term").alias("term"))
-        .agg(F.sum("_t.tf").alias("freq"), F.count(F.lit(1)).alias("df"))
-    )
-    top = counted.where(F.col("df") >= min_df).orderBy(F.col("freq").desc(), "term").limit(max_features)
+    n_docs = words.count()
+    top = frequent_terms(words, max_features, min_df)
     # The window runs over the bounded vocabulary, not over the corpus.
     vocabulary = top.select(
         "term",
@@ -229,10 +225,9 @@ def class_terms(
     Plain term counts here (not sublinear) and every term from one document on.
     """
     words = written(word_table(docs, text_column, [id_column, label], stop_words), "class-words")
-    terms = counted_terms(words)
-    model = fit_tfidf(terms, max_features, min_df=1, sublinear=False, stop_words=stop_words)
+    model = fit_tfidf(words, max_features, min_df=1, sublinear=False, stop_words=stop_words)
     sums = (
-        long_weights(unit_vectors(terms, model))
+        long_weights(unit_vectors(counted_terms(words), model))
         .groupBy(label, "term")
         .agg(F.sum("weight").alias("_sum"))
     )

@@ -25,7 +25,7 @@ from casegrain.operators.features import (
     unit_vectors,
     word_table,
 )
-from casegrain.operators.inverted import Layout, Search, opened, planned, save_blocks, write_blocks
+from casegrain.operators.inverted import Layout, Part, Search, opened, planned, save_blocks, write_blocks
 from casegrain.operators.ranking import first_per_group
 from casegrain.operators.ranking import top_k as ranked_top_k
 from casegrain.operators.terms import exploded, with_term_counts
@@ -162,7 +162,7 @@ def bm25_plan(
         "bm25-queries",
     )
     impact = saturation(k1, b, known["avg_len"] or 1.0)
-    return planned(asked, index.blocks, index.layout, impact, k, exclude_self, **limits)
+    return planned(asked, [Part(index.blocks, index.layout)], impact, k, exclude_self, **limits)
 
 
 def bm25_search(
@@ -208,10 +208,10 @@ def tfidf_index(
 ) -> TfidfIndex:
     """Fit on ``(doc_id, text)`` and keep the documents' vectors; texts are cut into words once."""
     spark = docs.sparkSession
-    terms = counted_terms(written(word_table(docs, "text", ["doc_id"], stop_words), "tfidf-words"))
-    model = fit_tfidf(terms, max_features=max_features, min_df=1, stop_words=stop_words)
-    weights = written(long_weights(unit_vectors(terms, model)).select("term", "doc_id", "weight"), "tfidf-weights")
-    n_docs = terms.count()
+    words = written(word_table(docs, "text", ["doc_id"], stop_words), "tfidf-words")
+    model = fit_tfidf(words, max_features=max_features, min_df=1, stop_words=stop_words)
+    weights = written(long_weights(unit_vectors(counted_terms(words), model)).select("term", "doc_id", "weight"), "tfidf-weights")
+    n_docs = words.count()
     sizes = written(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top")), "tfidf-terms")
     n_postings = sizes.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     layout = Layout.of(n_docs, n_postings, spark.sparkContext.defaultParallelism)
@@ -233,7 +233,7 @@ def tfidf_rank(
         .select("qid", "term", "weight", (F.col("weight") * F.col("top")).alias("most"), "df"),
         "tfidf-queries",
     )
-    search = planned(asked, index.blocks, index.layout, _as_is, k, exclude_self, **limits)
+    search = planned(asked, [Part(index.blocks, index.layout)], _as_is, k, exclude_self, **limits)
     return _ranked(search.scores, k).where("score > 0")
 
 

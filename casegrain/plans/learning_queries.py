@@ -25,7 +25,7 @@ from casegrain.operators.features import (
     class_weights,
     fit_tfidf,
     long_weights,
-    term_table,
+    word_table,
 )
 from casegrain.operators.naive_bayes import fit_naive_bayes, predict_naive_bayes
 from casegrain.operators.splitting import stratified_split
@@ -73,8 +73,8 @@ def _split_corpus(spark, sf):
 @registered(f"WITH {TRAIN} SELECT term, df, round(idf, 6) AS idf FROM fit_voc")
 def tfidf_vocabulary(spark, sf):
     train = _split_corpus(spark, sf).where("split = 'train'")
-    terms = term_table(train, "cleaned_text", ["complaint_id"])
-    return fit_tfidf(terms).vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
+    words = written(word_table(train, "cleaned_text", ["complaint_id"]), "vocabulary-words")
+    return fit_tfidf(words).vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @registered(f"""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from casegrain.operators import squared_hinge
 from casegrain.operators.classify import (
     TextPipeline,
     benchmark_classifiers,
@@ -18,6 +19,7 @@ from casegrain.operators.classify import (
 from casegrain.operators.features import LabelCodes, class_weights, long_weights
 from casegrain.operators.naive_bayes import fit_naive_bayes, predict_naive_bayes
 from casegrain.operators.splitting import stratified_split
+from casegrain.operators.squared_hinge import SquaredHingeSVC
 
 TOPICS = {
     "money": "wire bank transfer account payment cash".split(),
@@ -144,6 +146,50 @@ def test_confidence_is_100_without_probabilities(splits):
     assert np.mean([r.predicted == r.primary_category for r in rows]) > 0.9
 
 
+def dense_solution(x, y, classes, c=1.0):
+    """Newton's method on the one-vs-rest squared hinge problem, to the last digit."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    out = []
+    for k in range(classes):
+        t = np.where(y == k, 1.0, -1.0)
+        cost = c * np.where(y == k, len(y) / (classes * (y == k).sum()), 1.0)
+        w = np.zeros(x.shape[1])
+        value = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - t * (x @ v)) ** 2).sum()  # noqa: B023, E731
+        for _ in range(100):
+            slack = 1 - t * (x @ w)
+            on = slack > 0
+            gradient = w - 2 * (cost * t * np.maximum(slack, 0)) @ x
+            hessian = np.eye(len(w)) + 2 * (x[on] * cost[on][:, None]).T @ x[on]
+            step, size = np.linalg.solve(hessian, -gradient), 1.0
+            while value(w + size * step) > value(w) and size > 1e-9:
+                size /= 2
+            w = w + size * step
+        out.append(w)
+    return np.array(out)
+
+
+def test_squared_hinge_machine_equals_dense_solution(spark, splits, tmp_path):
+    train = splits.train.collect()
+    x, y = np.array([r.features.toArray() for r in train]), np.array([int(r.y) for r in train])
+    expected = dense_solution(x, y, 3)
+    model = SquaredHingeSVC().fit(splits.train.repartition(5))
+    assert np.abs(model.weights - expected).max() < 1e-3
+    test = {r.complaint_id: r for r in model.decisions(splits.test).collect()}
+    for r in splits.test.collect():
+        plain = expected[:, :-1] @ r.features.toArray() + expected[:, -1]
+        assert np.allclose(test[r.complaint_id].decisions, plain, atol=1e-3)
+    save_model(model, str(tmp_path / "svm"))
+    answers = lambda m: sorted(map(tuple, m.transform(splits.test).select("complaint_id", "prediction").collect()))
+    assert answers(load_model(str(tmp_path / "svm"))) == answers(model)
+
+
+def test_many_partial_gradients_are_summed_in_tasks(splits, monkeypatch):
+    expected = SquaredHingeSVC().fit(splits.train).weights
+    monkeypatch.setattr(squared_hinge, "PARTS_ON_DRIVER", 2)
+    monkeypatch.setattr(squared_hinge, "ROWS_PER_BLOCK", 7)
+    assert np.abs(SquaredHingeSVC().fit(splits.train.repartition(6)).weights - expected).max() < 2e-3
+
+
 def test_log_of_smoothing_is_the_floor(rows):
     train = rows.where("split = 'train'")
     pipeline = TextPipeline().fit(train)

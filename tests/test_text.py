@@ -152,3 +152,15 @@ def test_a_mask_of_ones_own_is_always_tried(spark):
     assert [r.t for r in out] == ["meet <NAME>", "<EMAIL> and <NAME>", None]
     plain = df.select(text.masked_by(F.col("t"), [text.mask_email]).alias("t")).collect()
     assert [r.t for r in plain] == ["meet Bob", "<EMAIL> and Bob", None]
+
+
+def test_route_cap_binds_on_the_smallest_tables(spark, data):
+    """The registered query's rules with a cap below what they hit: the first ids of each route."""
+    from casegrain.operators import records
+    from casegrain.plans.text_queries import ROUTES
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    hits = [(r["route"], r["doc_id"]) for r in records.routed(docs, ROUTES, ["doc_id"]).collect()]
+    kept = [(r["route"], r["doc_id"]) for r in records.routed(docs, ROUTES, ["doc_id"], cap=100).collect()]
+    expected = [(route, i) for route in range(3) for i in sorted(d for r, d in hits if r == route)[:100]]
+    assert sorted(kept) == expected and len(kept) < len(hits)
