@@ -92,9 +92,14 @@ def tokens(text: Column) -> Column:
 
 def content_words(text: Column, stop_words: Sequence[str] = fixed.STOP_WORDS) -> Column:
     """Lowercased words of two or more characters without stop words."""
+    return content_of(tokens(text), stop_words)
+
+
+def content_of(words: Column, stop_words: Sequence[str] = fixed.STOP_WORDS) -> Column:
+    """The same from the words of :func:`tokens`."""
     stops = list(stop_words)
     return F.filter(
-        tokens(text),
+        words,
         lambda w: (F.length(w) > 1) & ~w.isin(stops) if stops else F.length(w) > 1,
     )
 

@@ -13,6 +13,7 @@ from casegrain.operators import records
 from casegrain.operators.ranking import keep_first, ranked_in_group, sample_rows
 from casegrain.operators.terms import computed_once
 from casegrain.sources import readers
+from casegrain.sources.mails import read_mails
 from casegrain.workspace import written
 
 COPIES_PER_BLOCK = 1000
@@ -115,6 +116,11 @@ def load_regulator(
     )
 
 
+def _read_mails(spark: SparkSession, path: str) -> DataFrame:
+    """A mailbox (``.txt``) or a table of mails."""
+    return read_mails(spark, path) if path.lower().endswith(".txt") else readers.read_csv(spark, path)
+
+
 def load_labelled(
     spark: SparkSession, sms: str | None = None, hate_speech: str | None = None,
     fraud_mail: str | None = None, regulator: str | None = None,
@@ -123,7 +129,7 @@ def load_labelled(
     plans = [
         (sms, readers.read_sms, load_sms_spam),
         (hate_speech, readers.read_csv, load_hate_speech),
-        (fraud_mail, readers.read_csv, load_fraud_mail),
+        (fraud_mail, _read_mails, load_fraud_mail),
         (regulator, readers.read_csv, load_regulator),
     ]
     tables = [

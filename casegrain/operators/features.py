@@ -25,7 +25,12 @@ def word_table(
     df: DataFrame, text_column: str, keep: Sequence[str],
     stop_words: Sequence[str] = tuple(fixed.STOP_WORDS),
 ) -> DataFrame:
-    """``keep`` columns plus ``words``: the content words of each row, in order."""
+    """``keep`` columns plus ``words``: the content words of each row, in order.
+
+    A column ``tokens`` saves the work of finding them in the text again.
+    """
+    if "tokens" in df.columns:
+        return df.select(*keep, text.content_of(F.col("tokens"), stop_words).alias("words"))
     return df.select(*keep, text.content_words(F.col(text_column), stop_words).alias("words"))
 
 

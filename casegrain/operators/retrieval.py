@@ -87,9 +87,15 @@ def _postings_of(blocks: DataFrame) -> DataFrame:
         F.col("_p.lens").alias("len"))
 
 
+def tokenised(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """``(doc_id, tokens)``, written, for several indexes of the same documents."""
+    return written(docs.select("doc_id", text.tokens(F.col(text_column)).alias("tokens")), "tokens")
+
+
 def document_terms(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``(doc_id, len, terms)`` of each document, counted inside the row."""
-    tokens = docs.select("doc_id", text.tokens(F.col(text_column)).alias("_tokens"))
+    """``(doc_id, len, terms)`` of each document, counted inside the row; from its ``tokens`` if they are there."""
+    found = F.col("tokens") if "tokens" in docs.columns else text.tokens(F.col(text_column))
+    tokens = docs.select("doc_id", found.alias("_tokens"))
     counted = with_term_counts(tokens, F.col("_tokens"))
     return counted.select("doc_id", F.size("_tokens").cast("bigint").alias("len"), "terms")
 

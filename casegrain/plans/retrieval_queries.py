@@ -15,6 +15,7 @@ from casegrain.operators.retrieval import (
     fuse,
     query_terms,
     tfidf_search,
+    tokenised,
 )
 from casegrain.operators.segments import SegmentedIndex
 from casegrain.operators.splitting import stratified_split
@@ -274,11 +275,12 @@ rankings AS (
 def compare_retrievers(spark, sf):
     """Four rankings of the benchmark queries, scored in one pass."""
     docs, queries, qrels = _hybrid(spark, sf)
-    sparse = written(bm25_search(queries, bm25_index(docs), 50), "ranking")
+    words = tokenised(docs)
+    sparse = written(bm25_search(queries, bm25_index(words), 50), "ranking")
     dense = written(dense_search(_with_vector(queries), _with_vector(docs), 50), "ranking")
     rankings = {
         "bm25": sparse.where("rank <= 20"),
-        "tfidf": tfidf_search(queries, docs, 20),
+        "tfidf": tfidf_search(queries, words, 20),
         "dense": dense.where("rank <= 20"),
         "rrf": fuse(sparse, dense, 20),
     }

@@ -14,11 +14,13 @@ from casegrain.operators.significance import (
     poisson_bounds,
     replicate_factors,
 )
+from casegrain.operators.summaries import answered, merged, summarised
 from casegrain.operators.term_statistics import LEAST_COUNT, PRIOR, chi_square_terms, log_odds_terms
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
 from casegrain.plans.standins import corpus, documents
 from casegrain.plans.text_queries import rules_sql
+from casegrain.workspace import written
 
 # Two small classifiers of the language, by words only or by letters as well.
 BY_WORDS = [
@@ -155,3 +157,10 @@ SELECT primary_category, rank, term, df, chi_square FROM (
 WHERE rank <= 20""")
 def chi_square_class_terms(spark, sf):
     return chi_square_terms(corpus(spark, sf), "primary_category", n=20)
+
+
+@registered()
+def merged_summaries(spark, sf):
+    """Word-count quantiles and vocabulary per language, from summaries of each source and language."""
+    parts = written(summarised(documents(spark, sf, "source", "lang", "text"), ["source", "lang"]), "summaries")
+    return answered(merged(parts, ["lang"]))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.functions import text
-from casegrain.operators.classify import TextPipeline
+from casegrain.operators.classify import TextPipeline, balanced, load_model, predict, save_model
+from casegrain.operators.features import ml_vectors
 from casegrain.operators.naive_bayes import (
     NaiveBayesModel,
     fit_naive_bayes,
@@ -44,40 +46,62 @@ def case_lines(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TriageEngine:
-    """A fitted classifier and an index over the cases ``(doc_id, text, category, source)``."""
+    """A fitted classifier and an index over the cases ``(doc_id, text, category, source)``.
+
+    The classifier is the aggregate naive Bayes, or any fitted ``pyspark.ml`` model over the
+    pipeline's vectors.
+    """
 
     cases: DataFrame
     pipeline: TextPipeline
-    classifier: NaiveBayesModel
+    classifier: NaiveBayesModel | Model
     index: Bm25Index
 
     @classmethod
-    def fit(cls, cases: DataFrame) -> TriageEngine:
-        """Train on all cases by their category, index their (clean) text."""
+    def fit(cls, cases: DataFrame, estimator: Estimator | None = None) -> TriageEngine:
+        """Train on all cases by their category, index their (clean) text.
+
+        ``estimator`` is one of :func:`casegrain.operators.classify.classifiers` or another of its
+        kind; without one naive Bayes is fitted by aggregation.
+        """
         pipeline = TextPipeline("text", "category", clean=False)
         vectors = pipeline.fit_vectors(cases, ["doc_id", "category"])
-        classifier = fit_naive_bayes(
-            vectors, "category", pipeline.tfidf.size(), pipeline.codes
-        )
+        if estimator is None:
+            classifier = fit_naive_bayes(vectors, "category", pipeline.tfidf.size(), pipeline.codes)
+        else:
+            rows = ml_vectors(vectors, pipeline.tfidf.size()).withColumn(
+                "y", pipeline.codes.encode(F.col("category")).cast("double"))
+            classifier = estimator.fit(balanced(rows))
         return cls(cases, pipeline, classifier, bm25_index(cases.select("doc_id", "text")))
 
     def save(self, path: str) -> None:
         """All four parts under one folder; what is saved again replaces what was there."""
         self.cases.write.mode("overwrite").parquet(f"{path}/cases")
         self.pipeline.save(f"{path}/pipeline")
-        self.classifier.save(f"{path}/classifier")
+        learned = not isinstance(self.classifier, NaiveBayesModel)
+        if learned:
+            save_model(self.classifier, f"{path}/model")
+        else:
+            self.classifier.save(f"{path}/classifier")
+        kind = self.cases.sparkSession.createDataFrame([(learned,)], "learned boolean")
+        kind.write.mode("overwrite").json(f"{path}/kind")
         self.index.save(f"{path}/index")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TriageEngine:
+        learned = spark.read.schema("learned boolean").json(f"{path}/kind").first()["learned"]
+        classifier = load_model(f"{path}/model") if learned else NaiveBayesModel.load(spark, f"{path}/classifier")
         return cls(
-            spark.read.parquet(f"{path}/cases"), TextPipeline.load(spark, f"{path}/pipeline"),
-            NaiveBayesModel.load(spark, f"{path}/classifier"), Bm25Index.load(spark, f"{path}/index"),
+            spark.read.parquet(f"{path}/cases"), TextPipeline.load(spark, f"{path}/pipeline"), classifier,
+            Bm25Index.load(spark, f"{path}/index"),
         )
 
     def classify(self, narratives: DataFrame) -> DataFrame:
         """``(qid, prediction, confidence)`` of ``(qid, cleaned_text)``."""
         rows = narratives.select("qid", F.col("cleaned_text").alias("text"))
+        if not isinstance(self.classifier, NaiveBayesModel):
+            predicted = predict(self.classifier, self.pipeline.transform(rows, ["qid"]), self.pipeline.codes)
+            return predicted.select("qid", F.col("predicted").alias("prediction"), "confidence")
         return predict_naive_bayes(
             self.pipeline.vectors(rows, ["qid"]), self.classifier, self.pipeline.tfidf
         )

@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LINES = "file string, start long, line string"
-
 
 def ends_inside(line: str, inside: bool, sep: str, quote: str = '"') -> bool:
     """Whether a line that begins inside quotes, or else at a record, ends inside quotes.

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegrain.operators import inverted, retrieval, scaling
+from casegrain.operators.classify import classifiers
 from casegrain.operators.dense import dense_search, with_unit_vectors
 from casegrain.operators.inverted import FOLDER_POSTINGS, SLICE_DOCS, Layout
 from casegrain.operators.retrieval import bm25_index, bm25_search, fuse, tfidf_search
@@ -315,7 +316,23 @@ def test_engine_saved_and_loaded(spark, tmp_path):
         engine.search(narratives.withColumnRenamed("text", "cleaned_text"), 2, method="hybrid")
 
 
-def test_search_opens_the_buckets_of_its_terms_only(frames):
+@pytest.mark.parametrize("name", ["LinearSVC", "LogisticRegression"])
+def test_engine_with_another_classifier(spark, tmp_path, name):
+    cases = spark.createDataFrame(CASES, "doc_id string, text string, category string, source string")
+    narratives = spark.createDataFrame([(1, "WIRE from the bank"), (2, "webcam video threat")], "qid long, text string")
+    TriageEngine.fit(cases).save(str(tmp_path / "engine"))
+    engine = TriageEngine.fit(cases, classifiers(len(CASES))[name])
+    engine.save(str(tmp_path / "engine"))
+    loaded = TriageEngine.load(spark, str(tmp_path / "engine"))
+    rows = {r.qid: r for r in loaded.triage(narratives, 1).collect()}
+    assert {q: r.prediction for q, r in rows.items()} == {1: "money", 2: "threat"}
+    assert all(r.confidence == 100 if name == "LinearSVC" else 50 < r.confidence <= 100 for r in rows.values())
+    same = lambda e: sorted(map(str, e.triage(narratives, 2).collect()))
+    assert same(loaded) == same(engine)
+
+
+def test_search_opens_the_buckets_of_its_terms_only(frames, monkeypatch):
+    monkeypatch.setattr(inverted, "LEAST_FOLDER_POSTINGS", 1)
     _, df, queries = frames
     index = bm25_index(df)
     asked = retrieval.query_terms(queries.where("qid = 'q1'")).join(index.terms, "term")
