@@ -89,7 +89,8 @@ def skewed_docs(n=3000, seed=4):
             for i in range(n)]
 
 
-def test_bounded_search_opens_fewer_blocks(spark):
+def test_bounded_search_opens_fewer_blocks(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "SLICE_DOCS", 32)
     docs = skewed_docs()
     asked = [(i, f"of r{7 * i} r{7 * i + 1} city") for i in range(20)] + [(99, "of city")]
     queries = spark.createDataFrame(asked, "qid long, text string")
@@ -210,11 +211,10 @@ def brute_tfidf(docs, queries, k, features):
     return out
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_tfidf_equals_brute_force(frames, monkeypatch, small):
+@pytest.mark.parametrize("limits", [{}, {"open_at_once": 0, "lead_postings": 10}])
+def test_tfidf_equals_brute_force(frames, limits):
     docs, df, queries = frames
-    monkeypatch.setattr(retrieval, "is_small", lambda *a: small)
-    got = lists_of(tfidf_search(queries, df, 6, max_features=30, stop_words=()))
+    got = lists_of(retrieval.tfidf_rank(queries, retrieval.tfidf_index(df, max_features=30, stop_words=()), 6, **limits))
     expected = brute_tfidf(docs, QUERIES, 6, 30)
     assert {q: [d for d, _ in r] for q, r in got.items()} == {
         q: [d for d, _ in r] for q, r in expected.items()}
