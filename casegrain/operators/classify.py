@@ -22,7 +22,6 @@ from casegrain.operators.features import (
     class_weights,
     fit_tfidf,
     ml_vectors,
-    counted_terms,
     unit_vectors,
     word_table,
 )
@@ -53,9 +52,6 @@ class TextPipeline:
         cleaned = df.withColumn("_clean", text.clean(raw) if self.clean else raw)
         return word_table(cleaned, "_clean", keep, self.stop_words)
 
-    def _terms(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        return counted_terms(self._words(df, keep))
-
     def fit(self, train: DataFrame) -> TextPipeline:
         return self._fit(train, written(self._words(train, []), "pipeline-words"))
 
@@ -70,13 +66,13 @@ class TextPipeline:
         """Fit, and the vectors of the same rows; their texts are cut into words once."""
         words = written(self._words(train, keep), "pipeline-words")
         self._fit(train, words)
-        return unit_vectors(counted_terms(words), self.tfidf)
+        return unit_vectors(words, self.tfidf)
 
     def vectors(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns (a row key) and the sparse ``vector``."""
         if self.tfidf is None:
             raise RuntimeError("the pipeline must be fitted before it transforms")
-        return unit_vectors(self._terms(df, keep), self.tfidf)
+        return unit_vectors(self._words(df, keep), self.tfidf)
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns, ``features`` and, when labelled, the code ``y``."""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.ranking import first_per_group
-from casegrain.operators.terms import exploded, with_term_counts
+from casegrain.operators.terms import exploded, found_in_words, with_term_counts
 from casegrain.operators.vocabulary import frequent_terms
 from casegrain.workspace import fresh_path, written
 
@@ -37,11 +37,11 @@ def word_table(
 def counted_terms(words: DataFrame) -> DataFrame:
     """Replace ``words`` by ``terms``: counted one- and two-word terms.
 
-    Cheap next to finding the words, and several times their size: so it is the
-    words that get written, when anything is, and never the terms.
+    Several times the size of the words: so it is the words that get written,
+    when anything is, and never the terms.
     """
     keys = [c for c in words.columns if c != "words"]
-    return with_term_counts(words, text.with_bigrams(F.col("words"))).select(*keys, "terms")
+    return with_term_counts(words, F.col("words"), pairs=True).select(*keys, "terms")
 
 
 def term_table(
@@ -106,39 +106,55 @@ def fit_tfidf(
     return TfidfModel(vocabulary, max_features, sublinear, tuple(stop_words))
 
 
-def unit_vectors(terms: DataFrame, model: TfidfModel) -> DataFrame:
-    """Replace ``terms`` by ``vector: array<struct<idx, term, weight>>``, L2 = 1.
+def unit_vectors(rows: DataFrame, model: TfidfModel) -> DataFrame:
+    """Replace ``words`` (or ``terms``) by ``vector: array<struct<idx, term, weight>>``, L2 = 1.
 
     A row's terms are looked up where they are, a batch of rows at a time, so
     nothing is shuffled. The vocabulary, at most ``max_features`` rows, travels
-    with the task. A row without any of its terms has an empty vector.
+    with the task. A row without any of its terms has an empty vector. Words
+    and their adjacent pairs are looked up as numbers: terms that are not in
+    the vocabulary never become strings.
     """
-    keys = [c for c in terms.columns if c != "terms"]
+    given = "words" if "words" in rows.columns else "terms"
+    keys = [c for c in rows.columns if c != given]
     vocabulary = model.vocabulary.select("term", "idx", "idf").toArrow().sort_by("idx")
-    return terms.select(*keys, _looked_up(vocabulary, model.sublinear)("terms").alias("vector"))
+    look_up = found_in_words if given == "words" else _found_in_terms
+    return rows.select(*keys, _looked_up(vocabulary, model.sublinear, look_up)(given).alias("vector"))
 
 
-def _looked_up(vocabulary: pa.Table, sublinear: bool):
-    known, idf = vocabulary["term"].combine_chunks(), vocabulary["idf"].to_numpy()
+def _found_in_terms(known: pa.Array):
+    """Row, place in the vocabulary and count of each known term of a batch of counted terms."""
+
+    def found(batch: pa.ListArray) -> Iterator[tuple[pa.ListArray, np.ndarray, np.ndarray, np.ndarray]]:
+        counted = batch.flatten()
+        row = pc.list_parent_indices(batch).to_numpy()
+        place = pc.index_in(counted.field("term"), value_set=known)
+        hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        idx = place.take(pa.array(hit)).to_numpy().astype(np.int32)
+        row, tf = row[hit], counted.field("tf").to_numpy()[hit]
+        order = np.lexsort((idx, row))
+        yield batch, row[order], idx[order], tf[order]
+
+    return found
+
+
+def _looked_up(vocabulary: pa.Table, sublinear: bool, look_up):
+    known, idf = vocabulary["term"].combine_chunks().cast(pa.string()), vocabulary["idf"].to_numpy()
 
     @F.arrow_udf("array<struct<idx:int,term:string,weight:double>>")
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = look_up(known)
         for batch in batches:
-            counted = batch.flatten()
-            row = pc.list_parent_indices(batch).to_numpy()
-            place = pc.index_in(counted.field("term"), value_set=known)
-            hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
-            idx = place.take(pa.array(hit)).to_numpy().astype(np.int32)
-            row, tf = row[hit], counted.field("tf").to_numpy()[hit]
-            order = np.lexsort((idx, row))
-            idx, row, tf = idx[order], row[order], tf[order]
-            weight = ((1.0 + np.log(tf)) if sublinear else tf) * idf[idx]
-            length = np.sqrt(np.bincount(row, weight * weight, len(batch)))
-            entries = pa.StructArray.from_arrays(
-                [pa.array(idx), known.take(pa.array(idx)), pa.array(weight / length[row])],
-                names=["idx", "term", "weight"])
-            starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
-            yield pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), entries)
+            parts = []
+            for rows, row, idx, tf in found(batch):
+                weight = ((1.0 + np.log(tf)) if sublinear else tf) * idf[idx]
+                length = np.sqrt(np.bincount(row, weight * weight, len(rows)))
+                entries = pa.StructArray.from_arrays(
+                    [pa.array(idx), known.take(pa.array(idx)), pa.array(weight / length[row])],
+                    names=["idx", "term", "weight"])
+                starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))])
+                parts.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), entries))
+            yield pa.concat_arrays(parts)
 
     return vectors
 
@@ -232,7 +248,7 @@ def class_terms(
     words = written(word_table(docs, text_column, [id_column, label], stop_words), "class-words")
     model = fit_tfidf(words, max_features, min_df=1, sublinear=False, stop_words=stop_words)
     sums = (
-        long_weights(unit_vectors(counted_terms(words), model))
+        long_weights(unit_vectors(words, model))
         .groupBy(label, "term")
         .agg(F.sum("weight").alias("_sum"))
     )

@@ -18,10 +18,8 @@ from casegrain import fixed_values as fixed
 from casegrain.functions import text
 from casegrain.operators.features import (
     TfidfModel,
-    counted_terms,
     fit_tfidf,
     long_weights,
-    term_table,
     unit_vectors,
     word_table,
 )
@@ -216,7 +214,7 @@ def tfidf_index(
     spark = docs.sparkSession
     words = written(word_table(docs, "text", ["doc_id"], stop_words), "tfidf-words")
     model = fit_tfidf(words, max_features=max_features, min_df=1, stop_words=stop_words)
-    weights = written(long_weights(unit_vectors(counted_terms(words), model)).select("term", "doc_id", "weight"), "tfidf-weights")
+    weights = written(long_weights(unit_vectors(words, model)).select("term", "doc_id", "weight"), "tfidf-weights")
     n_docs = words.count()
     sizes = written(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top")), "tfidf-terms")
     n_postings = sizes.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
@@ -233,9 +231,9 @@ def tfidf_rank(
     queries: DataFrame, index: TfidfIndex, k: int = 10, exclude_self: bool = False, **limits,
 ) -> DataFrame:
     """Top ``k`` documents by cosine; a search opens blocks of its terms only."""
-    asked_terms = term_table(queries, "text", ["qid"], index.model.stop_words)
+    asked_words = word_table(queries, "text", ["qid"], index.model.stop_words)
     asked = written(
-        long_weights(unit_vectors(asked_terms, index.model)).join(index.terms, "term")
+        long_weights(unit_vectors(asked_words, index.model)).join(index.terms, "term")
         .select("qid", "term", "weight", (F.col("weight") * F.col("top")).alias("most"), "df"),
         "tfidf-queries",
     )

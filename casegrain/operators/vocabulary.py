@@ -18,69 +18,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.functions import text
-from casegrain.operators.terms import exploded, with_term_counts
+from casegrain.operators.terms import (
+    WORDS_AT_ONCE,
+    coded,
+    exploded,
+    found_in_words,
+    named,
+    runs_of_rows,
+    sorted_counts,
+    with_term_counts,
+)
 from casegrain.workspace import written
 
 #: Terms a task holds before it drops the rarer half, terms it sends per term wanted, candidates per term wanted.
 HELD, SENT, CANDIDATES = 2_000_000, 4, 20
 _COUNTS = "term string, freq long, df long"
+_NAMES = ["term", "freq", "df", "spare"]
 
 
 class _Counter:
-    """Counts of one- and two-word terms by number; a one-word term has -1 as its second word."""
+    """Counts of one- and two-word terms as numbers: the first word's, then the second's plus one, 0 for none.
 
-    def __init__(self, held: int | None):
-        self.held, self.number, self.words = held, {}, []  # None: nothing is ever dropped
-        self.terms = np.zeros((0, 2), np.int64)
-        self.counts = np.zeros((0, 2), np.int64)
+    What is new waits until it is as much as what is held, so that a term is not sorted again
+    with every batch.
+    """
+
+    def __init__(self, held: int):
+        self.held, self.number, self.words = held, {}, []
+        self.terms, self.freq, self.df = (np.zeros(0, np.int64) for _ in range(3))
+        self.waiting: list[tuple[np.ndarray, ...]] = []
         self.missed = 0
 
     def add(self, lists: pa.ListArray) -> None:
-        flat = lists.flatten()
-        if not len(flat):
+        for part in runs_of_rows(lists):
+            rows, words, names = coded(part)
+            if len(words):
+                self._add(rows, words, names.to_pylist(), len(part))
+
+    def _add(self, rows: np.ndarray, words: np.ndarray, names: list[str], n_rows: int) -> None:
+        place = np.array([self.number.setdefault(w, len(self.number)) for w in names], np.int64)
+        self.words += names if len(self.number) - len(self.words) == len(names) else [
+            w for w, i in zip(names, place.tolist()) if i >= len(self.words)]
+        width = len(names) + 1
+        together = np.flatnonzero(rows[:-1] == rows[1:])
+        terms = np.concatenate([words * width, words[together] * width + words[together + 1] + 1])
+        cells, times = sorted_counts(terms * n_rows + np.concatenate([rows, rows[together]]))
+        terms = cells // n_rows
+        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+        first, second = np.divmod(terms[starts], width)
+        second = np.where(second > 0, place[second - 1] + 1, 0)
+        self.waiting.append((
+            (place[first] << 32) | second, np.add.reduceat(times, starts), np.diff(np.append(starts, len(cells)))))
+        if sum(len(w[0]) for w in self.waiting) > max(len(self.terms), min(self.held, WORDS_AT_ONCE)):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = [(self.terms, self.freq, self.df), *self.waiting]
+        terms, freq, df = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        self.waiting = []
+        if not len(terms):
             return
-        coded = flat.dictionary_encode()
-        place = []
-        for word in coded.dictionary.to_pylist():
-            if word not in self.number:
-                self.number[word] = len(self.words)
-                self.words.append(word)
-            place.append(self.number[word])
-        words = np.array(place, np.int64)[coded.indices.to_numpy()]
-        rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        pair = rows[:-1] == rows[1:]
-        first = np.concatenate([words, words[:-1][pair]])
-        second = np.concatenate([np.full(len(words), -1), words[1:][pair]])
-        row = np.concatenate([rows, rows[:-1][pair]])
-        order = np.lexsort((row, second, first))
-        first, second, row = first[order], second[order], row[order]
-        new_term = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
-        new_row = new_term | np.append(True, row[1:] != row[:-1])
-        starts = np.flatnonzero(new_term)
-        freq, df = np.diff(np.append(starts, len(first))), np.add.reduceat(new_row.astype(np.int64), starts)
-        self._merge(np.stack([first[starts], second[starts]], axis=1), np.stack([freq, df], axis=1))
-
-    def _merge(self, terms: np.ndarray, counts: np.ndarray) -> None:
-        terms, counts = np.concatenate([self.terms, terms]), np.concatenate([self.counts, counts])
-        order = np.lexsort((terms[:, 1], terms[:, 0]))
-        terms, counts = terms[order], counts[order]
-        starts = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]).any(axis=1)))
-        self.terms, self.counts = terms[starts], np.add.reduceat(counts, starts)
-        if self.held is not None and len(self.terms) > self.held:
-            self.missed += self._cut(self.held // 2)
-
-    def _cut(self, most: int) -> int:
-        """Keep the most frequent terms; gives the largest count dropped."""
+        order = np.argsort(terms)
+        terms = terms[order]
+        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+        self.terms, self.freq, self.df = terms[starts], np.add.reduceat(freq[order], starts), np.add.reduceat(df[order], starts)
+        if len(self.terms) > self.held:
+            self.missed += self.cut(self.held // 2)
+
+    def cut(self, most: int) -> int:
+        """Keep the most frequent terms and their words; gives the largest count dropped."""
         if len(self.terms) <= most:
             return 0
-        order = np.argsort(-self.counts[:, 0], kind="stable")
-        dropped = int(self.counts[order[most], 0])
-        self.terms, self.counts = self.terms[order[:most]], self.counts[order[:most]]
+        order = np.argsort(-self.freq, kind="stable")
+        dropped = int(self.freq[order[most]])
+        kept = np.sort(order[:most])
+        self.freq, self.df = self.freq[kept], self.df[kept]
+        first, second = self.terms[kept] >> 32, self.terms[kept] & 0xFFFFFFFF
+        used = np.unique(np.concatenate([first, second[second > 0] - 1]))
+        self.words = [self.words[i] for i in used.tolist()]
+        self.number = {w: i for i, w in enumerate(self.words)}
+        second = np.where(second > 0, np.searchsorted(used, second - 1) + 1, 0)
+        self.terms = (np.searchsorted(used, first) << 32) | second
         return dropped
 
-    def named(self) -> list[str]:
-        return [self.words[a] if b < 0 else f"{self.words[a]} {self.words[b]}" for a, b in self.terms.tolist()]
+    def named(self) -> pa.Array:
+        return named(pa.array(self.words, pa.string()), self.terms >> 32, (self.terms & 0xFFFFFFFF) - 1)
 
 
 def _summaries(held: int, sent: int):
@@ -93,14 +115,13 @@ def _summaries(held: int, sent: int):
         counter = _Counter(held)
         for batch in batches:
             counter.add(batch.column(0))
-        spare = counter._cut(sent)
+        counter.merge()
+        spare = counter.cut(sent)
         n = len(counter.terms)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *counter.named()], pa.string()),
-             pa.array([0, *counter.counts[:, 0].tolist()], pa.int64()),
-             pa.array([0, *counter.counts[:, 1].tolist()], pa.int64()),
-             pa.array([counter.missed + spare, *[spare] * n], pa.int64())],
-            names=["term", "freq", "df", "spare"])
+            [pa.array([None], pa.string()), *(pa.array([x], pa.int64()) for x in (0, 0, counter.missed + spare))], _NAMES)
+        yield pa.RecordBatch.from_arrays(
+            [counter.named(), pa.array(counter.freq), pa.array(counter.df), pa.array(np.full(n, spare, np.int64))], _NAMES)
 
     return summaries
 
@@ -109,24 +130,20 @@ def _exact(wanted):
     """Per task the counts of the wanted terms."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, list[int]] = {}
+        terms = pa.array(wanted.value, pa.string())
+        found, n = found_in_words(terms), len(terms)
+        freq, df = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
-            counter = _Counter(None)
-            counter.add(batch.column(0))
-            for term, (freq, df) in zip(counter.named(), counter.counts.tolist()):
-                if term in wanted.value:
-                    total = totals.setdefault(term, [0, 0])
-                    total[0] += freq
-                    total[1] += df
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.string()), pa.array([t[0] for t in totals.values()], pa.int64()),
-             pa.array([t[1] for t in totals.values()], pa.int64())], names=["term", "freq", "df"])
+            for _, _, place, tf in found(batch.column(0)):
+                freq += np.bincount(place, tf, n).astype(np.int64)
+                df += np.bincount(place, minlength=n)
+        yield pa.RecordBatch.from_arrays([terms, pa.array(freq), pa.array(df)], _NAMES[:3]).filter(pa.array(df > 0))
 
     return exact
 
 
 def _all_terms(words: DataFrame) -> DataFrame:
-    counted = with_term_counts(words.select("words"), text.with_bigrams(F.col("words")))
+    counted = with_term_counts(words.select("words"), F.col("words"), pairs=True)
     return exploded(counted, [], "terms", "_t").groupBy(F.col("_t.term").alias("term")).agg(
         F.sum("_t.tf").alias("freq"), F.count(F.lit(1)).alias("df"))
 
@@ -161,7 +178,7 @@ def frequent_terms(
     found = possible.limit(candidates + 1).collect()
     if len(found) > candidates:
         return _first(_all_terms(rows), most, min_df)
-    wanted = words.sparkSession.sparkContext.broadcast({r["term"] for r in found})
+    wanted = words.sparkSession.sparkContext.broadcast([r["term"] for r in found])
     exact = rows.mapInArrow(_exact(wanted), _COUNTS).groupBy("term").agg(
         F.sum("freq").alias("freq"), F.sum("df").alias("df"))
     return _first(exact, most, min_df)
