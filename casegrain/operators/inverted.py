@@ -97,6 +97,61 @@ def write_blocks(postings: DataFrame, layout: Layout, path: str) -> DataFrame:
     return spark.read.schema(blocks.schema).parquet(path)
 
 
+def write_document_blocks(
+    rows: DataFrame, value: str, impact: Impact, layout: Layout, path: str,
+) -> DataFrame:
+    """``rows(doc_id, len, terms)`` as the same blocks; ``value`` is the field of a term that a posting keeps.
+
+    Documents move whole to the task of their slice, which cuts them into blocks; no row per
+    posting is made. The blocks then move once, to their folders.
+    """
+    spark = rows.sparkSession
+    doc = rows.schema["doc_id"].dataType.simpleString()
+    entry = lambda x: F.struct(x["term"].alias("term"), x[value].alias("value"))
+    plain = len(rows.schema["terms"].dataType.elementType.fields) == 2
+    terms = F.col("terms") if plain else F.transform("terms", entry).alias("terms")
+    schema = f"term string, slice int, docs array<{doc}>, values array<double>, lens array<bigint>, top double"
+    run = F.floor(F.col("slice") / SLICES_TOGETHER).cast("int")
+    blocks = (
+        rows.where(F.size("terms") > 0).select("doc_id", F.col("len").cast("bigint").alias("len"), terms)
+        .groupBy(layout.slice_of("doc_id").alias("slice")).applyInArrow(_sliced(impact), schema)
+        .withColumn("bucket", layout.folder_of("term", run))
+    )
+    save_blocks(blocks, path)
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
+def _sliced(impact: Impact):
+    """The blocks of one slice's documents."""
+
+    def sliced(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lists = rows["terms"].combine_chunks()
+        row = pc.list_parent_indices(lists).to_numpy()
+        term, value = lists.flatten().flatten()
+        coded = term.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        order = np.argsort(codes * rows.num_rows + row)
+        codes, row = codes[order], row[order]
+        values, lens = value.to_numpy()[order].astype(np.float64), rows["len"].to_numpy()[row]
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        offsets = pa.array(np.append(starts, len(codes)).astype(np.int32))
+        docs = rows["doc_id"].combine_chunks().take(pa.array(row))
+        of_term = lambda flat: pa.ListArray.from_arrays(offsets, flat)
+        return pa.table({
+            "term": coded.dictionary.take(pa.array(codes[starts])),
+            "slice": pa.array(np.full(len(starts), key[0].as_py(), np.int32)),
+            "docs": of_term(docs), "values": of_term(pa.array(values)), "lens": of_term(pa.array(lens)),
+            "top": pa.array(np.maximum.reduceat(impact(values, lens), starts)),
+        })
+
+    return sliced
+
+
+def term_sizes(blocks: DataFrame) -> DataFrame:
+    """``term, df, top`` of written blocks: postings and largest impact of each term."""
+    return blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.max("top").alias("top"))
+
+
 def save_blocks(blocks: DataFrame, path: str) -> None:
     """One file per folder, sorted by term."""
     blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "slice").write.mode(

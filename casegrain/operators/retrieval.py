@@ -23,7 +23,16 @@ from casegrain.operators.features import (
     unit_vectors,
     word_table,
 )
-from casegrain.operators.inverted import Layout, Part, Search, opened, planned, save_blocks, write_blocks
+from casegrain.operators.inverted import (
+    Layout,
+    Part,
+    Search,
+    opened,
+    planned,
+    save_blocks,
+    term_sizes,
+    write_document_blocks,
+)
 from casegrain.operators.ranking import first_per_group
 from casegrain.operators.ranking import top_k as ranked_top_k
 from casegrain.operators.terms import exploded, with_term_counts
@@ -67,11 +76,13 @@ class Bm25Index:
         found = opened(self.blocks, self.layout, asked)
         return _postings_of(found.join(asked.select("term").distinct(), "term", "left_semi"))
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, blocks: bool = True) -> None:
+        """All parts under one folder, without the blocks if they were built there."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats_row.write.mode("overwrite").parquet(f"{path}/stats")
-        save_blocks(self.blocks, f"{path}/blocks")
+        if blocks:
+            save_blocks(self.blocks, f"{path}/blocks")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
@@ -117,26 +128,25 @@ def bm25_index(
     """Index ``(doc_id, text)``.
 
     Texts are tokenised once, into one row of counted terms per document. From
-    there document frequencies and the blocks are one shuffle each. All parts
-    are written, since every search hangs off them.
+    there the documents move to their slices and the blocks to their folders;
+    document frequencies are those of the blocks. All parts are written, since
+    every search hangs off them.
     """
     return index_of(written(document_terms(docs, text_column), "bm25-docs"), k1, b)
 
 
-def index_of(forward: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> Bm25Index:
-    """Index the written rows ``(doc_id, len, terms)`` of :func:`document_terms`."""
+def index_of(
+    forward: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, path: str | None = None,
+) -> Bm25Index:
+    """Index the written rows ``(doc_id, len, terms)`` of :func:`document_terms`; ``path`` is for the blocks."""
     spark = forward.sparkSession
     counts = forward.select("len", F.size("terms").alias("n"))
     n_docs, words, n_postings = counts.agg(F.count(F.lit(1)), F.sum("len"), F.coalesce(F.sum("n"), F.lit(0))).first()
     avg_len = words / n_docs if n_docs else None
     layout = Layout.of(n_docs, n_postings, spark.sparkContext.defaultParallelism)
     impact = saturation(k1, b, avg_len or 1.0)
-    postings = exploded(forward, ["doc_id", "len"], "terms", "_p").select(
-        F.col("_p.term").alias("term"), "doc_id", F.col("_p.tf").cast("double").alias("value"), "len",
-        impact(F.col("_p.tf"), F.col("len")).alias("impact"))
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("top"))
-    terms = frequencies.select("term", "df", idf_of(n_docs, F.col("df")).alias("idf"), "top")
-    blocks = write_blocks(postings, layout, fresh_path(spark, "bm25-blocks"))
+    blocks = write_document_blocks(forward, "tf", impact, layout, path or fresh_path(spark, "bm25-blocks"))
+    terms = term_sizes(blocks).select("term", "df", idf_of(n_docs, F.col("df")).alias("idf"), "top")
     stats = spark.createDataFrame(
         [(n_docs, avg_len, k1, b, layout.slices, layout.folders)],
         "n_docs long, avg_len double, k1 double, b double, slices int, folders int")
@@ -214,15 +224,12 @@ def tfidf_index(
     spark = docs.sparkSession
     words = written(word_table(docs, "text", ["doc_id"], stop_words), "tfidf-words")
     model = fit_tfidf(words, max_features=max_features, min_df=1, stop_words=stop_words)
-    weights = written(long_weights(unit_vectors(words, model)).select("term", "doc_id", "weight"), "tfidf-weights")
-    n_docs = words.count()
-    sizes = written(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top")), "tfidf-terms")
-    n_postings = sizes.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    vectors = written(unit_vectors(words, model), "tfidf-vectors")
+    n_docs, n_postings = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
     layout = Layout.of(n_docs, n_postings, spark.sparkContext.defaultParallelism)
-    postings = weights.select(
-        "term", "doc_id", F.col("weight").alias("value"), F.lit(0).cast("bigint").alias("len"),
-        F.col("weight").alias("impact"))
-    blocks = write_blocks(postings, layout, fresh_path(spark, "tfidf-blocks"))
+    rows = vectors.select("doc_id", F.lit(0).cast("bigint").alias("len"), F.col("vector").alias("terms"))
+    blocks = write_document_blocks(rows, "weight", _as_is, layout, fresh_path(spark, "tfidf-blocks"))
+    sizes = written(term_sizes(blocks), "tfidf-terms")
     row = spark.createDataFrame([(layout.slices, layout.folders)], "slices int, folders int")
     return TfidfIndex(model, sizes, blocks, written(row, "tfidf-layout"))
 

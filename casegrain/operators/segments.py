@@ -73,12 +73,14 @@ class SegmentedIndex:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/tables/{name}")
 
-    def _segment(self, forward: DataFrame) -> str:
-        """Index the written rows of :func:`document_terms`; they are kept beside it."""
+    def _segment(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        """Write rows of :func:`document_terms`, once, and index them beside; gives name and written rows."""
         name = f"segment-{uuid.uuid4().hex}"
-        index_of(forward).save(f"{self.path}/tables/{name}")
-        forward.write.parquet(f"{self.path}/tables/{name}/forward")
-        return name
+        path = f"{self.path}/tables/{name}"
+        rows.write.parquet(f"{path}/forward")
+        forward = self.spark.read.schema(rows.schema).parquet(f"{path}/forward")
+        index_of(forward, path=f"{path}/blocks").save(path, blocks=False)
+        return name, forward
 
     def _dead(self, commit: Commit, segment: str) -> DataFrame | None:
         """``doc_id, len, terms`` of the documents of a segment that have a tombstone."""
@@ -96,8 +98,7 @@ class SegmentedIndex:
             if stream is not None and commit.batches.get(stream, -1) >= batch:
                 return number
             if name is None:
-                forward = written(document_terms(docs), "arriving")
-                name = self._segment(forward)
+                name, forward = self._segment(document_terms(docs))
             tombstones = {s: list(t) for s, t in commit.tombstones.items()}
             for segment in commit.segments:
                 gone = self._read(f"{segment}/forward").join(forward.select("doc_id"), "doc_id", "left_semi")
@@ -123,7 +124,7 @@ class SegmentedIndex:
                 if (dead := self._dead(commit, segment)) is not None:
                     rows = rows.join(dead.select("doc_id"), "doc_id", "left_anti")
                 living.append(rows)
-            name = self._segment(written(reduce(DataFrame.unionByName, living), "living"))
+            name, _ = self._segment(reduce(DataFrame.unionByName, living))
             if self._commit(number + 1, Commit([name], {}, commit.batches)):
                 return number + 1
         raise RuntimeError(f"{self.path}: other writers came first {TRIES} times")

@@ -2,11 +2,13 @@ import random
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from casegrain.operators import terms as t
 from casegrain.operators.features import counted_terms, fit_tfidf, unit_vectors
+from casegrain.operators.inverted import Layout, write_document_blocks
+from casegrain.operators.retrieval import bm25_index, document_terms
 from casegrain.operators.vocabulary import _Counter
+from casegrain.workspace import fresh_path, written
 
 ROWS = [["b", "a", "a", "ab", "a"], [], None, ["zz"], ["é", "a", "b", "a", "b"]]
 
@@ -46,3 +48,24 @@ def test_a_task_holds_no_more_words_than_its_terms_need():
     counter.merge()
     assert len(counter.terms) <= 50 and len(counter.words) <= 100
     assert "often" in counter.named().to_pylist()
+
+
+def test_blocks_are_cut_where_their_documents_are(spark):
+    """No shuffle of single postings: each slice's documents move whole, and only blocks after that."""
+    rows = [(i, ["a", "b", "a"] if i % 2 else ["b", f"w{i}"]) for i in range(300)] + [(300, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    forward = written(document_terms(docs), "forward")
+    blocks = write_document_blocks(forward, "tf", lambda tf, n: tf / n, Layout(4, 3), fresh_path(spark, "blocks"))
+    found = {(r.term, d): (v, n) for r in blocks.collect() for d, v, n in zip(r.docs, r.values, r.lens)}
+    assert found == {(t, i): (float(words.count(t)), len(words)) for i, words in rows for t in words}
+    assert all(r.top == max(v / n for v, n in zip(r.values, r.lens)) for r in blocks.collect())
+    index = bm25_index(docs)
+    assert {r.term: r.df for r in index.terms.collect()} == {
+        t: sum(t in words for _, words in rows) for t in {t for _, words in rows for t in words}}
+
+
+def test_a_document_without_a_term_and_an_empty_index(spark):
+    for rows in ([(1, "")], []):
+        index = bm25_index(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert index.terms.count() == index.postings().count() == 0
+        assert index.stats().first().n_docs == len(rows)
