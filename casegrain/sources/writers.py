@@ -13,6 +13,8 @@ from casegrain.sources.readers import CSV_OPTIONS
 from casegrain.workspace import written
 
 JUDGMENTS_PER_LINE = 1000
+#: Queries whose judgments share a file that is one object.
+QUERIES_PER_OBJECT = 100
 
 
 def write_table(df: DataFrame, path: str, csv: bool = True) -> None:
@@ -51,26 +53,47 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def qrels_lines(qrels: DataFrame, per_line: int = JUDGMENTS_PER_LINE) -> DataFrame:
-    """Long pairs as maps ``{qid: {doc_id: rel}}``, a bounded number per line.
-
-    A query with many judgments goes over several lines, so that no line (and
-    no task) has to hold all judgments of a hot query.
-    """
+def _qrels_parts(qrels: DataFrame, per_line: int) -> DataFrame:
+    """``qid, line, docs``: each query's judgments as maps, a bounded number per line."""
     lines = qrels.groupBy("qid").agg(F.ceil(F.count(F.lit(1)) / per_line).alias("lines"))
     return (
         join_hot(qrels, written(lines, "qrels-lines"), "qid", "doc_id")
         .withColumn("line", F.pmod(F.xxhash64("doc_id"), F.col("lines")))
         .groupBy("qid", "line")
         .agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "rel"))).alias("docs"))
-        .select("qid", F.create_map("qid", "docs").alias("judged"))
     )
 
 
+def qrels_lines(qrels: DataFrame, per_line: int = JUDGMENTS_PER_LINE) -> DataFrame:
+    """Long pairs as maps ``{qid: {doc_id: rel}}``, a bounded number per line.
+
+    A query with many judgments goes over several lines, so that no line (and
+    no task) has to hold all judgments of a hot query.
+    """
+    return _qrels_parts(qrels, per_line).select("qid", F.create_map("qid", "docs").alias("judged"))
+
+
 def write_qrels(qrels: DataFrame, path: str) -> None:
     qrels_lines(qrels).select(F.to_json("judged")).write.mode("overwrite").text(path)
 
 
+def write_qrels_objects(
+    qrels: DataFrame, path: str, per_line: int = JUDGMENTS_PER_LINE, queries: int = QUERIES_PER_OBJECT,
+) -> None:
+    """All judgments as files that are one JSON object each, over many lines.
+
+    An object has one line's share of about ``queries`` queries, so that neither
+    an object nor a task grows with the judgments.
+    """
+    parts = written(_qrels_parts(qrels, per_line), "qrels-parts")
+    groups = max(1, -(-parts.select("qid").distinct().count() // queries))
+    part = F.col("line") * groups + F.pmod(F.xxhash64("qid"), F.lit(groups))
+    objects = parts.groupBy(part.alias("part")).agg(
+        F.map_from_entries(F.collect_list(F.struct("qid", "docs"))).alias("judged"))
+    pretty = F.regexp_replace(F.to_json("judged"), r"\},", "},\n")
+    objects.select("part", pretty.alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+
+
 def upserted(existing: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
     """New rows replace old rows with the same key."""
     if existing is None:

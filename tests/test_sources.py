@@ -140,3 +140,22 @@ def test_interleaved_upserts_lose_no_model(spark, tmp_path, monkeypatch):
     assert writers.upsert_results(table(("c", 0.3)), path) == 3
     monkeypatch.setattr(CommitList, "newest", newest)
     assert sorted(r.model for r in writers.read_results(spark, path).collect()) == ["a", "b", "c"]
+
+
+def test_judgment_objects_hold_everything_in_bounded_files(spark, tmp_path):
+    """A query with many judgments goes over several objects; each file is one object over many lines."""
+    hot = spark.range(2500).selectExpr("'hot' as qid", "cast(id as string) as doc_id", "2 as rel")
+    few = spark.range(30).selectExpr("concat('q', id % 10) as qid", "concat('d', id) as doc_id", "1 as rel")
+    path = tmp_path / "objects"
+    writers.write_qrels_objects(hot.unionByName(few), str(path), queries=5)
+    files = [json.loads(f.read_text()) for f in path.rglob("part-*.txt")]
+    assert len(files) >= 3 and max(len(docs) for x in files for docs in x.values()) < 1200
+    assert any(len(f.read_text().splitlines()) > 1 for f in path.rglob("part-*.txt"))
+    back = sorted(map(tuple, readers.read_qrels(spark, str(path), lines=False).collect()))
+    assert back == sorted(map(tuple, hot.unionByName(few).collect()))
+
+
+def test_the_object_query_keeps_the_judgments_without_a_cap():
+    from casegrain.plans.all_queries import ORACLES
+
+    assert ORACLES["scan_judgment_object"] == ORACLES["scan_judgments"]
