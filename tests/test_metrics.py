@@ -74,3 +74,12 @@ def test_melt(spark):
     df = spark.createDataFrame([("m", 1.0, 2.0)], "model string, x double, y double")
     assert sorted(map(tuple, metrics.melted(df, ["model"], ["x", "y"]).collect())) == [
         ("m", "x", 1.0), ("m", "y", 2.0)]
+
+
+def test_only_judgments_of_hits_move(spark):
+    """Before the join on query and document the judgments are cut to the hits."""
+    hits = spark.createDataFrame([("q", 1, 5), ("q", 2, 900), ("r", 1, 5)], "qid string, rank long, doc_id long")
+    qrels = spark.range(800).selectExpr("'q' as qid", "id as doc_id", "2L as rel")
+    found = metrics.judged(hits, qrels)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.qid, r.rank, r.rel) for r in found.collect()) == [("q", 1, 2), ("q", 2, 0), ("r", 1, 0)]
