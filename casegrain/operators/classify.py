@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain import fixed_values as fixed
@@ -76,11 +76,21 @@ class TextPipeline:
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns, ``features`` and, when labelled, the code ``y``."""
-        rows = ml_vectors(self.vectors(df, keep), self.tfidf.size())
-        if self.label in keep:
+        return self._features(self.vectors(df, keep))
+
+    def _features(self, vectors: DataFrame) -> DataFrame:
+        rows = ml_vectors(vectors, self.tfidf.size())
+        if self.label in vectors.columns:
             rows = rows.withColumn("y", self.codes.encode(F.col(self.label)).cast("double"))
         return rows
 
+    def fit_transform(self, df: DataFrame, keep: list[str], train: Column) -> DataFrame:
+        """Fit on the rows where ``train``, over ``keep`` columns, holds; transform all. Texts are cut into words once."""
+        words = written(self._words(df, keep), "pipeline-words")
+        part = words.where(train)
+        self._fit(part, part.select("words"))
+        return self._features(unit_vectors(words, self.tfidf))
+
     def save(self, path: str) -> None:
         if self.tfidf is None:
             raise RuntimeError("the pipeline must be fitted before it is saved")
@@ -112,13 +122,11 @@ def vectorise_splits(
     split: DataFrame, id_column: str = "complaint_id", pipeline: TextPipeline | None = None,
     save_to: str | None = None,
 ) -> VectorisedSplits:
-    """Fit on the training rows, transform all three parts in one pass."""
+    """Fit on the training rows, transform all three parts from the same words."""
     pipeline = pipeline or TextPipeline()
-    train = split.where("split = 'train'")
-    pipeline.fit(train)
+    rows = pipeline.fit_transform(split, [id_column, pipeline.label, "split"], F.col("split") == "train")
     if save_to:
         pipeline.save(save_to)
-    rows = pipeline.transform(split, [id_column, pipeline.label, "split"])
     part = lambda name: rows.where(F.col("split") == name)
     return VectorisedSplits(part("train"), part("val"), part("test"), pipeline)
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ class _Counter:
     """
 
     def __init__(self, held: int):
-        self.held, self.number, self.words = held, {}, []
+        self.held, self.words = held, pa.array([], pa.string())
         self.terms, self.freq, self.df = (np.zeros(0, np.int64) for _ in range(3))
         self.waiting: list[tuple[np.ndarray, ...]] = []
         self.missed = 0
@@ -53,12 +54,13 @@ class _Counter:
         for part in runs_of_rows(lists):
             rows, words, names = coded(part)
             if len(words):
-                self._add(rows, words, names.to_pylist(), len(part))
+                self._add(rows, words, names.cast(pa.string()), len(part))
 
-    def _add(self, rows: np.ndarray, words: np.ndarray, names: list[str], n_rows: int) -> None:
-        place = np.array([self.number.setdefault(w, len(self.number)) for w in names], np.int64)
-        self.words += names if len(self.number) - len(self.words) == len(names) else [
-            w for w, i in zip(names, place.tolist()) if i >= len(self.words)]
+    def _add(self, rows: np.ndarray, words: np.ndarray, names: pa.Array, n_rows: int) -> None:
+        place = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, names.take(pa.array(new))])
         width = len(names) + 1
         together = np.flatnonzero(rows[:-1] == rows[1:])
         terms = np.concatenate([words * width, words[together] * width + words[together + 1] + 1])
@@ -95,14 +97,13 @@ class _Counter:
         self.freq, self.df = self.freq[kept], self.df[kept]
         first, second = self.terms[kept] >> 32, self.terms[kept] & 0xFFFFFFFF
         used = np.unique(np.concatenate([first, second[second > 0] - 1]))
-        self.words = [self.words[i] for i in used.tolist()]
-        self.number = {w: i for i, w in enumerate(self.words)}
+        self.words = self.words.take(pa.array(used))
         second = np.where(second > 0, np.searchsorted(used, second - 1) + 1, 0)
         self.terms = (np.searchsorted(used, first) << 32) | second
         return dropped
 
     def named(self) -> pa.Array:
-        return named(pa.array(self.words, pa.string()), self.terms >> 32, (self.terms & 0xFFFFFFFF) - 1)
+        return named(self.words, self.terms >> 32, (self.terms & 0xFFFFFFFF) - 1)
 
 
 def _summaries(held: int, sent: int):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ from casegrain.operators.naive_bayes import fit_naive_bayes, predict_naive_bayes
 from casegrain.operators.splitting import stratified_split
 from casegrain.plans import sql as q
 from casegrain.plans.catalog import registered
-from casegrain.plans.standins import corpus, kept_corpus
+from casegrain.plans.standins import corpus, kept_corpus, keys
 from casegrain.workspace import fresh_path, read_table, written
 
 
@@ -67,7 +66,7 @@ test AS (SELECT complaint_id AS qid, c.cleaned_text AS text, c.primary_category
 
 
 def _split_corpus(spark, sf):
-    return written(stratified_split(corpus(spark, sf)), "split-corpus")
+    return written(stratified_split(corpus(spark, sf), keys=keys(spark, sf)), "split-corpus")
 
 
 @registered(f"WITH {TRAIN} SELECT term, df, round(idf, 6) AS idf FROM fit_voc")
@@ -188,7 +187,7 @@ def vectorised_splits(spark, sf):
     part = lambda name, df: df.select(F.lit(name).alias("split"), "features")
     parts = part("train", splits.train).unionByName(part("val", splits.val)).unionByName(
         part("test", splits.test))
-    weights = F.size(F.filter(vector_to_array("features"), lambda x: x != 0))
+    weights = F.size(F.filter(F.unwrap_udt("features").getField("values"), lambda x: x != 0))
     return parts.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.sum(weights).alias("stored_weights")
     )

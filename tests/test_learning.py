@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from casegrain.operators.features import LabelCodes, class_weights, long_weights
 from casegrain.operators.naive_bayes import fit_naive_bayes, predict_naive_bayes
 from casegrain.operators.splitting import stratified_split
 from casegrain.operators.squared_hinge import SquaredHingeSVC
+from casegrain.operators.terms import computed_once
 
 TOPICS = {
     "money": "wire bank transfer account payment cash".split(),
@@ -107,6 +109,46 @@ def test_naive_bayes_equals_brute_force(rows):
         assert got[ident].confidence == pytest.approx(100 * p[i].max(), rel=1e-9)
 
 
+def test_texts_are_cut_into_words_once(spark, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    lazy = computed_once(rows, "cleaned_text", F.udf(counted, "string")(F.col("cleaned_text")))
+    got = vectorise_splits(lazy)
+    assert got.train.count() + got.val.count() + got.test.count() == rows.count()
+    assert read.value == rows.count()
+
+
+def test_split_ranks_leave_costly_columns_alone(spark, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    plain = rows.drop("split")
+    lazy = computed_once(plain, "cleaned_text", F.udf(counted, "string")(F.col("cleaned_text")))
+    out = stratified_split(lazy, keys=plain.select("complaint_id", "primary_category")).collect()
+    assert {(r.complaint_id, r.split) for r in out} == {
+        (r.complaint_id, r.split) for r in stratified_split(plain).collect()}
+    assert read.value == len(out)
+
+
+def test_blocks_are_bytes_and_hold_the_rows():
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([[0, 2], [], [1]], pa.list_(pa.int32())), pa.array([[0.5, 1.5], [], [2.0]]), pa.array([1, 0, 1], pa.int32())],
+        names=["indices", "values", "y"])
+    (block,) = squared_hinge._blocks(iter([batch]))
+    assert all(kind == pa.binary() for kind in block.schema.types)
+    rows, indices, values, y = (
+        np.frombuffer(block.column(i)[0].as_buffer(), kind) for i, kind in enumerate(squared_hinge._KINDS))
+    assert rows.tolist() == [0, 0, 2] and indices.tolist() == [0, 2, 1] and y.tolist() == [1, 0, 1]
+    assert values.tolist() == [0.5, 1.5, 2.0]
+
+
 def test_stored_vectors_equal_the_long_weights(rows, splits):
     stored = {r.complaint_id: r.features for r in splits.test.collect()}
     long = long_weights(splits.pipeline.vectors(rows.where("split = 'test'"), ["complaint_id"])).collect()
