@@ -57,6 +57,17 @@ def ends_inside(line: str, inside: bool, sep: str, quote: str = '"') -> bool:
         # Anything else behind it belongs to the field, which is still open.
 
 
+#: Lines that are Python objects at once, and characters of records that wait to be sent on.
+LINES_AT_ONCE, TEXT_AT_ONCE = 256, 4_000_000
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
+    """The rows of the batches; of a batch, which may be large, only a few lines are copied at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, LINES_AT_ONCE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, LINES_AT_ONCE).columns))
+
+
 @dataclass
 class _Split:
     """What a split does for each way it may begin: does it end inside quotes, does a record begin in it?"""
@@ -78,15 +89,14 @@ def _split_maps(sep: str):
 
     def split_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Split | None = None
-        for batch in batches:
-            for file, start, line in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is None or (now.file, now.start) != (file, start):
-                    if now is not None:
-                        yield packed(now)
-                    now = _Split(file, start, [False, True], [False, False])
-                for way in (0, 1):
-                    now.has_record[way] |= not now.ends[way]
-                    now.ends[way] = ends_inside(line, now.ends[way], sep)
+        for file, start, line in _lines(batches):
+            if now is None or (now.file, now.start) != (file, start):
+                if now is not None:
+                    yield packed(now)
+                now = _Split(file, start, [False, True], [False, False])
+            for way in (0, 1):
+                now.has_record[way] |= not now.ends[way]
+                now.ends[way] = ends_inside(line, now.ends[way], sep)
         if now is not None:
             yield packed(now)
 
@@ -117,7 +127,7 @@ def _records(sep: str, header: bool, chained):
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins, open_ = chained.value
         out: list[tuple] = []
-        now, inside, held, first = None, False, [], False
+        now, inside, held, first, waiting = None, False, [], False, 0
 
         def closed(last: bool) -> None:
             """The lines held are a record; the last one of a split may run on, the first may have begun before."""
@@ -131,19 +141,20 @@ def _records(sep: str, header: bool, chained):
             out.append((now[0] if owner is not None else None, owner, now[1], text))
 
         seen: list[bool] = []
-        for batch in batches:
-            for file, start, line in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != (file, start):
-                    closed(last=True)
-                    now, held, seen = (file, start), [], []
-                    inside = first = now in begins
-                if not inside and held:
-                    closed(last=False)
-                    held, first = [], False
-                held.append(line)
-                inside = ends_inside(line, inside, sep)
-            yield _packed(out, names)
-            out = []
+        for file, start, line in _lines(batches):
+            if now != (file, start):
+                closed(last=True)
+                now, held, seen = (file, start), [], []
+                inside = first = now in begins
+            if not inside and held:
+                closed(last=False)
+                held, first = [], False
+            if waiting >= TEXT_AT_ONCE:
+                yield _packed(out, names)
+                out, waiting = [], 0
+            held.append(line)
+            waiting += len(line)
+            inside = ends_inside(line, inside, sep)
         closed(last=True)
         yield _packed(out, names)
 

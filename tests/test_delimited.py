@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from casegrain.sources import delimited, readers
@@ -61,3 +62,19 @@ def test_header_blank_lines_and_carriage_returns(spark, tmp_path):
 ])
 def test_how_a_line_ends(line, inside, expected):
     assert delimited.ends_inside(line, inside, ",") is expected
+
+
+def test_few_lines_are_python_objects_at_once(monkeypatch):
+    monkeypatch.setattr(delimited, "LINES_AT_ONCE", 3)
+    monkeypatch.setattr(delimited, "TEXT_AT_ONCE", 20)
+    lines = [f"{i},\"a" if i % 2 else f"b\",{i}" for i in range(1, 40)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["f"] * len(lines)), pa.array([0] * len(lines), pa.int64()), pa.array(lines)], ["file", "start", "line"])
+
+    class Chained:
+        value = ({}, set())
+
+    found = list(delimited._records(",", False, Chained)(iter([batch])))
+    assert max(b.num_rows for b in found) <= 5 < len(found)
+    assert [t for b in found for t in b.column("text").to_pylist()] == [
+        "\n".join(lines[i: i + 2]) for i in range(0, len(lines), 2)]
