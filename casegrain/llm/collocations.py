@@ -13,7 +13,6 @@ to the tasks as a bitmap of fixed size: what it lets through too much costs time
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -257,43 +256,32 @@ def _by_range(counted: Counted, bounds: Sequence[Phrase]) -> Iterator[pa.RecordB
 # --- Counting ---------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """Words by number; a piece's end is -1, nothing is -2."""
-
-    def __init__(self):
-        super().__init__({b"\n": -1, b"": -2})
-
-    def __missing__(self, word):
-        self[word] = number = len(self) - 2
-        return number
-
-
 class _Shard:
-    """Words of some texts as numbers by language, -1 after each piece."""
+    """Some texts by language, ready to be split at blanks; a line break is a piece's end."""
 
     def __init__(self):
-        self.numbers: dict[bytes, _Numbers] = {}
-        self.ids: dict[bytes, array] = {}
+        self.texts: dict[bytes, list[bytes]] = {}
         self.size = 0
 
     def add(self, lang: bytes, text: bytes) -> None:
-        if lang not in self.ids:
-            self.numbers[lang], self.ids[lang] = _Numbers(), array("i")
-        ids, before = self.ids[lang], len(self.ids[lang])
-        ids.extend(map(self.numbers[lang].__getitem__, tokens(text)))
-        ids.append(-1)
-        self.size += len(ids) - before
+        plain = text.translate(_PLAIN)
+        self.texts.setdefault(lang, []).append(plain)
+        self.size += plain.count(b" ") + 2 * plain.count(b"\n") + 2
 
     def ranked(self) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
-        """Per language its sorted symbols, itself among them, and all words' places in that list."""
-        for lang in sorted(self.ids):
-            numbers = self.numbers[lang]
-            words = list(numbers)[2:]
-            symbols = sorted({lang, *words})
-            at = {symbol: i for i, symbol in enumerate(symbols)}
-            place = np.array([*map(at.__getitem__, words), -1], np.int64)
-            ids = np.frombuffer(self.ids[lang], np.int32)
-            yield lang, symbols, place[ids[ids != -2]]
+        """Per language its sorted symbols, itself among them, and all words' places in that list, -1 after each piece."""
+        for lang in sorted(self.texts):
+            joined = b"\n".join([*self.texts[lang], b""]).replace(b"\n", b" \n ")
+            words = pc.split_pattern(pa.array([joined], pa.large_binary()), b" ").flatten().dictionary_encode()
+            found, ids = words.dictionary, words.indices.to_numpy()
+            named = pc.not_equal(found, pa.scalar(b"", found.type))
+            kept = pc.and_(named, pc.not_equal(found, pa.scalar(b"\n", found.type))).to_numpy(zero_copy_only=False)
+            own = pa.array([lang], found.type)
+            symbols = pc.unique(pa.concat_arrays([found.filter(pa.array(kept)), own]))
+            symbols = symbols.take(pc.sort_indices(symbols))
+            place = np.full(len(found), -1, np.int64)
+            place[kept] = pc.index_in(found.filter(pa.array(kept)), value_set=symbols).to_numpy()
+            yield lang, symbols.to_pylist(), place[ids[named.to_numpy(zero_copy_only=False)[ids]]]
 
 
 class _Frequent:

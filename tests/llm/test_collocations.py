@@ -108,3 +108,15 @@ def test_whole_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [tuple(r) for r in docs.select("lang", "text").collect()]
     assert mined(docs, least=60) == expected(rows, 60)
+
+
+def test_a_shard_keeps_texts_and_places_their_words_like_tokens():
+    texts = [(b"en", b"The cat,the  Cat\tsat"), (b"fr", b""), (b"en", b"\n!cat"), (b"en", "café en".encode())]
+    shard = co._Shard()
+    for lang, text in texts:
+        shard.add(lang, text)
+    assert shard.texts[b"fr"] == [b""] and shard.size == sum(len(co.tokens(t)) + 1 for _, t in texts)
+    for lang, symbols, places in shard.ranked():
+        words = [w for one, t in texts if one == lang for w in [*co.tokens(t), b"\n"] if w]
+        assert symbols == sorted({lang, *words} - {b"\n"})
+        assert [symbols[p] if p >= 0 else b"\n" for p in places.tolist()] == words
