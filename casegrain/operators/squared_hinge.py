@@ -35,7 +35,9 @@ ROWS_PER_BLOCK = 4096
 MEMORY = 10
 #: Partial gradients that meet on the driver at most; more of them are summed in tasks first.
 PARTS_ON_DRIVER = 16
-_BLOCK = "rows array<int>, indices array<int>, values array<double>, y array<int>"
+#: Arrays as bytes: they are read again with every pass, and Spark would copy array columns element by element.
+_BLOCK = "rows binary, indices binary, values binary, y binary"
+_KINDS = (np.int32, np.int32, np.float64, np.int32)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +48,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(v) for v in part.column(1)], np.int64)
             lists = [np.repeat(np.arange(len(sizes)), sizes), *(
                 np.asarray(part.column(i).flatten()) for i in (0, 1)), np.asarray(part.column(2))]
-            kinds = (np.int32, np.int32, np.float64, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x.astype(kind)]) for x, kind in zip(lists, kinds)], names=["rows", "indices", "values", "y"])
+                [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(lists, _KINDS)],
+                names=["rows", "indices", "values", "y"])
 
 
 def block_pass(block: tuple[np.ndarray, ...], weights: np.ndarray, positive: np.ndarray, c: float) -> np.ndarray:
@@ -82,7 +84,8 @@ class _Problem:
             total = np.zeros((shared.value[0].shape[0], shared.value[0].shape[1] + 1))
             for batch in batches:
                 for i in range(batch.num_rows):
-                    block = tuple(np.asarray(batch.column(c)[i].values) for c in range(4))
+                    block = tuple(
+                        np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in enumerate(_KINDS))
                     total += block_pass(block, *shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], names=["total"])
 
