@@ -55,9 +55,15 @@ def tokens(text: bytes) -> list[bytes]:
 
 # --- Automata ---------------------------------------------------------------------
 
-SCHEMA = ("range int, symbols array<binary>, starts array<int>, labels array<int>, targets array<int>, "
-          "final array<boolean>, weights array<long>")
+#: Arrays as bytes: Spark would copy array columns element by element, and ``symbols`` are those that end at ``ends``.
+SCHEMA = "range int, " + ", ".join(f"{name} binary" for name in (
+    "symbols", "ends", "starts", "labels", "targets", "final", "weights"))
 _NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
+_KINDS = (np.int32, np.int32, np.int32, np.int32, np.bool_, np.int64)
+
+
+def _listed_names(symbols: pa.Array) -> list[bytes]:
+    return symbols.to_numpy(zero_copy_only=False).tolist()
 
 
 @dataclass(frozen=True)
@@ -77,7 +83,7 @@ class Counted:
         symbols = sorted({symbol for phrase, _ in rows for symbol in phrase})
         number = {symbol: i for i, symbol in enumerate(symbols)}
         width = max((len(phrase) for phrase, _ in rows), default=0)
-        places = np.full((len(rows), width), -1, np.int64)
+        places = np.full((len(rows), width), -1, np.int32)
         for i, (phrase, _) in enumerate(rows):
             places[i, : len(phrase)] = [number[symbol] for symbol in phrase]
         return cls(pa.array(symbols, pa.binary()), places, np.array([n for _, n in rows], np.int64))
@@ -86,15 +92,17 @@ class Counted:
         return tuple(self.symbols[x].as_py() for x in self.places[i].tolist() if x >= 0)
 
     def items(self) -> list[tuple[Phrase, int]]:
-        names = self.symbols.to_pylist()
+        names = _listed_names(self.symbols)
         return [(tuple(names[x] for x in row if x >= 0), n)
                 for row, n in zip(self.places.tolist(), self.counts.tolist())]
 
     def part(self, start: int, end: int) -> Counted:
         """Some of the rows, with the symbols they need."""
         places = self.places[start:end]
-        used = np.unique(places[places >= 0])
-        place = np.full(len(self.symbols) + 1, -1, np.int64)
+        found = np.zeros(len(self.symbols) + 1, bool)
+        found[places] = True
+        used = np.flatnonzero(found[:-1])
+        place = np.full(len(self.symbols) + 1, -1, np.int32)
         place[used] = np.arange(len(used))
         return Counted(self.symbols.take(pa.array(used)), place[places], self.counts[start:end])
 
@@ -170,7 +178,7 @@ class CountTransducer:
         """All phrases with their counts; all paths grow by a symbol at a time."""
         before = self._before()
         state, at = np.array([len(self.final) - 1]), np.zeros(1, np.int64)
-        places = np.zeros((1, 0), np.int64)
+        places = np.zeros((1, 0), np.int32)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         while len(state):
             ends = self.final[state]
@@ -181,14 +189,14 @@ class CountTransducer:
             state, at = self.targets[arc], at[row] + before[arc]
             places = np.concatenate([places[row], self.labels[arc][:, None]], axis=1)
         width = max(p.shape[1] for _, p in found)
-        out = np.full((len(self.weights), width), -1, np.int64)
+        out = np.full((len(self.weights), width), -1, np.int32)
         for at, places in found:
             out[at, : places.shape[1]] = places
         return Counted(self.symbols, out, self.weights)
 
     def composed(self, other: CountTransducer) -> Iterator[tuple[Phrase, int]]:
         """Phrases both accept, with the count that ``other`` has; both are walked in step."""
-        before, mine_of, names = other._before(), self.symbols.to_pylist(), other.symbols.to_pylist()
+        before, mine_of, names = other._before(), _listed_names(self.symbols), _listed_names(other.symbols)
         number = {symbol: i for i, symbol in enumerate(mine_of)}
         theirs_to_mine = [number.get(symbol, -1) for symbol in names]
         todo = [(len(self.final) - 1, len(other.final) - 1, 0, ())]
@@ -206,38 +214,61 @@ class CountTransducer:
 
 
 def united(transducers: Sequence[CountTransducer], least: int = 1) -> Counted:
-    """The union's phrases with the sums of their counts, without those that are too rare."""
+    """The union's phrases with the sums of their counts, without those that are too rare.
+
+    A phrase is sorted as few integers, each of as many symbols' places as its bits hold.
+    """
     parts = [t.counted() for t in transducers]
-    symbols = pc.unique(pa.chunked_array([p.symbols for p in parts], pa.binary()))
-    symbols = symbols.take(pc.sort_indices(symbols))
-    width = max(p.places.shape[1] for p in parts)
-    places = np.full((sum(len(p.counts) for p in parts), width), -1, np.int64)
-    at = 0
+    named = pa.concat_arrays([p.symbols for p in parts]).dictionary_encode()
+    order = pc.sort_indices(named.dictionary)
+    symbols, place = named.dictionary.take(order), np.zeros(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(1, len(order) + 1)
+    place = place[named.indices.to_numpy()]
+    width, bits = max(p.places.shape[1] for p in parts), max(1, len(symbols).bit_length())
+    per_key = 63 // bits
+    keys = np.zeros((-(-width // per_key), sum(len(p.counts) for p in parts)), np.int64)
+    counts = np.concatenate([p.counts for p in parts])
+    at = seen = 0
     for p in parts:
-        place = np.append(pc.index_in(p.symbols, value_set=symbols).to_numpy(zero_copy_only=False), -1).astype(np.int64)
-        places[at: at + len(p.counts), : p.places.shape[1]] = place[p.places]
-        at += len(p.counts)
-    order = np.lexsort(places.T[::-1]) if width else np.arange(len(places))
-    places, counts = places[order], np.concatenate([p.counts for p in parts])[order]
-    first = np.flatnonzero(np.append(True, (places[1:] != places[:-1]).any(axis=1))) if len(places) else order
+        # 0 where a phrase has ended.
+        own = np.append(0, place[seen: seen + len(p.symbols)])
+        for i in range(width):
+            key = keys[i // per_key, at: at + len(p.counts)]
+            key <<= bits
+            if i < p.places.shape[1]:
+                key |= own[p.places[:, i] + 1]
+        at, seen = at + len(p.counts), seen + len(p.symbols)
+    del parts
+    order = np.lexsort(keys[::-1]) if width else np.arange(len(counts))
+    keys, counts = keys[:, order], counts[order]
+    first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if len(counts) else order
     sums = np.add.reduceat(counts, first) if len(first) else counts
     kept = sums >= least
-    return Counted(symbols, places[first[kept]], sums[kept]).part(0, int(kept.sum()))
+    keys = keys[:, first[kept]]
+    places = np.zeros((keys.shape[1], width), np.int32)
+    for i in range(width - 1, -1, -1):
+        places[:, i] = (keys[i // per_key] & (1 << bits) - 1) - 1
+        keys[i // per_key] >>= bits
+    return Counted(symbols, places, sums[kept]).part(0, len(places))
 
 
 def _packed(range_: int, t: CountTransducer) -> pa.RecordBatch:
-    ints = pa.list_(pa.int32())
-    kinds = (pa.int32(), pa.list_(pa.binary()), ints, ints, ints, pa.list_(pa.bool_()), pa.list_(pa.int64()))
-    values = (range_, t.symbols.to_pylist(), t.starts, t.labels, t.targets, t.final, t.weights)
-    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], _NAMES)
+    ends = np.cumsum(pc.binary_length(t.symbols).to_numpy())
+    arrays = (ends, t.starts, t.labels, t.targets, t.final, t.weights)
+    values = (b"".join(_listed_names(t.symbols)), *(a.astype(kind).tobytes() for a, kind in zip(arrays, _KINDS)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([range_], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], _NAMES)
 
 
 def _transducers(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, CountTransducer]]:
     columns = [batch.column(name) for name in _NAMES]
     for i in range(batch.num_rows):
         range_, symbols, *arrays = (c[i] for c in columns)
+        # Copied, so that they lie as their kinds ask and the batch can go.
+        ends, *arrays = (np.frombuffer(a.as_buffer(), kind).copy() for a, kind in zip(arrays, _KINDS))
+        offsets = pa.py_buffer(np.append(np.int32(0), ends))
         yield range_.as_py(), CountTransducer(
-            symbols.values.cast(pa.binary()), *(a.values.to_numpy(zero_copy_only=False) for a in arrays))
+            pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(symbols.as_py())]), *arrays)
 
 
 def _by_range(counted: Counted, bounds: Sequence[Phrase]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +303,11 @@ class _Shard:
         """Per language its sorted symbols, itself among them, and all words' places in that list, -1 after each piece."""
         for lang in sorted(self.texts):
             joined = b"\n".join([*self.texts[lang], b""]).replace(b"\n", b" \n ")
-            words = pc.split_pattern(pa.array([joined], pa.large_binary()), b" ").flatten().dictionary_encode()
-            found, ids = words.dictionary, words.indices.to_numpy()
+            # Words with the blank after them lie there as Arrow wants them; the few distinct ones are cut.
+            ends = np.append(0, np.flatnonzero(np.frombuffer(joined, np.uint8) == ord(" ")) + 1)
+            words = pa.Array.from_buffers(
+                pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(joined)]).dictionary_encode()
+            found, ids = pc.binary_slice(words.dictionary, 0, -1).cast(pa.binary()), words.indices.to_numpy()
             named = pc.not_equal(found, pa.scalar(b"", found.type))
             kept = pc.and_(named, pc.not_equal(found, pa.scalar(b"\n", found.type))).to_numpy(zero_copy_only=False)
             own = pa.array([lang], found.type)
@@ -281,7 +315,7 @@ class _Shard:
             symbols = symbols.take(pc.sort_indices(symbols))
             place = np.full(len(found), -1, np.int64)
             place[kept] = pc.index_in(found.filter(pa.array(kept)), value_set=symbols).to_numpy()
-            yield lang, symbols.to_pylist(), place[ids[named.to_numpy(zero_copy_only=False)[ids]]]
+            yield lang, _listed_names(symbols), place[ids[named.to_numpy(zero_copy_only=False)[ids]]]
 
 
 class _Frequent:
@@ -305,7 +339,7 @@ class _Frequent:
 
 
 def _phrases(lang: bytes, symbols: list[bytes], columns: Sequence[np.ndarray], counts: np.ndarray) -> Counted:
-    places = np.stack([np.full(len(counts), symbols.index(lang)), *columns], axis=1)
+    places = np.stack([np.full(len(counts), symbols.index(lang)), *columns], axis=1).astype(np.int32)
     return Counted(pa.array(symbols, pa.binary()), places, counts.astype(np.int64))
 
 
@@ -403,7 +437,8 @@ def _unions(least: int, held_counts: int):
 def _counted(rows: DataFrame, count, bounds, bitmap, least: int, shard_words: int, held_counts: int) -> DataFrame:
     return written(
         rows.mapInArrow(_shards(count, bounds, bitmap, shard_words), SCHEMA)
-        .repartition(partitions(rows.sparkSession), "range").sortWithinPartitions("range")
+        # By the range itself: hashes of few ranges would meet in some tasks and leave others without any.
+        .repartitionById(partitions(rows.sparkSession), F.col("range")).sortWithinPartitions("range")
         .mapInArrow(_unions(least, held_counts), SCHEMA),
         "phrase-counts",
     )
@@ -426,26 +461,34 @@ def listed(counted: DataFrame) -> DataFrame:
 
 
 def _bit_places(bits: int):
-    """Phrases of one or two words in, the bits that stand for them out."""
+    """Transducers of words and pairs in, the bits that stand for these out."""
 
     def bit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for lang, phrase in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns)):
-                hashes = _Frequent.hashes(lang, phrase.split(b" "))
-                found.append(hashes if len(hashes) == 1 else _Frequent.of_pair(hashes[:1], hashes[1:]))
-            at = np.concatenate([np.zeros(0, np.uint64), *found]) & np.uint64(bits - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
+            for _, transducer in _transducers(batch):
+                known: dict[Phrase, int] = {}
+                words, pairs = [], []
+                for (lang, *phrase), _ in transducer.counted().items():
+                    for word in phrase:
+                        if (lang, word) not in known:
+                            known[lang, word] = int(_Frequent.hashes(lang, [word])[0])
+                    if len(phrase) == 1:
+                        words.append(known[lang, phrase[0]])
+                    elif phrase:
+                        pairs.append([known[lang, word] for word in phrase])
+                one, other = np.array(pairs, np.uint64).reshape(-1, 2).T
+                at = np.append(np.array(words, np.uint64), _Frequent.of_pair(one, other)) & np.uint64(bits - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["at"])
 
     return bit_places
 
 
-def _bitmap(phrases: DataFrame, bits: int):
+def _bitmap(counted: DataFrame, bits: int):
     """One bit per hash of a frequent word or pair, broadcast: ``bits / 8`` bytes, however many there are."""
-    spark = phrases.sparkSession
+    spark = counted.sparkSession
     width = min(bits, 1 << 15)
     found = (
-        phrases.where("size > 0").select("lang", "phrase").mapInArrow(_bit_places(bits), "at long")
+        counted.mapInArrow(_bit_places(bits), "at long")
         .groupBy(F.expr(f"at div {width}").alias("part"))
         .agg(F.bitmap_construct_agg(F.col("at") % width).alias("bits")).collect()
     )
@@ -489,8 +532,8 @@ def frequent_phrases(
     bounds = _bounds(rows, partitions(docs.sparkSession))
     limits = (least, shard_words, held_counts)
     words = _counted(rows, _words, bounds, None, *limits)
-    pairs = _counted(rows, _pairs, bounds, _bitmap(listed(words), filter_bits), *limits)
-    longer = _counted(rows, _longer, bounds, _bitmap(listed(words.unionByName(pairs)), filter_bits), *limits)
+    pairs = _counted(rows, _pairs, bounds, _bitmap(words, filter_bits), *limits)
+    longer = _counted(rows, _longer, bounds, _bitmap(words.unionByName(pairs), filter_bits), *limits)
     return words.unionByName(pairs).unionByName(longer), bounds
 
 

@@ -1,7 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from casegrain.llm import collocations as co
 
 
@@ -104,6 +108,58 @@ def test_union_and_composition():
     assert only_empty_phrase.counted().items() == [((), 5)]
 
 
+def test_union_sorts_phrases_that_need_several_keys():
+    """With 500 words seven places fill a key of 63 bits; phrases of eight words take two."""
+    rng = random.Random(7)
+    words = [b"%d" % i for i in range(500)]
+    phrases = [tuple(rng.choices(words, k=rng.randint(0, 8))) for _ in range(400)]
+    parts = [Counter(rng.choices(phrases, k=300)) for _ in range(3)]
+    total = sum(parts, Counter())
+    assert co.united([automaton(p) for p in parts], 2).items() == sorted((p, n) for p, n in total.items() if n >= 2)
+
+
+def test_union_holds_a_few_bytes_per_count():
+    """It held some 40 bytes per symbol and count, several times over."""
+    words = [b"%06d" % i for i in range(1000)]
+    found = [[(b"en", words[i], words[j]) for i in range(k, 1000, 2) for j in range(0, 1000, 5)] for k in (0, 1, 0)]
+    transducers = [automaton(dict.fromkeys(f, 1)) for f in found]
+    tracemalloc.start()
+    kept = co.united(transducers, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept.counts) == 100_000 and kept.counts.tolist() == [2] * 100_000
+    assert peak < 80 * 300_000
+
+
+def test_transducers_travel_as_bytes():
+    transducer = automaton(counted(2, 100))
+    batch = co._packed(5, transducer)
+    assert batch.schema.types[0] == pa.int32() and set(batch.schema.types[1:]) == {pa.binary()}
+    ((range_, again),) = co._transducers(batch)
+    assert range_ == 5 and again.counted().items() == transducer.counted().items()
+    ((_, empty),) = co._transducers(co._packed(0, automaton({})))
+    assert empty.counted().items() == []
+
+
+def test_bits_come_from_the_transducers_in_one_step():
+    """Two Python steps in a row took two workers per task."""
+    f = {(b"en",): 9, (b"en", b"a"): 5, (b"en", b"a", b"b"): 3, (b"fr", b"a", b"b"): 2}
+    (out,) = co._bit_places(1 << 20)(iter([co._packed(0, automaton(f))]))
+    of = co._Frequent.hashes
+    expected = [of(b"en", [b"a"])] + [co._Frequent.of_pair(of(x, [b"a"]), of(x, [b"b"])) for x in (b"en", b"fr")]
+    assert out.column("at").to_pylist() == [int(h[0]) % (1 << 20) for h in expected]
+
+
+def test_each_range_has_a_task_of_its_own(spark):
+    """Ranges dealt by hash met in some tasks, which then held several ranges."""
+    words = [f"w{i:03d}" for i in range(200)]
+    rows = [("en", " ".join(words[i % 200:] + words[: i % 200])) for i in range(800)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found, bounds = co.frequent_phrases(docs, least=5)
+    by_file = found.select(F.input_file_name().alias("file"), "range").distinct().groupBy("file").count()
+    assert len(bounds) > 1 and {r["count"] for r in by_file.collect()} == {1}
+
+
 def test_whole_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [tuple(r) for r in docs.select("lang", "text").collect()]
