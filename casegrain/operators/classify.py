@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from casegrain.operators.features import (
     unit_vectors,
     word_table,
 )
+from casegrain.operators.forest import SparseForest
 from casegrain.operators.squared_hinge import SquaredHingeSVC
 from casegrain.workspace import written
 
@@ -146,9 +147,7 @@ def classifiers(n_train: int, seed: int = fixed.SEED) -> dict[str, Estimator]:
             tol=TOLERANCE, standardization=False, **weighted,
         ),
         "LinearSVC": SquaredHingeSVC(c=1.0, features="features", label="y"),
-        "RandomForest": RandomForestClassifier(
-            numTrees=150, maxDepth=30, maxMemoryInMB=1024, seed=seed, **columns
-        ),
+        "RandomForest": SparseForest(num_trees=150, max_depth=30, seed=seed, features="features", label="y"),
     }
 
 
