@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from casegrain.operators import squared_hinge
@@ -232,6 +233,63 @@ def test_many_partial_gradients_are_summed_in_tasks(splits, monkeypatch):
     assert np.abs(SquaredHingeSVC().fit(splits.train.repartition(6)).weights - expected).max() < 2e-3
 
 
+def test_within_margin_equals_brute_force():
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((30, 6)) < 0.3, rng.normal(size=(30, 6)), 0.0)
+    x[[0, 7, 29]] = 0.0
+    y, w = rng.integers(0, 3, 30).astype(np.int32), rng.normal(size=7)
+    rows, indices = np.nonzero(x)
+    block = (rows.astype(np.int32), indices.astype(np.int32), x[rows, indices], y)
+    first, none = squared_hinge._first_entries(block[0]), np.zeros(0)
+    for k in range(3):
+        slack = 1 - np.where(y == k, 1, -1) * (x @ w[:-1] + w[-1])
+        part, found = squared_hinge.within_margin(block, first, w, k)
+        dense = np.zeros((len(found), 6))
+        dense[part[0], part[1]] = part[2]
+        assert np.allclose(found, slack[slack > 0]) and np.allclose(dense, x[slack > 0])
+        assert part[3].tolist() == y[slack > 0].tolist()
+        hessian = 2 * 0.5 * dense.T * np.where(part[3] == k, 3.0, 1.0) @ dense
+        column = squared_hinge.curved(part, k, np.append(w[:-1], 0.0), np.full(3, 3.0), 0.5)
+        assert np.allclose(column[:-1], hessian @ w[:-1])
+    empty = (*(none.astype(np.int32),) * 2, none, none.astype(np.int32))
+    part, found = squared_hinge.within_margin(empty, squared_hinge._first_entries(empty[0]), w, 0)
+    assert not len(found) and not squared_hinge.curved(part, 0, w, np.ones(3), 1.0).any()
+
+
+def test_conjugate_gradients_solve_each_row_alone(monkeypatch):
+    rng = np.random.default_rng(8)
+    matrices = [np.eye(5) + (a := rng.normal(size=(5, 5))) @ a.T for _ in range(3)]
+    gradient = rng.normal(size=(3, 5))
+    gradient[1] = 0.0
+    asked = []
+
+    def product(p, going):
+        asked.append(going.tolist())
+        return np.array([m @ x if on else np.zeros(5) for m, x, on in zip(matrices, p, going)])
+
+    monkeypatch.setattr(squared_hinge, "ROUGHLY", 1e-12)
+    diagonal = np.array([np.diag(m) for m in matrices])
+    found = squared_hinge.conjugate_gradients(product, gradient, diagonal, 1e-9)
+    assert np.allclose(found, [-np.linalg.solve(m, g) for m, g in zip(matrices, gradient)], atol=1e-6)
+    assert asked and not any(going[1] for going in asked)
+
+
+def test_squared_hinge_machine_takes_few_passes_over_all_rows(spark, monkeypatch):
+    """Columns as unlike in size as frequent and rare words, and rows that weigh much."""
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 40)) * np.geomspace(1, 0.01, 40)
+    x[np.arange(300), y] += 1.0
+    table = [(float(k), Vectors.dense(row)) for k, row in zip(y, x)]
+    passes, over_all = [], squared_hinge._Problem.__call__
+    monkeypatch.setattr(
+        squared_hinge._Problem, "__call__", lambda self, weights: passes.append(1) or over_all(self, weights))
+    df = spark.createDataFrame(table, ["y", "features"])
+    weights = SquaredHingeSVC(c=100.0).fit(df).weights
+    assert np.abs(weights - dense_solution(x, y, 3, 100.0)).max() < 1e-3
+    assert len(passes) <= 30
+
+
 def test_log_of_smoothing_is_the_floor(rows):
     train = rows.where("split = 'train'")
     pipeline = TextPipeline().fit(train)
