@@ -4,7 +4,7 @@ All trees grow at once. A row is kept as the bins of its values that are not zer
 looks at the square root of all columns, so of a row's few such values it meets one or two.
 Only those are counted, per node, column, bin and class: what a node's rows hold besides is
 zero, and follows from the node's total. A pass over the rows moves each to its child in
-every tree and counts for the new nodes; a shuffle brings the counts of a node together,
+every tree and counts for the new nodes; after some levels the moved rows are written; a shuffle brings the counts of a node together,
 where its split is chosen. The driver holds the trees and the columns drawn for a level.
 
 As in ``pyspark.ml``: a row's weight in a tree is drawn from Poisson(1), columns are drawn
@@ -40,7 +40,10 @@ ROWS_PER_PARTITION = 16_384
 #: Rows that thresholds are taken from, at least.
 ROWS_FOR_THRESHOLDS = 10_000
 #: What one numpy step looks up, and the bytes of the dense rows it looks them up in, at most.
-LOOKED_UP, DENSE_BYTES = 1 << 20, 1 << 23
+LOOKED_UP, DENSE_BYTES = 1 << 18, 1 << 21
+#: A pass moves the rows anew through at most one in so many of the levels above; then they are written at
+#: their nodes. Moving gets cheaper with depth, as trees end, and writing does not.
+LEVELS_TO_MOVE = 4
 #: Counts a task holds before it sums and sends them.
 COUNTS_HELD = 1 << 22
 #: Nodes whose drawn columns travel to the tasks at once; a wider level takes several passes.
@@ -215,23 +218,24 @@ def _drawn(draw: np.random.Generator, n: int, width: int, k: int) -> np.ndarray:
     return out
 
 
-def _mover(level, zero: np.ndarray, width: int, trees: int) -> Callable:
-    """Each row from its node to that node's child, or to -1 where the tree ends."""
+def _mover(levels, zero: np.ndarray, width: int, trees: int) -> Callable:
+    """Each row from its node to that node's child, or to -1 where the tree ends, through all ``levels``."""
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feature, bin_, children = level.value
         for starts, columns, codes, y, weights, nodes in _blocks_in(batches, trees):
             nodes = nodes.copy()
             for a, b, flat in _dense(starts, columns, codes, width, 8 * trees):
-                row, tree = np.nonzero(nodes[a:b] >= 0)
-                at = nodes[a:b][row, tree]
-                column = np.maximum(feature[at], 0)
-                code = flat[row * width + column].astype(np.int64)
-                right = np.where(code == 0, zero[column], code - 1) > bin_[at]
-                nodes[a + row, tree] = children[at, right.astype(np.int64)]
+                for level in levels:
+                    feature, bin_, children = level.value
+                    row, tree = np.nonzero(nodes[a:b] >= 0)
+                    at = nodes[a:b][row, tree]
+                    column = np.maximum(feature[at], 0)
+                    code = flat[row * width + column].astype(np.int64)
+                    right = np.where(code == 0, zero[column], code - 1) > bin_[at]
+                    nodes[a + row, tree] = children[at, right.astype(np.int64)]
             yield _block_row((starts, columns, codes, y, weights, nodes))
 
-    return moved
+    return moved if levels else lambda batches: batches
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -430,6 +434,7 @@ class SparseForest(Estimator):
             return spark.read.schema(table.schema).parquet(path), path
 
         blocks, where = stored(blocks)
+        passed = []  # levels since the rows were written
         counts = [self._roots(blocks, classes)]
         new = lambda n: (np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64))
         nodes, made = [new(self.num_trees)], self.num_trees
@@ -439,7 +444,8 @@ class SparseForest(Estimator):
             totals = counts[-1][open_]
             if not width or not len(open_) or not (np.count_nonzero(totals, axis=1) > 1).any():
                 break
-            node, feature, bin_, left = self._splits(blocks, totals, bins, zero, draw)
+            node, feature, bin_, left = self._splits(
+                blocks, _mover(passed, zero, width, self.num_trees), totals, bins, zero, draw)
             if not len(node):
                 break
             below = np.stack([left, totals[node] - left], axis=1).reshape(-1, classes)
@@ -455,17 +461,23 @@ class SparseForest(Estimator):
             counts.append(below)
             open_ = np.flatnonzero(grows)
             if len(open_):
-                shared = context.broadcast(level)
-                moved, path = stored(blocks.mapInArrow(_mover(shared, zero, width, self.num_trees), _BLOCK))
-                shared.destroy()
+                passed = [*passed, context.broadcast(level)]
+            if len(open_) and LEVELS_TO_MOVE * len(passed) > depth:
+                moved, path = stored(blocks.mapInArrow(_mover(passed, zero, width, self.num_trees), _BLOCK))
                 remove(spark, where)
                 blocks, where = moved, path
+                for level in passed:
+                    level.destroy()
+                passed = []
+        for level in passed:
+            level.destroy()
         remove(spark, where)
         ends = np.cumsum([len(x) for x in counts])
         return pruned(*(np.concatenate([level[i] for level in nodes]) for i in range(3)), np.concatenate(counts), ends)
 
-    def _splits(self, blocks: DataFrame, totals: np.ndarray, bins: Bins, zero: np.ndarray, draw) -> list[np.ndarray]:
-        """The best splits of a level's nodes, in their order."""
+    def _splits(self, blocks: DataFrame, moved: Callable, totals: np.ndarray, bins: Bins, zero: np.ndarray,
+                draw) -> list[np.ndarray]:
+        """The best splits of a level's nodes, in their order; ``moved`` brings the rows to that level."""
         context, classes = blocks.sparkSession.sparkContext, totals.shape[1]
         k = int(np.ceil(np.sqrt(bins.width))) if self.num_trees > 1 else bins.width
         found = []
@@ -474,7 +486,8 @@ class SparseForest(Estimator):
             drawn, shared = context.broadcast(_drawn(draw, len(part), bins.width, k)), context.broadcast(part)
             groups = int(min(len(part), max(context.defaultParallelism, 2 * part.sum() // COUNTS_PER_GROUP)))
             counter = _counter(drawn, first, self.max_bins, classes, groups, bins.width, self.num_trees)
-            table = blocks.mapInArrow(counter, "part int, keys binary, sums binary").groupBy("part").applyInArrow(
+            here = lambda batches, counter=counter: counter(moved(batches))
+            table = blocks.mapInArrow(here, "part int, keys binary, sums binary").groupBy("part").applyInArrow(
                 _chooser(drawn, shared, self.max_bins, zero), _SPLITS).toArrow()
             drawn.destroy()
             shared.destroy()

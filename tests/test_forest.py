@@ -184,3 +184,19 @@ def test_levels_are_removed_once_read(spark, rows, monkeypatch):
     monkeypatch.setattr(forest, "remove", lambda s, p: gone.append(p) or drop(s, p))
     SparseForest(num_trees=3, max_depth=4).fit(rows)
     assert len(made) > 2 and made == gone
+
+
+def test_deep_levels_share_a_write(rows, monkeypatch):
+    """The trees do not depend on how often the rows are written."""
+    named, fresh = [], forest.fresh_path
+    monkeypatch.setattr(forest, "fresh_path", lambda spark, name: named.append(name) or fresh(spark, name))
+
+    def grown():
+        named.clear()
+        model = SparseForest(num_trees=3, max_depth=8, seed=3).fit(rows)
+        return [x.tolist() for x in (model.feature, model.bin, model.left, model.counts)], named.count("forest-rows")
+
+    trees, writes = grown()
+    monkeypatch.setattr(forest, "LEVELS_TO_MOVE", 100)
+    again, of_all_levels = grown()
+    assert again == trees and of_all_levels == 8 > writes
